@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,7 +168,8 @@ def section_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # residual: T14 compat (raw residual, before cleaning) --------------------------------------
 @register("residual", sql=_compat_raw_sql() + """
-SELECT doc_id, length(intro) AS intro_len, length(relat) AS relat_len, length(concl) AS concl_len, metho
+SELECT doc_id, CAST(length(intro) AS INTEGER) AS intro_len, CAST(length(relat) AS INTEGER) AS relat_len,
+       CAST(length(concl) AS INTEGER) AS concl_len, metho
 FROM spans
 """)
 def residual(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,3 +211,89 @@ FROM counts
 """)
 def heading_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.heading_mass(_heading_counts(spark, sf_dir))
+
+
+# length_box / length_hist / length_kde: A8 A9 A10 P4 U3 ---------------------------------
+HIST_BINS = 20
+KDE_BINS, KDE_GRID = 64, 32
+_NORM = 1.0 / math.sqrt(2.0 * math.pi)
+
+
+def section_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(section, len): token counts of the LaTeX-view sections and of conversation turns by role."""
+    wide = S.extract_sections(latex_documents(spark, sf_dir))
+    # P4 + U3: subset the section columns and map each to its token length in one projection.
+    lens = wide.select("doc_id", *X.map_columns(S.SECTIONS, X.token_length))
+    docs = S.to_long(lens, ["doc_id"], S.SECTIONS, "section", "len").select("section", "len")
+    conv = table(spark, sf_dir, "conversations").select(
+        F.concat(F.lit("role:"), F.col("role")).alias("section"), X.token_length("text").alias("len"))
+    return docs.unionByName(conv)
+
+
+def _lengths_sql() -> str:
+    tok = lambda c: f"CAST(len({g.tokens(c)}) AS INTEGER)"
+    secs = "\n  UNION ALL ".join(f"SELECT '{s}' AS section, {tok(s)} AS len FROM wide" for s in S.SECTIONS)
+    return f"""WITH {g.latex_cte()},
+{g.clean_sections_ctes("latex")},
+lens AS (
+  {secs}
+  UNION ALL SELECT 'role:' || role AS section, {tok("text")} AS len FROM conversations
+)"""
+
+
+@register("length_box", sql=_lengths_sql() + """,
+stats AS (
+  SELECT section, count(*) AS n, quantile_cont(len::DOUBLE, 0.25) AS q1, quantile_cont(len::DOUBLE, 0.5) AS median,
+         quantile_cont(len::DOUBLE, 0.75) AS q3
+  FROM lens GROUP BY section
+)
+SELECT s.section, s.n, s.q1, s.median, s.q3,
+       min(l.len::DOUBLE) FILTER (WHERE l.len >= s.q1 - 1.5 * (s.q3 - s.q1)) AS whisker_lo,
+       max(l.len::DOUBLE) FILTER (WHERE l.len <= s.q3 + 1.5 * (s.q3 - s.q1)) AS whisker_hi,
+       count(*) FILTER (WHERE l.len < s.q1 - 1.5 * (s.q3 - s.q1) OR l.len > s.q3 + 1.5 * (s.q3 - s.q1)) AS n_outliers
+FROM lens l JOIN stats s ON l.section = s.section
+GROUP BY s.section, s.n, s.q1, s.median, s.q3
+""")
+def length_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.box_summary(section_lengths(spark, sf_dir), "section", "len")
+
+
+@register("length_hist", sql=_lengths_sql() + f""",
+mm AS (SELECT section, min(len)::DOUBLE AS lo, max(len)::DOUBLE AS hi FROM lens GROUP BY section),
+b AS (
+  SELECT l.section, lo, hi,
+         CASE WHEN hi - lo = 0 THEN 0 ELSE least(CAST(floor((l.len - lo) * {float(HIST_BINS)!r} / (hi - lo)) AS INTEGER), {HIST_BINS - 1}) END AS bin
+  FROM lens l JOIN mm ON l.section = mm.section
+)
+SELECT section, bin, round(lo + bin * (hi - lo) / {float(HIST_BINS)!r}, 6) AS bin_lo, count(*) AS cnt
+FROM b GROUP BY section, lo, hi, bin
+""")
+def length_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.histogram(section_lengths(spark, sf_dir), "section", "len", bins=HIST_BINS)
+
+
+@register("length_kde", sql=_lengths_sql() + f""",
+st AS (
+  SELECT section, count(*) AS n, min(len)::DOUBLE AS lo, max(len)::DOUBLE AS hi, stddev_samp(len::DOUBLE) AS sd
+  FROM lens GROUP BY section
+),
+st2 AS (SELECT *, sd * pow(n::DOUBLE, -0.2) AS h FROM st),
+b AS (
+  SELECT l.section,
+         CASE WHEN hi - lo = 0 THEN 0 ELSE least(CAST(floor((l.len - lo) * {float(KDE_BINS)!r} / (hi - lo)) AS INTEGER), {KDE_BINS - 1}) END AS bin
+  FROM lens l JOIN st2 ON l.section = st2.section
+),
+bc AS (SELECT section, bin, count(*) AS cnt FROM b GROUP BY section, bin),
+gp AS (SELECT section, n, lo, hi, h, CAST(unnest(range(0, {KDE_GRID})) AS INTEGER) AS g FROM st2),
+gx AS (SELECT *, lo + g * ((hi - lo) / {float(KDE_GRID - 1)!r}) AS x FROM gp),
+c AS (
+  SELECT gx.section, g, x, n, h,
+         ((x - (lo + (bin + 0.5) * (hi - lo) / {float(KDE_BINS)!r})) / h) AS z, cnt
+  FROM gx JOIN bc ON gx.section = bc.section
+)
+SELECT section, g, round(x, 6) AS x,
+       round(CASE WHEN h > 0 THEN sum(cnt * {_NORM!r} * exp(-0.5 * z * z)) / (n * h) END, 9) AS density
+FROM c GROUP BY section, g, x, n, h
+""")
+def length_kde(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.kde(section_lengths(spark, sf_dir), "section", "len", bins=KDE_BINS, grid=KDE_GRID)

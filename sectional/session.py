@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 # Settings every job wants; a cluster's own spark-defaults win where set.
 _DEFAULTS = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
