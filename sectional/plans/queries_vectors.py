@@ -1 +1,127 @@
-"""Registered queries (see catalog)."""
+"""Registered sequence, split, vocabulary and vector queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sectional.config import AUTHOR_VOCAB_SIZE, BATCH_SIZE, SEQ_LENS, VOCAB_SIZE
+from sectional.functions import sections as S
+from sectional.functions import text as X
+from sectional.operators import sequences as Q
+from sectional.operators import vocab as V
+from sectional.plans import sqlgen as g
+from sectional.plans.catalog import register
+from sectional.sources.tables import latex_documents, table
+
+BATCH_BUCKETS = 64
+
+
+def section_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, split, section, tokens, seq): cleaned section tokens and their W1 form.
+
+    One narrow pass: extract, clean, tokenise and pad every section column,
+    then ``explode`` an array of four structs to go long (no union re-scan).
+    """
+    wide = S.extract_sections(latex_documents(spark, sf_dir))
+    cleaned = S.clean_sections(wide, sep=" ")
+    toks = cleaned.select("doc_id", *[X.lower_tokens(X.tokenize(s)).alias(s) for s in S.SECTIONS])
+    entries = [F.struct(F.lit(s).alias("section"), F.col(s).alias("tokens"),
+                        Q.fixed_length(F.col(s), SEQ_LENS[s]).alias("seq")) for s in S.SECTIONS]
+    long = toks.select("doc_id", F.explode(F.array(*entries)).alias("e"))
+    return long.select("doc_id", Q.split_label("doc_id").alias("split"), "e.section", "e.tokens", "e.seq")
+
+
+def _seq_sql() -> str:
+    longs = "\n  UNION ALL ".join(
+        f"SELECT doc_id, {g.split_label('doc_id')} AS split, '{s}' AS section, {g.lower_tokens(s)} AS toks FROM cleaned"
+        for s in S.SECTIONS)
+    lens = " ".join(f"WHEN '{s}' THEN {SEQ_LENS[s]}" for s in S.SECTIONS)
+    return f"""WITH {g.latex_cte()},
+{g.clean_sections_ctes("latex")},
+cleaned AS (
+  SELECT doc_id, {", ".join(f"{g.process_text(s, ' ')} AS {s}" for s in S.SECTIONS)} FROM wide
+),
+long AS (
+  {longs}
+),
+fixed AS (
+  SELECT doc_id, split, section, toks, {g.fixed_length("toks", f"(CASE section {lens} END)")} AS seq FROM long
+)"""
+
+
+# fixed_seq: W1 -----------------------------------------------------------------
+@register("fixed_seq", sql=_seq_sql() + """
+SELECT doc_id, section, CAST(len(toks) AS INTEGER) AS n_tokens, array_to_string(seq, ' ') AS seq FROM fixed
+""")
+def fixed_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = section_sequences(spark, sf_dir)
+    return s.select("doc_id", "section", F.size("tokens").alias("n_tokens"), F.array_join("seq", " ").alias("seq"))
+
+
+# numericalise: A4 (fit on train) K2 J1 --------------------------------------------------
+@register("numericalise", sql=_seq_sql() + f""",
+vocab AS (
+  {g.top_vocab("SELECT unnest(toks) AS token FROM long WHERE split = 'train'", VOCAB_SIZE)}
+),
+full_vocab AS (
+  SELECT token, idx FROM vocab
+  UNION ALL SELECT '<unk>', 0 UNION ALL SELECT '<pad>', 1 UNION ALL SELECT '<SOS>', 2
+),
+pos AS (SELECT doc_id, section, unnest(seq) AS token, generate_subscripts(seq, 1) AS p FROM fixed)
+SELECT doc_id, section, string_agg(CAST(coalesce(v.idx, 0) AS VARCHAR), ' ' ORDER BY p) AS ids,
+       CAST(count(*) FILTER (WHERE v.idx IS NULL) AS INTEGER) AS n_unk
+FROM pos LEFT JOIN full_vocab v ON pos.token = v.token
+GROUP BY doc_id, section
+""")
+def numericalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = section_sequences(spark, sf_dir)
+    vocab = V.build_vocab(s.filter(F.col("split") == "train"), ["tokens"], VOCAB_SIZE)
+    ids = V.numericalise(s, ["doc_id", "section"], "seq", vocab, VOCAB_SIZE)
+    return ids.select("doc_id", "section", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"),
+                      F.size(F.filter("ids", lambda x: x == 0)).alias("n_unk"))
+
+
+# split_assign: W2 J4 -------------------------------------------------------------------
+@register("split_assign", sql=f"""
+SELECT d.doc_id, l.quality, {g.split_label("d.doc_id")} AS split
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+""")
+def split_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return docs.join(labels, "doc_id").select("doc_id", "quality", Q.split_label("doc_id").alias("split"))
+
+
+# batch_assign: W2 W3 -----------------------------------------------------------------
+@register("batch_assign", sql=f"""
+WITH s AS (
+  SELECT d.doc_id, {g.split_label("d.doc_id")} AS split, CAST({g.key_hash("d.doc_id", 17)} % {BATCH_BUCKETS} AS INTEGER) AS bucket,
+         {g.key_hash("d.doc_id", 9)} AS h2
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+)
+SELECT doc_id, split, bucket,
+       CAST(floor((row_number() OVER (PARTITION BY split, bucket ORDER BY h2, doc_id) - 1) / {BATCH_SIZE}) AS INTEGER) AS batch
+FROM s
+""")
+def batch_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    labels = table(spark, sf_dir, "labels").select("doc_id")
+    s = docs.join(labels, "doc_id").select("doc_id", Q.split_label("doc_id").alias("split"))
+    return Q.assign_batches(s, "doc_id", "split", BATCH_SIZE, BATCH_BUCKETS).select("doc_id", "split", "bucket", "batch")
+
+
+# author_vocab: A5 T10 (train split only, cap 1600) ---------------------------------------
+@register("author_vocab", sql=f"""
+WITH train AS (
+  SELECT d.lang, d.source FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE {g.split_label("d.doc_id")} = 'train'
+)
+{g.top_vocab("SELECT unnest(list_transform(string_split(lang || ',' || source, ','), lambda a: lower(a))) AS token FROM train", AUTHOR_VOCAB_SIZE)}
+""")
+def author_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    labels = table(spark, sf_dir, "labels").select("doc_id")
+    train = docs.join(labels, "doc_id").filter(Q.split_label("doc_id") == "train")
+    authors = train.select(X.lower_tokens(X.split_authors(F.concat(F.col("lang"), F.lit(","), F.col("source")))).alias("a"))
+    counts = V.token_counts(authors, ["a"]).filter(~F.col("token").isin(["<unk>", "<pad>", "<SOS>"]))
+    return V.top_tokens(counts, AUTHOR_VOCAB_SIZE, first_index=3)

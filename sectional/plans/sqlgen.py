@@ -156,3 +156,24 @@ wide AS (
 
 __all__ = ["q", "str_list", "clean_str", "process_text", "latex_cte", "compat_section", "residual",
            "prefix_span", "clean_sections_ctes", "INTRO_FLAGS", "RELAT_FLAGS", "CONCL_FLAGS"]
+
+
+def key_hash(col: str, start: int = 1) -> str:
+    return f"(('0x' || substr(md5(CAST({col} AS VARCHAR)), {start}, 8))::BIGINT)"
+
+
+def split_label(col: str, bounds: Sequence[int] = (6000, 8000), names: Sequence[str] = ("train", "valid", "test")) -> str:
+    b = f"({key_hash(col)} % 10000)"
+    whens = " ".join(f"WHEN {b} < {x} THEN {q(n)}" for x, n in zip(bounds, names))
+    return f"(CASE {whens} ELSE {q(names[-1])} END)"
+
+
+def fixed_length(toks: str, length: str) -> str:
+    return f"list_resize(list_concat(['<SOS>'], ({toks})[1:({length}) - 1]), {length}, '<pad>')"
+
+
+def top_vocab(src: str, cap: int, first: int = 3) -> str:
+    """SELECT token, cnt, idx over a (token) relation: the ``cap`` most frequent, ties by token."""
+    return f"""SELECT token, cnt, CAST(row_number() OVER (ORDER BY cnt DESC, token) + {first - 1} AS INTEGER) AS idx
+  FROM (SELECT token, count(*) AS cnt FROM ({src}) WHERE token NOT IN ('<unk>', '<pad>', '<SOS>') GROUP BY token)
+  ORDER BY cnt DESC, token LIMIT {cap}"""
