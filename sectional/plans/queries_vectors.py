@@ -125,3 +125,167 @@ def author_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     authors = train.select(X.lower_tokens(X.split_authors(F.concat(F.col("lang"), F.lit(","), F.col("source")))).alias("a"))
     counts = V.token_counts(authors, ["a"]).filter(~F.col("token").isin(["<unk>", "<pad>", "<SOS>"]))
     return V.top_tokens(counts, AUTHOR_VOCAB_SIZE, first_index=3)
+
+
+# ----------------------------------------------------------------------------------
+# Vectors: J2 J3 M9 W4 W5 W6 over whole-document token sequences.
+# Vocabulary index = embeddings.vec_id (the driver's stand-in for pretrained vectors).
+# ----------------------------------------------------------------------------------
+import math  # noqa: E402
+
+from sectional.operators import pooling as PL  # noqa: E402
+
+EMB_DIM = 64
+CONV_FILTERS, CONV_HEIGHT = 4, 3
+CONV_BIAS = [-0.01 * j for j in range(CONV_FILTERS)]
+SOS_INDEX = 2
+
+
+def conv_weights(n_filters: int = CONV_FILTERS, height: int = CONV_HEIGHT, dim: int = EMB_DIM) -> list:
+    """Deterministic filter weights from a rule: 0.2 * sin(1 + j*height*dim + k*dim + d)."""
+    return [[[0.2 * math.sin(1 + j * height * dim + k * dim + d) for d in range(dim)] for k in range(height)]
+            for j in range(n_filters)]
+
+
+def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", X.lower_tokens(X.tokenize("text")).alias("tokens"))
+    return docs
+
+
+def text_vocab(tokens: DataFrame) -> DataFrame:
+    return V.build_vocab(tokens, ["tokens"], VOCAB_SIZE)
+
+
+def doc_token_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, pos, token, idx) for every token, and the frozen (idx, vec) table (M9)."""
+    toks = doc_tokens(spark, sf_dir)
+    vocab = text_vocab(toks)
+    vt = PL.vectors_by_index(vocab, table(spark, sf_dir, "embeddings"), EMB_DIM)
+    exploded = toks.select("doc_id", F.posexplode("tokens").alias("pos", "token"))
+    return PL.token_index(exploded, vocab, VOCAB_SIZE + 3), vt
+
+
+def doc_index_counts(ti: DataFrame) -> DataFrame:
+    """(doc_id, idx, cnt): positions grouped by vocabulary entry (partial aggregate)."""
+    return ti.groupBy("doc_id", "idx").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def _bvt(vt: DataFrame) -> DataFrame:
+    from sectional.operators.joins import bounded_broadcast
+    return bounded_broadcast(vt, VOCAB_SIZE + 3, 64 + 8 * EMB_DIM * (1 + CONV_FILTERS * CONV_HEIGHT))
+
+
+_VEC_SQL = f"""WITH toks AS (SELECT doc_id, {g.lower_tokens("text")} AS t FROM documents),
+tok AS (SELECT doc_id, unnest(t) AS token, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS pos FROM toks),
+vocab AS (
+  {g.top_vocab("SELECT token FROM tok", VOCAB_SIZE)}
+),
+full_vocab AS (
+  SELECT token, cnt, idx FROM vocab
+  UNION ALL SELECT '<unk>', NULL, 0 UNION ALL SELECT '<pad>', NULL, 1 UNION ALL SELECT '<SOS>', NULL, 2
+),
+vecs AS (
+  SELECT fv.idx, CAST(coalesce(e.embedding, list_transform(range({EMB_DIM}), lambda x: CAST(0 AS FLOAT))) AS DOUBLE[]) AS vec
+  FROM full_vocab fv LEFT JOIN embeddings e ON e.vec_id = fv.idx
+),
+tv AS (SELECT tok.doc_id, tok.pos, coalesce(fv.idx, 0) AS idx FROM tok LEFT JOIN full_vocab fv ON tok.token = fv.token),
+tvv AS (SELECT tv.doc_id, tv.pos, vecs.vec FROM tv JOIN vecs ON tv.idx = vecs.idx)"""
+
+
+def _explode_sql(src: str, value: str) -> str:
+    return f"""SELECT doc_id, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS d, unnest(v) AS x FROM (SELECT doc_id, {value} AS v FROM {src})"""
+
+
+# embed_lookup: J1 J3 M9 + mean pooling ----------------------------------------------------
+@register("embed_lookup", sql=_VEC_SQL + """,
+flat AS (SELECT doc_id, CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS d, unnest(vec) AS x FROM tvv)
+SELECT doc_id, d, round(avg(x), 6) + 0.0 AS value FROM flat GROUP BY doc_id, d
+""")
+def embed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ti, vt = doc_token_index(spark, sf_dir)
+    pairs = doc_index_counts(ti).join(_bvt(vt), "idx")
+    s = PL.weighted_vector_sum(pairs, ["doc_id"], "vec", "cnt")
+    pooled = s.select("doc_id", F.transform("vsum", lambda x: x / F.col("wsum")).alias("pooled"))
+    return PL.explode_vector(pooled, ["doc_id"])
+
+
+# vector_coverage: J2 ---------------------------------------------------------------------
+@register("vector_coverage", sql=_VEC_SQL + """,
+hits AS (SELECT fv.*, CASE WHEN e.vec_id IS NULL THEN 0 ELSE 1 END AS hit FROM full_vocab fv LEFT JOIN embeddings e ON e.vec_id = fv.idx)
+SELECT count(*) AS n_vocab, CAST(sum(hit) AS BIGINT) AS n_hit, round(avg(hit), 6) AS hit_rate,
+       round(CAST(sum(cnt) FILTER (WHERE hit = 1) AS DOUBLE) / sum(cnt), 6) AS mass_hit_rate
+FROM hits
+""")
+def vector_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocab = text_vocab(doc_tokens(spark, sf_dir))
+    cov = V.vector_coverage(vocab, table(spark, sf_dir, "embeddings"), EMB_DIM)
+    return cov.agg(F.count(F.lit(1)).alias("n_vocab"), F.sum("hit").cast("bigint").alias("n_hit"),
+                   F.round(F.avg("hit"), 6).alias("hit_rate"),
+                   F.round(F.sum(F.when(F.col("hit") == 1, F.col("cnt"))).cast("double") / F.sum("cnt"), 6)
+                   .alias("mass_hit_rate"))
+
+
+# pool_last: W4 -----------------------------------------------------------------------------
+@register("pool_last", sql=_VEC_SQL + """,
+last AS (SELECT doc_id, vec FROM tvv WHERE (doc_id, pos) IN (SELECT doc_id, max(pos) FROM tvv GROUP BY doc_id)),
+flat AS (SELECT doc_id, CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS d, unnest(vec) AS x FROM last)
+SELECT doc_id, d, round(x, 6) + 0.0 AS value FROM flat
+""")
+def pool_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    toks = doc_tokens(spark, sf_dir)
+    vocab = text_vocab(toks)
+    vt = PL.vectors_by_index(vocab, table(spark, sf_dir, "embeddings"), EMB_DIM)
+    # W4 as a projection: the last token of each document, no regroup needed.
+    last = toks.filter(F.size("tokens") > 0).select("doc_id", Q.last_step(F.col("tokens")).alias("token"))
+    tv = PL.lookup_vectors(last, vocab, vt, VOCAB_SIZE + 3, EMB_DIM)
+    return PL.explode_vector(tv.select("doc_id", F.col("vec").alias("pooled")), ["doc_id"])
+
+
+# pool_attention: W6 (score = dot with the <SOS> vector, as the reference's query token) -------------
+@register("pool_attention", sql=_VEC_SQL + f""",
+qv AS (SELECT vec AS q FROM vecs WHERE idx = {SOS_INDEX}),
+sc AS (SELECT doc_id, pos, vec, list_dot_product(vec, q) AS s FROM tvv, qv),
+mx AS (SELECT doc_id, max(s) AS m FROM sc GROUP BY doc_id),
+w AS (SELECT sc.doc_id, sc.vec, exp(sc.s - mx.m) AS w FROM sc JOIN mx ON sc.doc_id = mx.doc_id),
+flat AS (SELECT doc_id, w, CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS d, unnest(vec) AS x FROM w)
+SELECT doc_id, d, round(sum(w * x) / sum(w), 6) + 0.0 AS value FROM flat GROUP BY doc_id, d
+""")
+def pool_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ti, vt = doc_token_index(spark, sf_dir)
+    # The query vector is one row of a bounded table: fetch it as a literal parameter.
+    q = vt.filter(F.col("idx") == SOS_INDEX).select("vec").first()
+    qvec = [float(x) for x in q["vec"]] if q else [0.0] * EMB_DIM
+    # Scores depend on the vocabulary entry only: compute them on the <= cap+3 vocabulary rows.
+    scored_vt = vt.withColumn("score", PL.dot(F.col("vec"), PL.lit_vector(qvec)))
+    pairs = doc_index_counts(ti).join(_bvt(scored_vt), "idx")
+    return PL.explode_vector(PL.attention_pool(pairs, ["doc_id"], "score", "vec", count="cnt"), ["doc_id"])
+
+
+# pool_conv: W5 ---------------------------------------------------------------------------
+def _conv_sql() -> str:
+    n, dim, h = CONV_FILTERS, EMB_DIM, CONV_HEIGHT
+    bias = "[" + ", ".join(repr(b) for b in CONV_BIAS) + "]"
+    return _VEC_SQL + f""",
+w AS (
+  SELECT j, k, list_transform(range({dim}), lambda d: 0.2 * sin(1 + j * {h * dim} + k * {dim} + d)) AS wv
+  FROM (SELECT unnest(range({n})) AS j) fj, (SELECT unnest(range({h})) AS k) fk
+),
+contrib AS (SELECT doc_id, pos - k AS start, j, list_dot_product(vec, wv) AS c FROM tvv, w),
+win AS (SELECT doc_id, start, j, sum(c) AS s FROM contrib GROUP BY doc_id, start, j HAVING count(*) = {h}),
+act AS (SELECT doc_id, j, max(greatest(0.0, s + ({bias})[j + 1])) AS a FROM win GROUP BY doc_id, j),
+grid AS (SELECT doc_id, j FROM documents, (SELECT unnest(range({n})) AS j) fj)
+SELECT grid.doc_id, CAST(grid.j AS INTEGER) AS j, round(coalesce(act.a, 0.0), 6) AS value
+FROM grid LEFT JOIN act ON grid.doc_id = act.doc_id AND grid.j = act.j
+"""
+
+
+@register("pool_conv", sql=_conv_sql())
+def pool_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ti, vt = doc_token_index(spark, sf_dir)
+    # Filter dot products per vocabulary entry (bounded), looked up per token.
+    dots = vt.select("idx", PL.conv_dots(F.col("vec"), conv_weights()).alias("dots"))
+    td = ti.join(_bvt(dots), "idx")
+    conv = PL.conv_pool(td, "doc_id", "pos", "dots", CONV_FILTERS, CONV_HEIGHT, CONV_BIAS)
+    grid = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(CONV_FILTERS - 1))).alias("j"))
+    out = grid.join(conv, ["doc_id", "j"], "left")
+    return out.select("doc_id", "j", F.round(F.coalesce("value", F.lit(0.0)), 6).alias("value"))
