@@ -1 +1,121 @@
-"""Registered queries (see catalog)."""
+"""Registered metric, early-stopping, model and source queries."""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sectional.config import BATCH_SIZE, PATIENCE
+from sectional.operators import metrics as M
+from sectional.operators import sequences as Q
+from sectional.operators import stopping as W
+from sectional.plans import sqlgen as g
+from sectional.plans.catalog import register
+from sectional.session import ensure_checkpoint_dir
+from sectional.sources.tables import table
+from sectional.streaming import early_stop as U
+
+BATCH_BUCKETS = 64
+# Fixed linear score: logits (0, ln(n_chars + 1) - 7).
+SCORE_OFFSET = 7.0
+
+
+def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents ⋈ labels (J4) with logits, prediction, split and batch."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    z1 = F.log(F.col("n_chars").cast("double") + F.lit(1.0)) - F.lit(SCORE_OFFSET)
+    s = docs.join(labels, "doc_id").select("doc_id", "label", F.array(F.lit(0.0), z1).alias("logits"),
+                                           Q.split_label("doc_id").alias("split"))
+    s = s.withColumn("nll", M.nll_from_logits(F.col("logits"), F.col("label"))) \
+         .withColumn("pred", M.predict(F.col("logits")))
+    return Q.assign_batches(s, "doc_id", "split", BATCH_SIZE, BATCH_BUCKETS)
+
+
+_SCORED_SQL = f"""WITH s AS (
+  SELECT d.doc_id, l.quality AS label, ln(d.n_chars + 1.0) - {SCORE_OFFSET!r} AS z1, {g.split_label("d.doc_id")} AS split,
+         CAST({g.key_hash("d.doc_id", 17)} % {BATCH_BUCKETS} AS INTEGER) AS bucket, {g.key_hash("d.doc_id", 9)} AS h2
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+),
+b AS (
+  SELECT *, CAST(floor((row_number() OVER (PARTITION BY split, bucket ORDER BY h2, doc_id) - 1) / {BATCH_SIZE}) AS INTEGER) AS batch,
+         greatest(0.0, z1) AS m
+  FROM s
+),
+r AS (
+  SELECT *, ln(exp(0.0 - m) + exp(z1 - m)) + m - (CASE WHEN label = 1 THEN z1 ELSE 0.0 END) AS nll,
+         CASE WHEN z1 > 0.0 THEN 1 ELSE 0 END AS pred
+  FROM b
+)"""
+
+
+# cross_entropy: A6 J4 W3 --------------------------------------------------------------
+@register("cross_entropy", sql=_SCORED_SQL + """,
+pb AS (SELECT split, bucket, batch, avg(nll) AS bl FROM r GROUP BY split, bucket, batch)
+SELECT split, count(*) AS n_batches, round(avg(bl), 6) AS loss FROM pb GROUP BY split
+""")
+def cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = M.batch_mean_loss(scored_documents(spark, sf_dir), ["split"], ["bucket", "batch"], "nll")
+    return out.select("split", "n_batches", F.round("loss", 6).alias("loss"))
+
+
+# accuracy: A7 M5 ----------------------------------------------------------------------
+@register("accuracy", sql=_SCORED_SQL + f"""
+SELECT split, count(*) AS n, CAST(sum(CASE WHEN pred = label THEN 1 ELSE 0 END) AS BIGINT) AS correct,
+       round(avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+       round(sum(CASE WHEN pred = label THEN 1 ELSE 0 END) / (count(DISTINCT (bucket, batch)) * {BATCH_SIZE}.0), 6) AS accuracy_compat,
+       round(greatest(avg(label::DOUBLE), 1 - avg(label::DOUBLE)), 6) AS majority_rate
+FROM r GROUP BY split
+""")
+def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = M.accuracy(scored_documents(spark, sf_dir), ["split"], "pred", "label", ["bucket", "batch"], BATCH_SIZE)
+    return out.select("split", "n", "correct", F.round("accuracy", 6).alias("accuracy"),
+                      F.round("accuracy_compat", 6).alias("accuracy_compat"),
+                      F.round("majority_rate", 6).alias("majority_rate"))
+
+
+# early_stop: W7 over events (run = user_id, step by ts, event_id; metric = value) -----------------
+_EARLY_STOP_SQL = f"""
+WITH steps AS (
+  SELECT user_id AS run_id, value::DOUBLE AS m, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step
+  FROM events
+),
+ev AS (
+  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step) AS seq,
+         greatest(coalesce(max(m) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 0.0) AS prev_best
+  FROM steps
+),
+ev2 AS (SELECT *, m > prev_best AS improved FROM ev),
+ev3 AS (
+  SELECT *, seq - coalesce(max(CASE WHEN improved THEN seq END) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS bad
+  FROM ev2
+),
+stops AS (SELECT run_id, count(*) AS n_steps, min(CASE WHEN bad > {PATIENCE} THEN step END) AS stop_step FROM ev3 GROUP BY run_id),
+best AS (
+  SELECT e.run_id, max(e.step) FILTER (WHERE e.improved AND (s.stop_step IS NULL OR e.step <= s.stop_step)) AS best_index,
+         arg_max(e.m, e.step) FILTER (WHERE e.improved AND (s.stop_step IS NULL OR e.step <= s.stop_step)) AS best_metric
+  FROM ev3 e JOIN stops s ON e.run_id = s.run_id GROUP BY e.run_id
+)
+SELECT s.run_id, s.n_steps, CAST(s.stop_step AS INTEGER) AS stop_step, CAST(coalesce(b.best_index, 0) AS INTEGER) AS best_index,
+       b.best_metric
+FROM stops s JOIN best b ON s.run_id = b.run_id
+"""
+
+
+@register("early_stop", sql=_EARLY_STOP_SQL)
+def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), "ts", "event_id", "value")
+    return W.early_stop(ev, "run_id", ["ts", "event_id"], "value", patience=PATIENCE)
+
+
+# early_stop_stream: U4 (same answer as W7, so the same oracle) -------------------------------
+@register("early_stop_stream", sql=_EARLY_STOP_SQL)
+def early_stop_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = ensure_checkpoint_dir(spark)
+    run_dir = os.path.join(base, f"early-stop-{uuid.uuid4().hex}")
+    schema = table(spark, sf_dir, "events").schema
+    return U.run_available(spark, f"{sf_dir.rstrip('/')}/events*.parquet", schema, os.path.join(run_dir, "out"),
+                           os.path.join(run_dir, "ckpt"), run="user_id", patience=PATIENCE)
