@@ -14,7 +14,7 @@ from sectional.operators import sequences as Q
 from sectional.operators import stopping as W
 from sectional.plans import sqlgen as g
 from sectional.plans.catalog import register
-from sectional.session import ensure_checkpoint_dir
+from sectional.session import cut_lineage, ensure_checkpoint_dir
 from sectional.sources.tables import table
 from sectional.streaming import early_stop as U
 
@@ -119,3 +119,131 @@ def early_stop_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     return U.run_available(spark, f"{sf_dir.rstrip('/')}/events*.parquet", schema, os.path.join(run_dir, "out"),
                            os.path.join(run_dir, "ckpt"), run="user_id", patience=PATIENCE)
+
+
+# ----------------------------------------------------------------------------------
+# Model jobs: rate_documents (flagship, M1-M4 M6 M7 S8) and gru_scores (M8).
+# ----------------------------------------------------------------------------------
+import numpy as np  # noqa: E402
+import pandas as pd  # noqa: E402
+
+from sectional.config import VOCAB_SIZE  # noqa: E402
+from sectional.functions import sections as S  # noqa: E402
+from sectional.functions import text as X  # noqa: E402
+from sectional.operators import pooling as PL  # noqa: E402
+from sectional.operators import vocab as V  # noqa: E402
+from sectional.plans import model as MD  # noqa: E402
+from sectional.sources.tables import latex_documents  # noqa: E402
+
+EMB_DIM = 64
+FLAGSHIP_VARIANT = "SharedAGRU"
+
+
+def labelled_sections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(meta: doc_id, split, label, authors) and (tokens: doc_id, section, tokens) for labelled documents."""
+    docs = latex_documents(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    base = docs.join(labels, "doc_id").withColumn("split", Q.split_label("doc_id"))
+    meta = base.select("doc_id", "split", "label", X.lower_tokens(
+        X.split_authors(F.concat(F.col("lang"), F.lit(","), F.col("source")))).alias("authors"))
+    wide = S.extract_sections(base, keep=("doc_id", "split"))
+    cleaned = S.clean_sections(wide, keep=("doc_id", "split"), sep=" ")
+    entries = [F.struct(F.lit(s).alias("section"), X.lower_tokens(X.tokenize(F.col(s))).alias("tokens")) for s in S.SECTIONS]
+    toks = cleaned.select("doc_id", "split", F.explode(F.array(*entries)).alias("e")).select("doc_id", "split", "e.section", "e.tokens")
+    return meta, toks
+
+
+def rate(spark: SparkSession, sf_dir: str, variant: str = FLAGSHIP_VARIANT, epochs: int = 20) -> DataFrame:
+    v = MD.VARIANTS[variant]
+    meta, toks = labelled_sections(spark, sf_dir)
+    # Materialise once: the cleaned section tokens feed both the vocabulary and the features.
+    toks = cut_lineage(toks)
+    vocab = cut_lineage(V.build_vocab(toks.filter(F.col("split") == "train"), ["tokens"], VOCAB_SIZE))
+    vt = cut_lineage(PL.vectors_by_index(vocab, table(spark, sf_dir, "embeddings"), EMB_DIM))
+    rows = toks.select("doc_id", "section", F.posexplode("tokens").alias("pos", "token"))
+    from sectional.plans.queries_vectors import CONV_BIAS, conv_weights
+    pooled = MD.section_features(rows, vocab, vt, EMB_DIM, v.pooling, conv_filters=conv_weights(), conv_bias=CONV_BIAS)
+    width = len(CONV_BIAS) if v.pooling == "conv" else EMB_DIM
+    fused = MD.fuse_sections(pooled, S.SECTIONS, width)
+    zeros = F.array_repeat(F.lit(0.0), width * len(S.SECTIONS))
+    data = cut_lineage(meta.join(fused, "doc_id", "left").withColumn("fused", F.coalesce("fused", zeros)))
+    out, _ = MD.train_and_evaluate(data, v, width * len(S.SECTIONS), MD.model_dir_for(spark, "rate"), epochs=epochs)
+    return out
+
+
+@register("rate_documents")
+def rate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rate(spark, sf_dir)
+
+
+GRU_HIDDEN, GRU_LAYERS, GRU_SEED = 32, 2, 11
+
+
+@register("gru_scores")
+def gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8: 2-layer GRU over each document's whole token sequence, last state -> linear head."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", X.lower_tokens(X.tokenize("text")).alias("tokens"))
+    vocab = V.build_vocab(docs, ["tokens"], VOCAB_SIZE)
+    vt = PL.vectors_by_index(vocab, table(spark, sf_dir, "embeddings"), EMB_DIM)
+    # Bounded by the vocabulary cap (+3): shipped once to every executor as arrays.
+    rows = vocab.join(vt, "idx").select("idx", "token", "vec").orderBy("idx").collect()
+    assert len(rows) <= VOCAB_SIZE + 3
+    n = (rows[-1]["idx"] + 1) if rows else 3
+    tokens_by_idx = np.array(["\u0000<none>"] * n, dtype=object)
+    matrix = np.zeros((n, EMB_DIM), dtype=np.float64)
+    for r in rows:
+        tokens_by_idx[r["idx"]] = r["token"]
+        matrix[r["idx"]] = np.asarray(r["vec"], dtype=np.float64)
+    sc = spark.sparkContext
+    weights = MD.gru_weights(EMB_DIM, GRU_HIDDEN, GRU_LAYERS, GRU_SEED)
+    rng = np.random.default_rng(GRU_SEED + 1)
+    head = (rng.uniform(-0.2, 0.2, (2, GRU_HIDDEN)), rng.uniform(-0.2, 0.2, 2))
+    b_vocab, b_matrix = sc.broadcast(pd.Index(tokens_by_idx)), sc.broadcast(matrix)
+    b_weights, b_head = sc.broadcast(weights), sc.broadcast(head)
+    schema = "doc_id long, n_tokens int, p_positive double, prediction int"
+    return docs.mapInPandas(lambda it: MD.gru_score_batches(it, b_vocab, b_matrix, b_weights, b_head), schema)
+
+
+# ----------------------------------------------------------------------------------
+# Sources: keyed-JSON corpus round trip (S1 S3 S5 S6 P1) and vector text files.
+# Files go to the session's shared checkpoint folder, never a machine-local path.
+# ----------------------------------------------------------------------------------
+from sectional.sources import corpus as C  # noqa: E402
+
+
+@register("read_keyed_json", sql=f"""
+WITH {g.latex_cte()}
+SELECT CAST(doc_id AS VARCHAR) AS paper_id, source AS venue, lang AS categ,
+       CAST(CASE WHEN source IN ('CoRR', 'No') THEN 0 ELSE 1 END AS INTEGER) AS label,
+       CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_lines,
+       CAST(length(text) AS INTEGER) AS text_len, lang || ',' || source AS autho
+FROM latex
+""")
+def read_keyed_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = os.path.join(ensure_checkpoint_dir(spark), f"corpus-{uuid.uuid4().hex}")
+    docs = latex_documents(spark, sf_dir).select(
+        "doc_id", F.element_at(F.split("text", "\n"), 1).alias("abstract"), F.col("lang").alias("title"),
+        F.concat(F.col("lang"), F.lit(","), F.col("source")).alias("authors"), F.col("lang").alias("category"),
+        F.col("source").alias("venue"), F.split("text", "\n").alias("tex_data"))
+    C.write_keyed_json(docs, os.path.join(base, "json"), "doc_id",
+                       ["abstract", "title", "authors", "category", "venue", "tex_data"])
+    corpus = C.normalise_corpus(C.read_corpus(spark, os.path.join(base, "json")))
+    C.write_prepared(corpus, os.path.join(base, "prepared"))
+    prepared = C.read_prepared(spark, os.path.join(base, "prepared"), ["paper_id", "venue", "categ", "autho", "text"])
+    return prepared.select("paper_id", "venue", "categ", X.venue_label("venue").alias("label"),
+                           F.size(F.split("text", "\n")).alias("n_lines"), F.length("text").alias("text_len"), "autho")
+
+
+@register("read_vectors", sql="""
+SELECT 'tok' || CAST(vec_id AS VARCHAR) AS token, CAST(len(embedding) AS INTEGER) AS dim,
+       round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 5) + 0.0 AS vec_sum
+FROM embeddings
+""")
+def read_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = os.path.join(ensure_checkpoint_dir(spark), f"vectors-{uuid.uuid4().hex}")
+    emb = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("tok"), F.col("vec_id").cast("string")).alias("token"),
+                                                    "embedding")
+    C.write_vectors(emb, path, "token", "embedding")
+    vec = C.read_vectors(spark, path)
+    return vec.select("token", F.size("vec").alias("dim"),
+                      (F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double")), 5) + F.lit(0.0)).alias("vec_sum"))

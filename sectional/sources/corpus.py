@@ -118,3 +118,22 @@ def read_vectors(spark: SparkSession, path: str, dim: int | None = None) -> Data
     if dim is not None:
         out = out.filter(F.size("vec") == dim)
     return out
+
+
+def write_keyed_json(df: DataFrame, path: str, key_col: str, record_cols: Sequence[str]) -> None:
+    """Sink for keyed-JSON corpora: one JSON object ``{key: record}`` per file.
+
+    One file per input partition (``spark_partition_id``), so the records
+    gathered into a file are bounded by the input split size, never by the
+    table size.
+    """
+    rec = F.struct(*[F.col(c) for c in record_cols])
+    grouped = df.select(F.spark_partition_id().alias("_part"), F.col(key_col).cast("string").alias("_k"), rec.alias("_r")) \
+        .groupBy("_part").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_r"))).alias("_m"))
+    grouped.select(F.to_json("_m").alias("value")).write.mode("overwrite").text(path)
+
+
+def write_vectors(df: DataFrame, path: str, token_col: str, vec_col: str) -> None:
+    """Sink for S7's format: ``token v1 v2 ...`` per line."""
+    line = F.concat_ws(" ", F.col(token_col), F.array_join(F.transform(vec_col, lambda x: x.cast("string")), " "))
+    df.select(line.alias("value")).write.mode("overwrite").text(path)
