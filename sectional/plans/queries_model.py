@@ -133,7 +133,7 @@ from sectional.functions import text as X  # noqa: E402
 from sectional.operators import pooling as PL  # noqa: E402
 from sectional.operators import vocab as V  # noqa: E402
 from sectional.plans import model as MD  # noqa: E402
-from sectional.sources.tables import latex_documents  # noqa: E402
+from sectional.sources.tables import latex_documents, spread  # noqa: E402
 
 EMB_DIM = 64
 FLAGSHIP_VARIANT = "SharedAGRU"
@@ -182,7 +182,8 @@ GRU_HIDDEN, GRU_LAYERS, GRU_SEED = 32, 2, 11
 @register("gru_scores")
 def gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M8: 2-layer GRU over each document's whole token sequence, last state -> linear head."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", X.lower_tokens(X.tokenize("text")).alias("tokens"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id") \
+        .select("doc_id", X.lower_tokens(X.tokenize("text")).alias("tokens"))
     vocab = V.build_vocab(docs, ["tokens"], VOCAB_SIZE)
     vt = PL.vectors_by_index(vocab, table(spark, sf_dir, "embeddings"), EMB_DIM)
     # Bounded by the vocabulary cap (+3): shipped once to every executor as arrays.

@@ -15,7 +15,7 @@ from sectional.operators import vocab as V
 from sectional.plans import sqlgen as g
 from sectional.plans.catalog import register
 from sectional.sources import corpus as C
-from sectional.sources.tables import latex_documents, table
+from sectional.sources.tables import latex_documents, spread, table
 
 TOP_TOKENS = 400
 
@@ -32,7 +32,8 @@ SELECT token, cnt, CAST(row_number() OVER (ORDER BY cnt DESC, token) + 2 AS INTE
 FROM counts ORDER BY cnt DESC, token LIMIT {TOP_TOKENS}
 """)
 def vocab_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(X.lower_tokens(X.tokenize("text")).alias("tokens"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id") \
+        .select(X.lower_tokens(X.tokenize("text")).alias("tokens"))
     counts = V.token_counts(docs, ["tokens"]).filter(~F.col("token").isin(["<unk>", "<pad>", "<SOS>"]))
     return V.top_tokens(counts, TOP_TOKENS, first_index=3)
 
@@ -193,7 +194,7 @@ counts AS (SELECT heading, count(*) AS cnt FROM heads GROUP BY heading)"""
 
 def _heading_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     latex = latex_documents(spark, sf_dir).select(S.headings("text").alias("hs"))
-    pages = table(spark, sf_dir, "pages").select(
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id").select(
         F.transform(F.regexp_extract_all("html", F.lit(H1_PATTERN), 1), F.lower).alias("hs"))
     return P.heading_counts(latex.unionByName(pages), "hs")
 
@@ -225,7 +226,7 @@ def section_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     # P4 + U3: subset the section columns and map each to its token length in one projection.
     lens = wide.select("doc_id", *X.map_columns(S.SECTIONS, X.token_length))
     docs = S.to_long(lens, ["doc_id"], S.SECTIONS, "section", "len").select("section", "len")
-    conv = table(spark, sf_dir, "conversations").select(
+    conv = spread(table(spark, sf_dir, "conversations").select("conv_id", "role", "text"), "conv_id").select(
         F.concat(F.lit("role:"), F.col("role")).alias("section"), X.token_length("text").alias("len"))
     return docs.unionByName(conv)
 

@@ -12,7 +12,7 @@ from sectional.operators import sequences as Q
 from sectional.operators import vocab as V
 from sectional.plans import sqlgen as g
 from sectional.plans.catalog import register
-from sectional.sources.tables import latex_documents, table
+from sectional.sources.tables import latex_documents, spread, table
 
 BATCH_BUCKETS = 64
 
@@ -77,8 +77,13 @@ GROUP BY doc_id, section
 def numericalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = section_sequences(spark, sf_dir)
     vocab = V.build_vocab(s.filter(F.col("split") == "train"), ["tokens"], VOCAB_SIZE)
-    ids = V.numericalise(s, ["doc_id", "section"], "seq", vocab, VOCAB_SIZE)
-    return ids.select("doc_id", "section", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"),
+    # Only the real tokens kept by W1 go through the join; <SOS> and <pad> have fixed indices.
+    lens = F.element_at(F.create_map(*[x for sec in S.SECTIONS for x in (F.lit(sec), F.lit(SEQ_LENS[sec]))]),
+                        F.col("section"))
+    kept = s.select("doc_id", "section", lens.alias("L"), F.slice("tokens", 1, lens - 1).alias("kept"))
+    ids = V.numericalise(kept, ["doc_id", "section", "L"], "kept", vocab, VOCAB_SIZE)
+    full = F.concat(F.array(F.lit(2)), F.col("ids"), F.array_repeat(F.lit(1), F.col("L") - 1 - F.size("ids")))
+    return ids.select("doc_id", "section", F.array_join(F.transform(full, lambda x: x.cast("string")), " ").alias("ids"),
                       F.size(F.filter("ids", lambda x: x == 0)).alias("n_unk"))
 
 
@@ -148,8 +153,8 @@ def conv_weights(n_filters: int = CONV_FILTERS, height: int = CONV_HEIGHT, dim:
 
 
 def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", X.lower_tokens(X.tokenize("text")).alias("tokens"))
-    return docs
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return docs.select("doc_id", X.lower_tokens(X.tokenize("text")).alias("tokens"))
 
 
 def text_vocab(tokens: DataFrame) -> DataFrame:

@@ -23,6 +23,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread CPU-heavy per-row work over the cluster when the scan is too coarse.
+
+    A Parquet row group is one task; text cleaning costs far more per byte
+    than scanning, so a table stored as one large row group would run on one
+    core. When the scan yields fewer partitions than the session's parallelism,
+    hash-repartition by ``key`` to that count (an explicit count, which AQE
+    does not coalesce back). Inputs that already have enough splits - the
+    normal case on a cluster - are left as they are, with no extra shuffle.
+    """
+    spark = df.sparkSession
+    target = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key)
+
+
 def latex_text(text: Column) -> Column:
     """Plain text -> LaTeX-like text with one section marker per line."""
     heads = F.array(*[F.lit(h) for h in LATEX_HEADINGS])
@@ -39,5 +56,5 @@ def latex_text(text: Column) -> Column:
 
 def latex_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` with ``text`` replaced by its LaTeX view."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"), "doc_id")
     return docs.select("doc_id", latex_text(F.col("text")).alias("text"), "lang", "source", "n_chars")
