@@ -133,7 +133,7 @@ from sectional.functions import text as X  # noqa: E402
 from sectional.operators import pooling as PL  # noqa: E402
 from sectional.operators import vocab as V  # noqa: E402
 from sectional.plans import model as MD  # noqa: E402
-from sectional.sources.tables import latex_documents, spread  # noqa: E402
+from sectional.sources.tables import latex_documents, latex_text, spread  # noqa: E402
 
 EMB_DIM = 64
 FLAGSHIP_VARIANT = "SharedAGRU"
@@ -141,9 +141,11 @@ FLAGSHIP_VARIANT = "SharedAGRU"
 
 def labelled_sections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(meta: doc_id, split, label, authors) and (tokens: doc_id, section, tokens) for labelled documents."""
-    docs = latex_documents(spark, sf_dir)
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    base = docs.join(labels, "doc_id").withColumn("split", Q.split_label("doc_id"))
+    # Join the labels first so the per-row text work runs on labelled documents only.
+    raw = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+    base = raw.join(labels, "doc_id").select("doc_id", latex_text(F.col("text")).alias("text"), "lang", "source", "label") \
+        .withColumn("split", Q.split_label("doc_id"))
     meta = base.select("doc_id", "split", "label", X.lower_tokens(
         X.split_authors(F.concat(F.col("lang"), F.lit(","), F.col("source")))).alias("authors"))
     wide = S.extract_sections(base, keep=("doc_id", "split"))

@@ -12,6 +12,7 @@ from sectional.operators import sequences as Q
 from sectional.operators import vocab as V
 from sectional.plans import sqlgen as g
 from sectional.plans.catalog import register
+from sectional.session import cut_lineage
 from sectional.sources.tables import latex_documents, spread, table
 
 BATCH_BUCKETS = 64
@@ -158,14 +159,15 @@ def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_vocab(tokens: DataFrame) -> DataFrame:
-    return V.build_vocab(tokens, ["tokens"], VOCAB_SIZE)
+    """Shared text vocabulary, materialised once (<= cap + 3 rows) so every lookup reuses it."""
+    return cut_lineage(V.build_vocab(tokens, ["tokens"], VOCAB_SIZE))
 
 
 def doc_token_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, pos, token, idx) for every token, and the frozen (idx, vec) table (M9)."""
     toks = doc_tokens(spark, sf_dir)
     vocab = text_vocab(toks)
-    vt = PL.vectors_by_index(vocab, table(spark, sf_dir, "embeddings"), EMB_DIM)
+    vt = cut_lineage(PL.vectors_by_index(vocab, table(spark, sf_dir, "embeddings"), EMB_DIM))
     exploded = toks.select("doc_id", F.posexplode("tokens").alias("pos", "token"))
     return PL.token_index(exploded, vocab, VOCAB_SIZE + 3), vt
 
