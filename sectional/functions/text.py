@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from sectional.config import DELETE_CHARS, NEGATIVE_VENUES, STOP_WORDS, TOKEN_PATTERN
 
@@ -57,6 +59,20 @@ def tokenize(c: Column | str, pattern: str = TOKEN_PATTERN) -> Column:
     return F.regexp_extract_all(_c(c), F.lit(pattern), 0)
 
 
+def pandas_tokenizer(fn: Callable[[str], list[str]]) -> ColFn:
+    """U1 opt-in: wrap a Python ``str -> list[str]`` tokeniser as an Arrow-batched pandas UDF.
+
+    The result plugs in wherever a ``tokenizer`` Column function is accepted
+    (e.g. ``clean_str(col, tokenizer=...)``). It runs in Python workers, so the
+    built-in ``tokenize`` stays the default on the hot path.
+    """
+    @F.pandas_udf(ArrayType(StringType()))
+    def _tok(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else list(fn(t)))
+
+    return lambda c: _tok(_c(c))
+
+
 def lower_tokens(tokens: Column) -> Column:
     return F.transform(tokens, F.lower)
 

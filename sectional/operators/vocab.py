@@ -39,13 +39,22 @@ def token_counts(df: DataFrame, token_cols: Sequence[str]) -> DataFrame:
 
 
 def top_tokens(counts: DataFrame, max_size: int | None = VOCAB_SIZE, first_index: int = len(SPECIALS)) -> DataFrame:
-    """K2: the ``max_size`` most frequent tokens, ties by token, indexed from ``first_index``."""
-    ordered = counts.orderBy(F.col("cnt").desc(), F.col("token").asc())
+    """K2: the ``max_size`` most frequent tokens, ties by token, indexed from ``first_index``.
+
+    Capped: TakeOrderedAndProject keeps k rows per map task, and only the <= k
+    survivors are ranked in one window. Uncapped (``None``): a range-partitioned
+    sort numbered with ``zipWithIndex`` (per-partition counts, then offsets), so
+    no single task ever holds the whole vocabulary.
+    """
+    order = [F.col("cnt").desc(), F.col("token").asc()]
     if max_size is not None:
-        ordered = ordered.limit(max_size)
-    # Window over the <= max_size survivors only (bounded single partition).
-    w = Window.orderBy(F.col("cnt").desc(), F.col("token").asc())
-    return ordered.select("token", "cnt", (F.row_number().over(w) + F.lit(first_index - 1)).alias("idx"))
+        ordered = counts.orderBy(*order).limit(max_size)
+        w = Window.orderBy(*order)
+        return ordered.select("token", "cnt", (F.row_number().over(w) + F.lit(first_index - 1)).alias("idx"))
+    spark = counts.sparkSession
+    ranked = counts.select("token", "cnt").orderBy(*order).rdd.zipWithIndex() \
+        .map(lambda p: (p[0]["token"], p[0]["cnt"], int(p[1]) + first_index))
+    return spark.createDataFrame(ranked, "token string, cnt bigint, idx int")
 
 
 def specials_frame(spark: SparkSession, specials: Sequence[str] = SPECIALS) -> DataFrame:

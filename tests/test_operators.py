@@ -113,3 +113,10 @@ def test_s1_keyed_json(spark, tmp_path):
     df = C.normalise_corpus(C.read_corpus(spark, str(p))).orderBy("paper_id").collect()
     assert [r["paper_id"] for r in df] == ["p1", "p2"]
     assert df[0]["abstr"] == "We rate papers." and df[0]["autho"] == "A B,C D" and df[1]["title"] is None
+
+
+def test_k2_uncapped_vocabulary_is_dense_and_ordered(spark):
+    df = spark.createDataFrame([(i, [f"t{j}" for j in range(i % 7)]) for i in range(60)], "doc_id long, tokens array<string>")
+    capped = {r["token"]: r["idx"] for r in V.build_vocab(df, ["tokens"], max_size=1000).collect()}
+    uncapped = {r["token"]: r["idx"] for r in V.build_vocab(df, ["tokens"], max_size=None).collect()}
+    assert capped == uncapped and sorted(uncapped.values()) == list(range(len(uncapped)))

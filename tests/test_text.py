@@ -62,3 +62,10 @@ def test_t10_split_authors(spark):
 
 def test_tokenizer(spark):
     assert one(spark, X.tokenize(F.col("s")), "Hello, world_1 x-y") == ["Hello", ",", "world_1", "x", "-", "y"]
+
+
+def test_u1_pandas_tokenizer_plugs_into_clean_str(spark):
+    tok = X.pandas_tokenizer(lambda t: t.split())
+    assert one(spark, tok(F.col("s")), "a-b c") == ["a-b", "c"]
+    # Whitespace tokens keep "a-b" whole; deletion then removes the hyphen.
+    assert one(spark, X.clean_str(F.col("s"), tokenizer=tok, stop_words=[]), "A-b C") == "ab c"
