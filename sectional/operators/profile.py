@@ -43,10 +43,16 @@ def heading_mass(counts: DataFrame) -> DataFrame:
 
 
 # A9 -------------------------------------------------------------------------
-def group_stats(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Per group: n, min, max, mean, sample std and exact quartiles."""
+def group_stats(df: DataFrame, group: str, value: str, approx: bool = False,
+                accuracy: int = 10000) -> DataFrame:
+    """Per group: n, min, max, sample std and quartiles.
+
+    Exact quartiles (``percentile``) keep a value -> count map per group, fine
+    for integer lengths with few distinct values; ``approx=True`` uses a
+    fixed-size sketch (``percentile_approx``) for continuous values at scale.
+    """
     v = F.col(value).cast("double")
-    q = F.percentile(v, [0.25, 0.5, 0.75])
+    q = F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy) if approx else F.percentile(v, [0.25, 0.5, 0.75])
     agg = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"),
                                 F.stddev_samp(v).alias("sd"), q.alias("_q"))
     return agg.select(group, "n", "lo", "hi", "sd", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
@@ -54,9 +60,9 @@ def group_stats(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def box_summary(df: DataFrame, group: str, value: str, whisker: float = 1.5,
-                max_groups: int = MAX_GROUPS) -> DataFrame:
+                max_groups: int = MAX_GROUPS, approx: bool = False) -> DataFrame:
     """Quartiles, whiskers (furthest values inside 1.5 IQR fences), outlier count."""
-    stats = group_stats(df, group, value).select(
+    stats = group_stats(df, group, value, approx=approx).select(
         group, "n", "q1", "median", "q3",
         (F.col("q1") - whisker * (F.col("q3") - F.col("q1"))).alias("_lo_f"),
         (F.col("q3") + whisker * (F.col("q3") - F.col("q1"))).alias("_hi_f"))

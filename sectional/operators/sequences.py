@@ -72,3 +72,9 @@ def assign_batches(df: DataFrame, key: str, split_col: str = "split", batch_size
 def last_step(seq: Column) -> Column:
     """Last element of a sequence (null for an empty one)."""
     return F.when(F.size(seq) > 0, F.element_at(seq, -1))
+
+
+def last_non_pad(seq: Column, pad: str | int = PAD) -> Column:
+    """W4 option: last element that is not padding (null if there is none)."""
+    real = F.filter(seq, lambda x: x != F.lit(pad))
+    return F.when(F.size(real) > 0, F.element_at(real, -1))

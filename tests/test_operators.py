@@ -120,3 +120,16 @@ def test_k2_uncapped_vocabulary_is_dense_and_ordered(spark):
     capped = {r["token"]: r["idx"] for r in V.build_vocab(df, ["tokens"], max_size=1000).collect()}
     uncapped = {r["token"]: r["idx"] for r in V.build_vocab(df, ["tokens"], max_size=None).collect()}
     assert capped == uncapped and sorted(uncapped.values()) == list(range(len(uncapped)))
+
+
+def test_w4_last_and_last_non_pad(spark):
+    df = spark.createDataFrame([(["<SOS>", "a", "b", "<pad>", "<pad>"],), (["<pad>"],)], "s array<string>")
+    rows = df.select(Q.last_step(F.col("s")).alias("l"), Q.last_non_pad(F.col("s")).alias("r")).collect()
+    assert [(r["l"], r["r"]) for r in rows] == [("<pad>", "b"), ("<pad>", None)]
+
+
+def test_a9_approx_quartiles_close_to_exact(spark):
+    df = spark.createDataFrame([("s", v) for v in range(1, 1001)], "g string, v int")
+    exact = P.box_summary(df, "g", "v").first()
+    approx = P.box_summary(df, "g", "v", approx=True).first()
+    assert abs(exact["median"] - approx["median"]) <= 2 and approx["n_outliers"] == 0
