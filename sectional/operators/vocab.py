@@ -70,9 +70,15 @@ def build_vocab(df: DataFrame, token_cols: Sequence[str], max_size: int | None =
     Specials are excluded from the counts, as tokens equal to a special are
     mapped to it anyway.
     """
-    counts = token_counts(df, token_cols).filter(~F.col("token").isin(list(specials)))
+    return vocab_from_counts(token_counts(df, token_cols), max_size, specials)
+
+
+def vocab_from_counts(counts: DataFrame, max_size: int | None = VOCAB_SIZE,
+                      specials: Sequence[str] = SPECIALS) -> DataFrame:
+    """A4 from a (token, cnt) table, e.g. per-document counts summed by token."""
+    counts = counts.filter(~F.col("token").isin(list(specials)))
     ranked = top_tokens(counts, max_size, first_index=len(specials))
-    return specials_frame(df.sparkSession, specials).unionByName(ranked)
+    return specials_frame(counts.sparkSession, specials).unionByName(ranked)
 
 
 def vocab_broadcast(vocab: DataFrame, max_size: int | None, specials: int = len(SPECIALS)) -> DataFrame:

@@ -172,6 +172,24 @@ def doc_token_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return PL.token_index(exploded, vocab, VOCAB_SIZE + 3), vt
 
 
+def doc_token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, token, cnt), written once: one tokenisation pass feeds both the vocabulary and
+    the per-document counts (partially aggregated, so repeated tokens of a document collapse)."""
+    toks = doc_tokens(spark, sf_dir).select("doc_id", F.explode("tokens").alias("token"))
+    return cut_lineage(toks.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("cnt")), "doc-token-pairs")
+
+
+def vocab_from_pairs(pairs: DataFrame) -> DataFrame:
+    counts = pairs.groupBy("token").agg(F.sum("cnt").cast("bigint").alias("cnt"))
+    return cut_lineage(V.vocab_from_counts(counts, VOCAB_SIZE), "text-vocab")
+
+
+def index_counts_from_pairs(pairs: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(doc_id, idx, cnt): token counts mapped through the broadcast vocabulary (unknown -> 0)."""
+    ti = PL.token_index(pairs, vocab, VOCAB_SIZE + 3)
+    return ti.groupBy("doc_id", "idx").agg(F.sum("cnt").cast("bigint").alias("cnt"))
+
+
 def doc_index_counts(ti: DataFrame) -> DataFrame:
     """(doc_id, idx, cnt): positions grouped by vocabulary entry (partial aggregate)."""
     return ti.groupBy("doc_id", "idx").agg(F.count(F.lit(1)).alias("cnt"))
@@ -209,9 +227,11 @@ flat AS (SELECT doc_id, CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS d, u
 SELECT doc_id, d, round(avg(x), 6) + 0.0 AS value FROM flat GROUP BY doc_id, d
 """)
 def embed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ti, vt = doc_token_index(spark, sf_dir)
-    pairs = doc_index_counts(ti).join(_bvt(vt), "idx")
-    s = PL.weighted_vector_sum(pairs, ["doc_id"], "vec", "cnt")
+    pairs = doc_token_pairs(spark, sf_dir)
+    vocab = vocab_from_pairs(pairs)
+    vt = PL.vectors_by_index(vocab, table(spark, sf_dir, "embeddings"), EMB_DIM)
+    joined = index_counts_from_pairs(pairs, vocab).join(_bvt(vt), "idx")
+    s = PL.weighted_vector_sum(joined, ["doc_id"], "vec", "cnt")
     pooled = s.select("doc_id", F.transform("vsum", lambda x: x / F.col("wsum")).alias("pooled"))
     return PL.explode_vector(pooled, ["doc_id"])
 
@@ -224,7 +244,7 @@ SELECT count(*) AS n_vocab, CAST(sum(hit) AS BIGINT) AS n_hit, round(avg(hit), 6
 FROM hits
 """)
 def vector_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocab = text_vocab(doc_tokens(spark, sf_dir))
+    vocab = vocab_from_pairs(doc_token_pairs(spark, sf_dir))
     cov = V.vector_coverage(vocab, table(spark, sf_dir, "embeddings"), EMB_DIM)
     return cov.agg(F.count(F.lit(1)).alias("n_vocab"), F.sum("hit").cast("bigint").alias("n_hit"),
                    F.round(F.avg("hit"), 6).alias("hit_rate"),
@@ -258,14 +278,16 @@ flat AS (SELECT doc_id, w, CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS d
 SELECT doc_id, d, round(sum(w * x) / sum(w), 6) + 0.0 AS value FROM flat GROUP BY doc_id, d
 """)
 def pool_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ti, vt = doc_token_index(spark, sf_dir)
+    pairs = doc_token_pairs(spark, sf_dir)
+    vocab = vocab_from_pairs(pairs)
+    vt = cut_lineage(PL.vectors_by_index(vocab, table(spark, sf_dir, "embeddings"), EMB_DIM), "vocab-vectors")
     # The query vector is one row of a bounded table: fetch it as a literal parameter.
     q = vt.filter(F.col("idx") == SOS_INDEX).select("vec").first()
     qvec = [float(x) for x in q["vec"]] if q else [0.0] * EMB_DIM
     # Scores depend on the vocabulary entry only: compute them on the <= cap+3 vocabulary rows.
     scored_vt = vt.withColumn("score", PL.dot(F.col("vec"), PL.lit_vector(qvec)))
-    pairs = doc_index_counts(ti).join(_bvt(scored_vt), "idx")
-    return PL.explode_vector(PL.attention_pool(pairs, ["doc_id"], "score", "vec", count="cnt"), ["doc_id"])
+    joined = index_counts_from_pairs(pairs, vocab).join(_bvt(scored_vt), "idx")
+    return PL.explode_vector(PL.attention_pool(joined, ["doc_id"], "score", "vec", count="cnt"), ["doc_id"])
 
 
 # pool_conv: W5 ---------------------------------------------------------------------------
