@@ -75,3 +75,16 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def size_partitions(df: DataFrame, target_bytes: int = 128 * 1024 * 1024) -> DataFrame:
+    """Coalesce a (freshly read) table to about one partition per ``target_bytes`` of input.
+
+    Uses the optimizer's size estimate (file sizes for a Parquet read), so no
+    job runs. Iterative consumers such as MLlib optimisers run one job per
+    iteration; matching partitions to data size keeps that per-job cost
+    proportional at every scale.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = max(1, -(-size // target_bytes))
+    return df.coalesce(n) if n < df.rdd.getNumPartitions() else df
