@@ -96,6 +96,8 @@ def numericalise(df: DataFrame, key: Sequence[str] | str, tokens_col: str, vocab
     regroup by key with ``sort_array(collect_list(struct(pos, idx)))``; the
     collect is partially aggregated per map task so the shuffle moves about
     one row per key. Rows with an empty or null array keep an empty result.
+    Each key's list is one row, so callers bound it first (the registered
+    query truncates to the W1 length before numericalising).
     """
     keys = [key] if isinstance(key, str) else list(key)
     v = vocab_broadcast(vocab.select(F.col("token").alias("_tok"), F.col("idx").alias("_idx")), max_size)
