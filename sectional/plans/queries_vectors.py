@@ -287,7 +287,10 @@ def pool_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Scores depend on the vocabulary entry only: compute them on the <= cap+3 vocabulary rows.
     scored_vt = vt.withColumn("score", PL.dot(F.col("vec"), PL.lit_vector(qvec)))
     joined = index_counts_from_pairs(pairs, vocab).join(_bvt(scored_vt), "idx")
-    return PL.explode_vector(PL.attention_pool(joined, ["doc_id"], "score", "vec", count="cnt"), ["doc_id"])
+    # Scores live on the bounded vocabulary table: one scalar check decides whether a global shift is safe.
+    shift = PL.safe_shift(scored_vt)
+    return PL.explode_vector(PL.attention_pool(joined, ["doc_id"], "score", "vec", count="cnt", shift=shift),
+                             ["doc_id"])
 
 
 # pool_conv: W5 ---------------------------------------------------------------------------
@@ -315,6 +318,5 @@ def pool_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
     dots = vt.select("idx", PL.conv_dots(F.col("vec"), conv_weights()).alias("dots"))
     td = ti.join(_bvt(dots), "idx")
     conv = PL.conv_pool(td, "doc_id", "pos", "dots", CONV_FILTERS, CONV_HEIGHT, CONV_BIAS)
-    grid = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(CONV_FILTERS - 1))).alias("j"))
-    out = grid.join(conv, ["doc_id", "j"], "left")
-    return out.select("doc_id", "j", F.round(F.coalesce("value", F.lit(0.0)), 6).alias("value"))
+    out = PL.with_zero_fill(conv, table(spark, sf_dir, "documents").select("doc_id"), "doc_id", CONV_FILTERS)
+    return out.select("doc_id", "j", F.round("value", 6).alias("value"))
