@@ -51,6 +51,39 @@ def split_label(key: str | Column, ratios: Sequence[float] = SPLIT_RATIOS,
     return out
 
 
+def split_label_stratified(df: DataFrame, key: str, label: str, ratios: Sequence[float] = SPLIT_RATIOS,
+                           names: Sequence[str] = SPLIT_NAMES, grid: int = 4096,
+                           max_labels: int = 100_000) -> DataFrame:
+    """W2 stratified: exact per-label proportions, ranks by key hash inside each label.
+
+    A window over a whole label would be one task per label (half the rows
+    for a binary label). Instead rows are counted per (label, hash bucket) on a
+    ``grid`` of buckets (a table of at most labels x grid rows), cumulative
+    counts per label come from that small table, and rows are numbered only
+    inside their (label, bucket). rank / n_label is then compared with the
+    cumulative ratios, so every label is split exactly and deterministically.
+    """
+    h = key_hash(key)
+    staged = df.withColumn("_h", h).withColumn("_b", (F.col("_h") % F.lit(grid)).cast("int"))
+    counts = staged.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    w_lab = Window.partitionBy(label).orderBy("_b")
+    cum = counts.select(label, "_b", (F.sum("_c").over(w_lab) - F.col("_c")).alias("_before"),
+                        F.sum("_c").over(Window.partitionBy(label)).alias("_n"))
+    from sectional.operators.joins import bounded_broadcast
+    ranked = staged.join(bounded_broadcast(cum, max_labels * grid, 32), [label, "_b"]) \
+        .withColumn("_rank", F.col("_before") + F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key)))
+    # Integer comparison (rank - 1) / n < bound / RES, free of float rounding at the boundaries.
+    scaled = (F.col("_rank") - 1) * F.lit(SPLIT_RESOLUTION)
+    out = F.lit(names[-1])
+    cum_r, bounds = 0.0, []
+    for r in ratios[:-1]:
+        cum_r += r
+        bounds.append(int(round(cum_r * SPLIT_RESOLUTION)))
+    for name, bound in reversed(list(zip(names[:-1], bounds))):
+        out = F.when(scaled < F.lit(bound) * F.col("_n"), F.lit(name)).otherwise(out)
+    return ranked.withColumn("split", out).drop("_h", "_b", "_before", "_n", "_rank")
+
+
 def assign_batches(df: DataFrame, key: str, split_col: str = "split", batch_size: int = BATCH_SIZE,
                    buckets: int | None = None) -> DataFrame:
     """(bucket, batch) per row; batches of ``batch_size`` inside (split, bucket).

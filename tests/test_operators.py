@@ -133,3 +133,14 @@ def test_a9_approx_quartiles_close_to_exact(spark):
     exact = P.box_summary(df, "g", "v").first()
     approx = P.box_summary(df, "g", "v", approx=True).first()
     assert abs(exact["median"] - approx["median"]) <= 2 and approx["n_outliers"] == 0
+
+
+def test_w2_stratified_split_is_exact_per_label(spark):
+    df = spark.range(3000).withColumnRenamed("id", "doc_id").withColumn(
+        "label", F.when(F.col("doc_id") % 10 < 8, 1).otherwise(0))  # one label holds 80 % of rows
+    out = Q.split_label_stratified(df, "doc_id", "label", grid=64)
+    got = {(r["label"], r["split"]): r["count"] for r in out.groupBy("label", "split").count().collect()}
+    assert got == {(1, "train"): 1440, (1, "valid"): 480, (1, "test"): 480,
+                   (0, "train"): 360, (0, "valid"): 120, (0, "test"): 120}
+    again = {r["doc_id"]: r["split"] for r in Q.split_label_stratified(df.repartition(5), "doc_id", "label", grid=64).collect()}
+    assert again == {r["doc_id"]: r["split"] for r in out.collect()}
