@@ -64,7 +64,8 @@ def split_label_stratified(df: DataFrame, key: str, label: str, ratios: Sequence
     cumulative ratios, so every label is split exactly and deterministically.
     """
     h = key_hash(key)
-    staged = df.withColumn("_h", h).withColumn("_b", (F.col("_h") % F.lit(grid)).cast("int"))
+    # Buckets are ranges of the 32-bit hash, so (bucket, hash) order is hash order.
+    staged = df.withColumn("_h", h).withColumn("_b", F.floor(F.col("_h") * F.lit(grid) / F.lit(float(1 << 32))).cast("int"))
     counts = staged.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_c"))
     w_lab = Window.partitionBy(label).orderBy("_b")
     cum = counts.select(label, "_b", (F.sum("_c").over(w_lab) - F.col("_c")).alias("_before"),

@@ -320,3 +320,23 @@ def pool_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = PL.conv_pool(td, "doc_id", "pos", "dots", CONV_FILTERS, CONV_HEIGHT, CONV_BIAS)
     out = PL.with_zero_fill(conv, table(spark, sf_dir, "documents").select("doc_id"), "doc_id", CONV_FILTERS)
     return out.select("doc_id", "j", F.round("value", 6).alias("value"))
+
+
+# split_stratified: W2 stratified variant (exact per-label proportions) -----------------------
+@register("split_stratified", sql=f"""
+WITH s AS (
+  SELECT d.doc_id, l.quality, {g.key_hash("d.doc_id")} AS h
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY quality ORDER BY h, doc_id) AS rnk, count(*) OVER (PARTITION BY quality) AS n
+  FROM s
+)
+SELECT doc_id, quality,
+       CASE WHEN (rnk - 1) * 10000 < 6000 * n THEN 'train' WHEN (rnk - 1) * 10000 < 8000 * n THEN 'valid' ELSE 'test' END AS split
+FROM r
+""")
+def split_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return Q.split_label_stratified(docs.join(labels, "doc_id"), "doc_id", "quality").select("doc_id", "quality", "split")

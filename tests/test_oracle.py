@@ -11,7 +11,7 @@ from sectional.sources.tables import TABLES
 from .conftest import SF_SMALL
 
 CHEAP = ["vocab_top", "clean_text", "label_map", "corpus_trim", "list_split", "section_clean", "section_compat",
-         "section_prefix", "residual", "heading_top", "heading_mass", "length_box", "length_hist", "split_assign",
+         "section_prefix", "residual", "heading_top", "heading_mass", "length_box", "length_hist", "split_assign", "split_stratified",
          "batch_assign", "author_vocab", "vector_coverage", "pool_last", "cross_entropy", "accuracy", "early_stop"]
 
 
