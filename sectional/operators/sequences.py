@@ -53,7 +53,7 @@ def split_label(key: str | Column, ratios: Sequence[float] = SPLIT_RATIOS,
 
 def split_label_stratified(df: DataFrame, key: str, label: str, ratios: Sequence[float] = SPLIT_RATIOS,
                            names: Sequence[str] = SPLIT_NAMES, grid: int = 4096,
-                           max_labels: int = 100_000) -> DataFrame:
+                           max_labels: int = 1_000) -> DataFrame:
     """W2 stratified: exact per-label proportions, ranks by key hash inside each label.
 
     A window over a whole label would be one task per label (half the rows
