@@ -6,8 +6,10 @@ Scale notes
   exact ``percentile`` keeps a value->count map, so its buffer grows with the
   number of *distinct* lengths, not rows). A section holding a third of all
   rows is combined map-side before the shuffle.
-- Per-group statistics (one row per section) are joined back by broadcast;
-  the row bound is the number of groups, passed in by the caller.
+- Per-group statistics (one row per group) are joined back without a
+  broadcast hint: the number of groups is data, not a proven bound, so AQE
+  measures the materialised aggregate at run time and broadcasts it only if
+  it is small (it is, for sections), else keeps a shuffle join.
 """
 
 from __future__ import annotations
@@ -17,11 +19,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectional.operators.joins import bounded_broadcast
-
-# Upper bound on distinct groups (sections / roles) a profile is asked for.
+# Kept for callers that pass it; group tables are broadcast by AQE's measured size, not by this bound.
 MAX_GROUPS = 100_000
-_STATS_ROW_BYTES = 128
 
 
 # A1 / A2 / A3 / K1 ----------------------------------------------------------------
@@ -67,7 +66,7 @@ def box_summary(df: DataFrame, group: str, value: str, whisker: float = 1.5,
         (F.col("q1") - whisker * (F.col("q3") - F.col("q1"))).alias("_lo_f"),
         (F.col("q3") + whisker * (F.col("q3") - F.col("q1"))).alias("_hi_f"))
     v = F.col(value).cast("double")
-    joined = df.select(group, v.alias("_v")).join(bounded_broadcast(stats, max_groups, _STATS_ROW_BYTES), group)
+    joined = df.select(group, v.alias("_v")).join(stats, group)
     inside_lo = F.col("_v") >= F.col("_lo_f")
     inside_hi = F.col("_v") <= F.col("_hi_f")
     out = joined.groupBy(group, "n", "q1", "median", "q3").agg(
@@ -88,8 +87,7 @@ def histogram(df: DataFrame, group: str, value: str, bins: int = 20, max_groups:
     """A10: equal-width bins between the group's min and max; non-empty bins only."""
     stats = df.groupBy(group).agg(F.min(F.col(value).cast("double")).alias("lo"),
                                   F.max(F.col(value).cast("double")).alias("hi"))
-    joined = df.select(group, F.col(value).cast("double").alias("_v")) \
-        .join(bounded_broadcast(stats, max_groups, _STATS_ROW_BYTES), group)
+    joined = df.select(group, F.col(value).cast("double").alias("_v")).join(stats, group)
     binned = joined.select(group, "lo", "hi", _bin_of(F.col("_v"), F.col("lo"), F.col("hi"), bins).alias("bin"))
     out = binned.groupBy(group, "lo", "hi", "bin").agg(F.count(F.lit(1)).alias("cnt"))
     edge = F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / F.lit(float(bins))
@@ -108,8 +106,7 @@ def kde(df: DataFrame, group: str, value: str, bins: int = 64, grid: int = 32,
     stats = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"),
                                   F.stddev_samp(v).alias("sd"))
     stats = stats.withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
-    bstats = bounded_broadcast(stats, max_groups, _STATS_ROW_BYTES)
-    binned = df.select(group, v.alias("_v")).join(bstats, group) \
+    binned = df.select(group, v.alias("_v")).join(stats, group) \
         .select(group, _bin_of(F.col("_v"), F.col("lo"), F.col("hi"), bins).alias("bin")) \
         .groupBy(group, "bin").agg(F.count(F.lit(1)).alias("cnt"))
     # Grid points per group: a sequence generated inside each stats row (grid is a parameter).

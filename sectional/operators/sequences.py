@@ -52,8 +52,7 @@ def split_label(key: str | Column, ratios: Sequence[float] = SPLIT_RATIOS,
 
 
 def split_label_stratified(df: DataFrame, key: str, label: str, ratios: Sequence[float] = SPLIT_RATIOS,
-                           names: Sequence[str] = SPLIT_NAMES, grid: int = 4096,
-                           max_labels: int = 1_000) -> DataFrame:
+                           names: Sequence[str] = SPLIT_NAMES, grid: int = 4096) -> DataFrame:
     """W2 stratified: exact per-label proportions, ranks by key hash inside each label.
 
     A window over a whole label would be one task per label (half the rows
@@ -70,8 +69,8 @@ def split_label_stratified(df: DataFrame, key: str, label: str, ratios: Sequence
     w_lab = Window.partitionBy(label).orderBy("_b")
     cum = counts.select(label, "_b", (F.sum("_c").over(w_lab) - F.col("_c")).alias("_before"),
                         F.sum("_c").over(Window.partitionBy(label)).alias("_n"))
-    from sectional.operators.joins import bounded_broadcast
-    ranked = staged.join(bounded_broadcast(cum, max_labels * grid, 32), [label, "_b"]) \
+    # labels x grid rows: AQE broadcasts it after measuring the materialised table (no assumed bound).
+    ranked = staged.join(cum, [label, "_b"]) \
         .withColumn("_rank", F.col("_before") + F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key)))
     # Integer comparison (rank - 1) / n < bound / RES, free of float rounding at the boundaries.
     scaled = (F.col("_rank") - 1) * F.lit(SPLIT_RESOLUTION)
