@@ -231,7 +231,7 @@ def embed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = vocab_from_pairs(pairs)
     vt = PL.vectors_by_index(vocab, table(spark, sf_dir, "embeddings"), EMB_DIM)
     joined = index_counts_from_pairs(pairs, vocab).join(_bvt(vt), "idx")
-    s = PL.weighted_vector_sum(joined, ["doc_id"], "vec", "cnt")
+    s = PL.weighted_vector_sum(joined, ["doc_id"], "vec", "cnt", dim=EMB_DIM)
     pooled = s.select("doc_id", F.transform("vsum", lambda x: x / F.col("wsum")).alias("pooled"))
     return PL.explode_vector(pooled, ["doc_id"])
 
@@ -289,8 +289,8 @@ def pool_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = index_counts_from_pairs(pairs, vocab).join(_bvt(scored_vt), "idx")
     # Scores live on the bounded vocabulary table: one scalar check decides whether a global shift is safe.
     shift = PL.safe_shift(scored_vt)
-    return PL.explode_vector(PL.attention_pool(joined, ["doc_id"], "score", "vec", count="cnt", shift=shift),
-                             ["doc_id"])
+    return PL.explode_vector(PL.attention_pool(joined, ["doc_id"], "score", "vec", count="cnt", shift=shift,
+                                               dim=EMB_DIM), ["doc_id"])
 
 
 # pool_conv: W5 ---------------------------------------------------------------------------
