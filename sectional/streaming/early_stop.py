@@ -15,6 +15,7 @@ task per batch, never an unbounded collect.
 from __future__ import annotations
 
 import os
+import warnings
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,6 +26,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from sectional.config import PATIENCE
 from sectional.operators.stopping import LONG_MAX
 
+# PySpark's state serializer concatenates empty pandas frames; pandas warns about a future change
+# that does not affect these fixed-schema frames. Silenced here (this module is imported in the worker).
+warnings.filterwarnings("ignore", message="The behavior of DataFrame concatenation with empty", category=FutureWarning)
+
 OUTPUT_SCHEMA = ("run_id long, n_steps long, stop_step int, best_index int, best_metric double, "
                  "last_ts timestamp, last_id long")
 STATE_SCHEMA = ("n_steps int, best double, best_index int, best_metric double, bad int, stop_step int, "
