@@ -76,7 +76,9 @@ FROM pos LEFT JOIN full_vocab v ON pos.token = v.token
 GROUP BY doc_id, section
 """)
 def numericalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = section_sequences(spark, sf_dir)
+    # The token table feeds both the train vocabulary and the lookup: write it once (tokens only,
+    # not the padded sequences) so the extract-clean-tokenise pipeline runs a single time.
+    s = cut_lineage(section_sequences(spark, sf_dir).select("doc_id", "split", "section", "tokens"), "section-tokens")
     vocab = V.build_vocab(s.filter(F.col("split") == "train"), ["tokens"], VOCAB_SIZE)
     # Only the real tokens kept by W1 go through the join; <SOS> and <pad> have fixed indices.
     lens = F.element_at(F.create_map(*[x for sec in S.SECTIONS for x in (F.lit(sec), F.lit(SEQ_LENS[sec]))]),
