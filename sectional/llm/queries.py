@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cascade, fixity, html_text, licenses, mixing
+from . import cascade, fixity, html_text, licenses, mixing, packing
 from .common import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,18 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "rank", "file", "offset", "length", "copies", "digest_a", "digest_b")
 
 
+def ranks_path() -> str:
+    """The public byte-level vocabulary, as ranks (the same ids as its tokenizers file)."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@query("op3_best_fit_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), ranks_path())
+
+
 @query("op4_license_scan")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents")).drop("blocks")
