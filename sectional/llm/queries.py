@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cascade, fixity, html_text, licenses, mixing, neighbours, packing
+from . import cascade, fixity, html_text, licenses, mixing, neardup, neighbours, packing
 from .common import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan_mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return planned.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
                           F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
+
+
+@query("op9_minhash_forest")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"), n=2)
