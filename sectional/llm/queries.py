@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cascade, fixity, html_text, licenses, mixing, neardup, neighbours, packing
+from . import cascade, fixity, html_text, licenses, mixing, neardup, neighbours, packing, repeats
 from .common import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_minhash_forest")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), n=2)
+
+
+@query("op10_bwt_repeats")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), keep=("doc_id",))
