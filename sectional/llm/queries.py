@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cascade, fixity, html_text, licenses, mixing, neardup, neighbours, packing, repeats
+from . import cascade, fixity, html_text, licenses, maxent, mixing, neardup, neighbours, packing, repeats
 from .common import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+@query("op1_maxent_lm")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(read(spark, sf_dir, "documents"))
+
+
 #: Every 89th page's second copy has one character changed; the audit has to find exactly these.
 DAMAGED = "page_id % 89 = 7"
 
