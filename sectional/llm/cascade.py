@@ -181,6 +181,36 @@ def order_rules(stats: list[dict], rules: tuple[Rule, ...] = RULES) -> tuple[Rul
     return tuple(sorted(rules, key=lambda r: gain[r.name], reverse=True))
 
 
+def _judge(whole: Texts, ordered: tuple[Rule, ...]) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]:
+    """The cascade over a slice: the number of the rule that rejects each text (-1: none), the rules' numbers (-1: not
+    measured), and the base rules' verdict (-1: not reached)."""
+    n = len(whole)
+    values = {r.name: np.full(n, -1, np.int64) for r in ordered}
+    failed, base = np.full(n, -1), np.full(n, -1, np.int8)
+    alive, t = np.arange(n), whole
+    for k, rule in enumerate(ordered):
+        value = rule.measure(t)
+        bad = rule.reject(value, t.n_words, t)
+        values[rule.name][alive] = value
+        if rule.base:
+            base[alive] = np.maximum(base[alive], bad)
+        failed[alive[bad]] = k
+        if bad.any():
+            alive, t = alive[~bad], t.keep(~bad)
+    return failed, values, base
+
+
+def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = 2000) -> DataFrame:
+    """The rows that no rule rejects, as they are, whatever their other columns are called."""
+    ordered = order_rules(estimate(docs, rules, text, sample_rows), rules)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in text_slices(batches, text):
+            yield rows.filter(pa.array(_judge(Texts(texts), ordered)[0] < 0))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", keep: tuple[str, ...] | None = None,
             sample_rows: int = 2000, fill: bool = False) -> DataFrame:
     """The columns ``keep`` (all by default), then each rule's number (null where the cascade had stopped, unless
@@ -199,20 +229,7 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_slices(batches, text):
             whole = Texts(texts)
-            n = len(whole)
-            values = {r.name: np.full(n, -1, np.int64) for r in rules}
-            failed = np.full(n, -1)
-            base = np.full(n, -1, np.int8)
-            alive, t = np.arange(n), whole
-            for k, rule in enumerate(ordered):
-                value = rule.measure(t)
-                bad = rule.reject(value, t.n_words, t)
-                values[rule.name][alive] = value
-                if rule.base:
-                    base[alive] = np.maximum(base[alive], bad)
-                failed[alive[bad]] = k
-                if bad.any():
-                    alive, t = alive[~bad], t.keep(~bad)
+            failed, values, base = _judge(whole, ordered)
             gone = failed >= 0
             if fill and gone.any():
                 t, at = whole.keep(gone), np.flatnonzero(gone)

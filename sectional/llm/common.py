@@ -20,6 +20,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return cut_lineage(df, f"llm-{name}")
 
 
+def aside(docs: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with all columns but the used ones renamed, so that none clashes with what an operator adds; and the
+    original name of each renamed column."""
+    names = {f"aside_{k}": c for k, c in enumerate(docs.columns) if c not in used}
+    back = {c: a for a, c in names.items()}
+    return docs.toDF(*[back.get(c, c) for c in docs.columns]), names
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text",
                 max_bytes: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Cut Arrow batches into runs of rows with about ``max_bytes`` of text; null texts become empty.

@@ -7,7 +7,7 @@ over the (one row per source) table of totals, one join, no Python.
 
 Defined results. Null text: size 0. Null source: a source of its own, the last. Repeated rows: each is a document, and
 rows with the same doc_id toss the same coin. Empty sources (size 0): target 0, nothing taken. An empty table: no rows.
-A column of the input whose name the operator needs for itself (``mix_*``) is untouched unless it has that prefix.
+``mix`` returns the input's columns whatever their names; ``plan_mix`` replaces columns that are called ``mix_...`` already.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import aside, stage
 
 #: Rows of the source table up to which it is broadcast (about 60 bytes each, so 6 MB).
 BROADCAST_SOURCES = 100_000
@@ -70,8 +70,9 @@ def plan_mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id
     return joined.withColumn("mix_copies", copies.cast("long"))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """The mixed corpus: the input's columns, each row as often as it is taken."""
-    planned = plan_mix(docs, **options).where(F.col("mix_copies") > 0)
+    own, names = aside(docs, source, text, doc_id)
+    planned = plan_mix(own, source, text, doc_id, **options).where(F.col("mix_copies") > 0)
     each = planned.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))))
-    return each.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return each.select(*[F.col(f"`{c}`") for c in own.columns]).toDF(*[names.get(c, c) for c in own.columns])

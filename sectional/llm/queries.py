@@ -17,10 +17,14 @@ ORACLE: dict[str, str] = {}
 ARROW_ROWS = 1000
 
 
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def query(name: str, sql: str | None = None):
     def add(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+            small_batches(spark)
             return fn(spark, sf_dir)
 
         QUERIES[name] = run
@@ -165,4 +169,4 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_bwt_repeats")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), keep=("doc_id",))
+    return repeats.remove_repeats(read(spark, sf_dir, "documents"))
