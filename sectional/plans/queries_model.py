@@ -80,7 +80,7 @@ def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 # early_stop: W7 over events (run = user_id, step by ts, event_id; metric = value) -----------------
 _EARLY_STOP_SQL = f"""
 WITH steps AS (
-  SELECT user_id AS run_id, value::DOUBLE AS m, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step
+  SELECT user_id AS run_id, CASE WHEN NOT isnan(value::DOUBLE) THEN value::DOUBLE END AS m, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step
   FROM events
 ),
 ev AS (
@@ -88,7 +88,7 @@ ev AS (
          greatest(coalesce(max(m) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 0.0) AS prev_best
   FROM steps
 ),
-ev2 AS (SELECT *, m > prev_best AS improved FROM ev),
+ev2 AS (SELECT *, coalesce(m > prev_best, false) AS improved FROM ev),
 ev3 AS (
   SELECT *, seq - coalesce(max(CASE WHEN improved THEN seq END) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS bad
   FROM ev2
@@ -112,7 +112,7 @@ def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # early_stop_stream: U4 (same answer as W7, so the same oracle) -------------------------------
-@register("early_stop_stream", sql=_EARLY_STOP_SQL)
+@register("early_stop_stream", sql=_EARLY_STOP_SQL.replace("b.best_metric\nFROM stops", "b.best_metric, 0::BIGINT AS n_late\nFROM stops"))
 def early_stop_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = ensure_checkpoint_dir(spark)
     run_dir = os.path.join(base, f"early-stop-{uuid.uuid4().hex}")

@@ -1,100 +1,99 @@
 """Incremental early stopping with Structured Streaming (U4).
 
-``groupBy(run).applyInPandasWithState`` keeps, per run, the scalars of the
-batch operator (steps seen, best metric, best step, bad steps, stop step)
-plus the last (order key) seen, so replayed or late rows at or before it are
-ignored. Each micro-batch emits the current state of every run it touched;
-the latest row per run is the answer, equal to ``operators.stopping`` on the
-same ordered input.
-
-State per run is a handful of scalars; a micro-batch is bounded by the
-source's ``maxFilesPerTrigger``/``maxBytesPerTrigger``, so a hot run costs one
-task per batch, never an unbounded collect.
+Each micro-batch goes on from the runs' progress with the batch operator (``operators.stopping.scan``), so one run may
+fill a batch. Rows wait until the watermark (the latest event time so far, less ``delay``) has passed them, and are then
+folded in event order; files may come in any order within the delay. A row that comes when its run has already gone past
+it can't be folded any more; it is counted in ``n_late`` of its run instead of being lost without a trace.
+
+Progress and waiting rows are written per micro-batch, under the batch's number, in the shared folder. A batch that is
+repeated after a failure reads the version before it and writes the same result again.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import os
-import warnings
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from sectional.config import PATIENCE
-from sectional.operators.stopping import LONG_MAX
-
-# PySpark's state serializer concatenates empty pandas frames; pandas warns about a future change
-# that does not affect these fixed-schema frames. Silenced here (this module is imported in the worker).
-warnings.filterwarnings("ignore", message="The behavior of DataFrame concatenation with empty", category=FutureWarning)
-
-OUTPUT_SCHEMA = ("run_id long, n_steps long, stop_step int, best_index int, best_metric double, "
-                 "last_ts timestamp, last_id long")
-STATE_SCHEMA = ("n_steps int, best double, best_index int, best_metric double, bad int, stop_step int, "
-                "has_best boolean, last_ts timestamp, last_id long")
-
-
-def make_stopper(patience: int = PATIENCE, run_every: int = 1, higher_is_better: bool = True,
-                 min_steps: int = 0, max_steps: int = LONG_MAX):
-    init_best = 0.0 if higher_is_better else float(LONG_MAX)
-
-    def step_fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            (n, best, best_index, best_metric, bad, stop_step, has_best, last_ts, last_id) = state.get
-        else:
-            n, best, best_index, best_metric, bad, stop_step, has_best = 0, init_best, 0, None, 0, None, False
-            last_ts, last_id = None, None
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
-        if last_ts is not None:
-            lt = pd.Timestamp(last_ts)
-            newer = (pdf["ts"] > lt) | ((pdf["ts"] == lt) & (pdf["event_id"] > last_id))
-            pdf = pdf[newer]
-        for ts, eid, metric in zip(pdf["ts"], pdf["event_id"], pdf["value"]):
-            n += 1
-            last_ts, last_id = ts, int(eid)
-            if stop_step is not None:
-                continue
-            if n < min_steps or (n - min_steps) % run_every != 0:
-                continue
-            if n > max_steps:
-                stop_step = n
-                continue
-            m = float(metric)
-            if (higher_is_better and m > best) or (not higher_is_better and m < best):
-                best, best_index, best_metric, bad, has_best = m, n, m, 0, True
-            else:
-                bad += 1
-            if bad > patience:
-                stop_step = n
-        lt_out = None if last_ts is None else pd.Timestamp(last_ts).to_pydatetime()
-        state.update((n, best, best_index, best_metric, bad, stop_step, has_best, lt_out, last_id))
-        yield pd.DataFrame({"run_id": [int(key[0])], "n_steps": [n], "stop_step": [stop_step],
-                            "best_index": [best_index], "best_metric": [best_metric],
-                            "last_ts": [lt_out], "last_id": [last_id]}).astype(
-            {"n_steps": "int64", "stop_step": "Int32", "best_index": "int32"})
-
-    return step_fn
-
-
-def stop_stream(stream: DataFrame, run: str = "user_id", **knobs) -> DataFrame:
-    """Streaming DataFrame of per-run stop state, one row per run per micro-batch."""
-    fn = make_stopper(**knobs)
-    return stream.select(F.col(run).alias("run_id"), "ts", "event_id", "value").groupBy("run_id") \
-        .applyInPandasWithState(fn, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-
-
-def run_available(spark: SparkSession, source_glob: str, schema, out_dir: str, ckpt_dir: str,
-                  run: str = "user_id", max_files: int = 1, **knobs) -> DataFrame:
-    """Drain a Parquet file stream (``availableNow``) into ``out_dir``; return the final state per run."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-    if any(ch in source_glob for ch in "*?["):
-        reader = reader.option("basePath", os.path.dirname(source_glob))
-    stream = reader.parquet(source_glob)
-    q = (stop_stream(stream, run, **knobs).writeStream.format("parquet").outputMode("append")
-         .option("path", out_dir).option("checkpointLocation", ckpt_dir).trigger(availableNow=True).start())
-    q.awaitTermination()
-    out = spark.read.parquet(out_dir)
-    latest = out.groupBy("run_id").agg(F.max(F.struct("n_steps", "stop_step", "best_index", "best_metric")).alias("s"))
-    return latest.select("run_id", "s.n_steps", "s.stop_step", "s.best_index", "s.best_metric")
+
+from sectional.operators.stopping import Rules, scan
+
+ORDER = ["ts", "event_id"]
+STATE = "run_id long, n_steps long, stop_step int, best_index int, best_metric double, last_ts timestamp, last_id long, n_late long"
+LAST = 1 << 40
+WAITING = "run_id long, ts timestamp, event_id long, value double"
+
+
+DONE = "top timestamp"  # the latest event time up to a version; written last, so a version without it isn't read
+
+
+class Folder:
+    """The versions of progress and waiting rows under one folder; version -1 is the start."""
+
+    schemas = {"progress": STATE, "waiting": WAITING, "done": DONE}
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        for name in ("progress", "waiting"):
+            spark.createDataFrame([], self.schemas[name]).write.mode("ignore").parquet(f"{path}/{name}/version=-1")
+        spark.createDataFrame([(None,)], DONE).coalesce(1).write.mode("ignore").parquet(f"{path}/done/version=-1")
+
+    def _versions(self, name: str) -> DataFrame:
+        return self.spark.read.schema(f"{self.schemas[name]}, version long").parquet(f"{self.path}/{name}")
+
+    def newest(self, below: int) -> tuple[int, dt.datetime | None]:
+        """The last finished version and its latest event time."""
+        return self._versions("done").where(F.col("version") < below).agg(F.max(F.struct("version", "top")).alias("m")).select("m.*").first()
+
+    def read(self, name: str, version: int) -> DataFrame:
+        return self._versions(name).where(F.col("version") == version).drop("version")
+
+    def write(self, version: int, top: dt.datetime | None, **tables: DataFrame) -> None:
+        for name, rows in tables.items():
+            rows.write.mode("overwrite").parquet(f"{self.path}/{name}/version={version}")
+        self.spark.createDataFrame([(top,)], DONE).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/done/version={version}")
+
+
+def fold(folder: Folder, batch: DataFrame, version: int, rules: Rules, delay: dt.timedelta, last: bool = False) -> None:
+    """One micro-batch; ``last`` folds all waiting rows too."""
+    before, top = folder.newest(version)
+    was, waiting = folder.read("progress", before), folder.read("waiting", before)
+    top = max((t for t in (top, batch.agg(F.max("ts")).first()[0]) if t is not None), default=None)
+    seen = was.select("run_id", F.struct(F.col("last_ts").alias("ts"), F.col("last_id").alias("event_id")).alias("_seen"))
+    rows = batch.unionByName(waiting).join(seen, "run_id", "left")
+    late = F.coalesce(F.struct("ts", "event_id") <= F.col("_seen"), F.lit(False))
+    ready = F.lit(True) if last or top is None else F.col("ts") <= F.lit(top - delay)
+    now = rows.where(~late & ready).drop("_seen")
+    result = scan(now, "run_id", ORDER, "value", rules, was)
+    ends = now.groupBy("run_id").agg(F.max(F.struct("ts", "event_id")).alias("_end"))
+    lates = rows.where(late).groupBy("run_id").agg(F.count("*").alias("_late"))
+    old = was.select("run_id", *[F.col(c).alias(f"_{c}") for c in was.columns if c != "run_id"])
+    merged = old.join(result, "run_id", "full_outer").join(ends, "run_id", "left").join(lates, "run_id", "left")
+    fresh = F.col("n_steps").isNotNull()
+    pick = lambda c, new: F.when(fresh, new).otherwise(F.col(f"_{c}")).alias(c)
+    progress = merged.select("run_id", *[pick(c, F.col(c)) for c in ("n_steps", "stop_step", "best_index", "best_metric")],
+                             pick("last_ts", F.col("_end.ts")), pick("last_id", F.col("_end.event_id")),
+                             (F.coalesce("_n_late", F.lit(0)) + F.coalesce("_late", F.lit(0))).cast("long").alias("n_late"))
+    folder.write(version, top, progress=progress, waiting=rows.where(~late & ~ready).drop("_seen"))
+
+
+def run_available(spark: SparkSession, source: str, schema, out_dir: str, ckpt_dir: str, run: str = "user_id",
+                  max_files: int | None = None, delay: dt.timedelta = dt.timedelta(0), **knobs) -> DataFrame:
+    """Drain a Parquet folder as a stream; the progress of every run, with ``n_late``.
+
+    Without ``max_files`` what is there is one micro-batch, so the order of its files doesn't matter.
+    """
+    folder, rules = Folder(spark, out_dir), Rules(**knobs)
+    reader = spark.readStream.schema(schema)
+    if any(c in source for c in "*?["):
+        reader = reader.option("basePath", os.path.dirname(source))
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    stream = reader.parquet(source).select(F.col(run).cast("long").alias("run_id"), F.col("ts").cast("timestamp").alias("ts"),
+                                           F.col("event_id").cast("long").alias("event_id"), F.col("value").cast("double").alias("value"))
+    query = stream.writeStream.foreachBatch(lambda batch, k: fold(folder, batch, k, rules, delay)) \
+        .option("checkpointLocation", ckpt_dir).trigger(availableNow=True).start()
+    query.awaitTermination()
+    fold(folder, spark.createDataFrame([], WAITING), LAST, rules, delay, last=True)
+    return folder.read("progress", LAST).select("run_id", "n_steps", "stop_step", "best_index", "best_metric", "n_late")
