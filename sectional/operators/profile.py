@@ -2,14 +2,10 @@
 distributions per section (A8 lengths, A9 box summary, A10 histogram + KDE).
 
 Scale notes
-- Every aggregate here is partial-aggregatable (count, sum, min, max,
-  exact ``percentile`` keeps a value->count map, so its buffer grows with the
-  number of *distinct* lengths, not rows). A section holding a third of all
-  rows is combined map-side before the shuffle.
-- Per-group statistics (one row per group) are joined back without a
-  broadcast hint: the number of groups is data, not a proven bound, so AQE
-  measures the materialised aggregate at run time and broadcasts it only if
-  it is small (it is, for sections), else keeps a shuffle join.
+- Lengths are counted once to (group, value, cnt), with a map-side combine, and that table is written; quartiles, whiskers,
+  histogram and density all follow from it. What runs on the rows is one aggregation, and a group with a third of all rows
+  is combined before the shuffle. The table grows with the number of distinct values, not with the rows.
+- Statistics per group are joined to that small table, never to the rows.
 """
 
 from __future__ import annotations
@@ -19,9 +15,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Kept for callers that pass it; group tables are broadcast by AQE's measured size, not by this bound.
-MAX_GROUPS = 100_000
-
+from sectional.session import cut_lineage
 
 # A1 / A2 / A3 / K1 ----------------------------------------------------------------
 def heading_counts(df: DataFrame, headings_col: str) -> DataFrame:
@@ -42,83 +36,62 @@ def heading_mass(counts: DataFrame) -> DataFrame:
 
 
 # A9 -------------------------------------------------------------------------
-def group_stats(df: DataFrame, group: str, value: str, approx: bool = False,
-                accuracy: int = 10000) -> DataFrame:
-    """Per group: n, min, max, sample std and quartiles.
+def value_counts(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, v, cnt), v as double without nulls, written once; everything below works on it."""
+    rows = df.select(group, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
+    return cut_lineage(rows.groupBy(group, "v").agg(F.count("*").alias("cnt")), "value-counts")
+
+
+def group_stats(counts: DataFrame, group: str, approx: bool = False, accuracy: int = 10000) -> DataFrame:
+    """Per group of a ``value_counts`` table: n, lo, hi, sd (of a sample; null for one row), q1, median, q3.
 
-    Exact quartiles (``percentile``) keep a value -> count map per group, fine
-    for integer lengths with few distinct values; ``approx=True`` uses a
-    fixed-size sketch (``percentile_approx``) for continuous values at scale.
+    ``approx`` uses a fixed-size sketch for the quartiles, for continuous values with very many distinct ones.
     """
-    v = F.col(value).cast("double")
-    q = F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy) if approx else F.percentile(v, [0.25, 0.5, 0.75])
-    agg = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"),
-                                F.stddev_samp(v).alias("sd"), q.alias("_q"))
-    return agg.select(group, "n", "lo", "hi", "sd", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                      F.col("_q")[2].alias("q3"))
-
-
-def box_summary(df: DataFrame, group: str, value: str, whisker: float = 1.5,
-                max_groups: int = MAX_GROUPS, approx: bool = False) -> DataFrame:
-    """Quartiles, whiskers (furthest values inside 1.5 IQR fences), outlier count."""
-    stats = group_stats(df, group, value, approx=approx).select(
-        group, "n", "q1", "median", "q3",
-        (F.col("q1") - whisker * (F.col("q3") - F.col("q1"))).alias("_lo_f"),
-        (F.col("q3") + whisker * (F.col("q3") - F.col("q1"))).alias("_hi_f"))
-    v = F.col(value).cast("double")
-    joined = df.select(group, v.alias("_v")).join(stats, group)
-    inside_lo = F.col("_v") >= F.col("_lo_f")
-    inside_hi = F.col("_v") <= F.col("_hi_f")
-    out = joined.groupBy(group, "n", "q1", "median", "q3").agg(
-        F.min(F.when(inside_lo, F.col("_v"))).alias("whisker_lo"),
-        F.max(F.when(inside_hi, F.col("_v"))).alias("whisker_hi"),
-        F.sum(F.when(inside_lo & inside_hi, 0).otherwise(1)).cast("bigint").alias("n_outliers"))
-    return out
+    sums = counts.groupBy(group).agg(F.sum("cnt").alias("n"), (F.sum(F.col("cnt") * F.col("v")) / F.sum("cnt")).alias("mean"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    quartiles = F.percentile_approx("v", [0.25, 0.5, 0.75], accuracy) if approx else F.percentile("v", [0.25, 0.5, 0.75], F.col("cnt"))
+    spread = counts.join(sums.select(group, "mean"), group).groupBy(group).agg(
+        F.sum(F.col("cnt") * F.pow(F.col("v") - F.col("mean"), 2)).alias("squares"), quartiles.alias("q"))
+    sd = F.sqrt(F.try_divide(F.col("squares"), F.col("n") - 1))
+    return sums.join(spread, group).select(group, "n", "lo", "hi", sd.alias("sd"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
 
 
-# A10 ------------------------------------------------------------------------
-def _bin_of(v, lo, hi, bins: int):
-    width = hi - lo
-    raw = F.floor((v - lo) * F.lit(float(bins)) / width).cast("int")
-    return F.when(width == 0, F.lit(0)).otherwise(F.least(raw, F.lit(bins - 1)))
+def box_summary(df: DataFrame, group: str, value: str, whisker: float = 1.5, approx: bool = False) -> DataFrame:
+    """Quartiles, whiskers (furthest values inside the fences of 1.5 interquartile ranges), number of outliers."""
+    counts = value_counts(df, group, value)
+    stats = group_stats(counts, group, approx)
+    reach = whisker * (F.col("q3") - F.col("q1"))
+    low, high = F.col("v") >= F.col("q1") - reach, F.col("v") <= F.col("q3") + reach
+    return counts.join(stats, group).groupBy(group, "n", "q1", "median", "q3").agg(
+        F.min(F.when(low, F.col("v"))).alias("whisker_lo"), F.max(F.when(high, F.col("v"))).alias("whisker_hi"),
+        F.sum(F.when(low & high, 0).otherwise(F.col("cnt"))).cast("bigint").alias("n_outliers"))
 
 
-def histogram(df: DataFrame, group: str, value: str, bins: int = 20, max_groups: int = MAX_GROUPS) -> DataFrame:
+# A10 ------------------------------------------------------------------------
+def histogram(df: DataFrame, group: str, value: str, bins: int = 20) -> DataFrame:
     """A10: equal-width bins between the group's min and max; non-empty bins only."""
-    stats = df.groupBy(group).agg(F.min(F.col(value).cast("double")).alias("lo"),
-                                  F.max(F.col(value).cast("double")).alias("hi"))
-    joined = df.select(group, F.col(value).cast("double").alias("_v")).join(stats, group)
-    binned = joined.select(group, "lo", "hi", _bin_of(F.col("_v"), F.col("lo"), F.col("hi"), bins).alias("bin"))
-    out = binned.groupBy(group, "lo", "hi", "bin").agg(F.count(F.lit(1)).alias("cnt"))
+    counts = value_counts(df, group, value)
+    ends = counts.groupBy(group).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    width = F.col("hi") - F.col("lo")
+    place = F.floor(F.try_divide((F.col("v") - F.col("lo")) * F.lit(float(bins)), width)).cast("int")
+    at = F.when(width == 0, F.lit(0)).otherwise(F.least(place, F.lit(bins - 1)))
+    out = counts.join(ends, group).groupBy(group, "lo", "hi", at.alias("bin")).agg(F.sum("cnt").cast("bigint").alias("cnt"))
     edge = F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     return out.select(group, "bin", F.round(edge, 6).alias("bin_lo"), "cnt")
 
 
-def kde(df: DataFrame, group: str, value: str, bins: int = 64, grid: int = 32,
-        max_groups: int = MAX_GROUPS) -> DataFrame:
-    """A10: Gaussian KDE (Scott bandwidth) on a grid, from binned counts.
+def kde(df: DataFrame, group: str, value: str, grid: int = 32) -> DataFrame:
+    """A10: Gaussian density (Scott's bandwidth) on a grid, exact: the kernel is summed over the distinct values with their
+    counts. Groups without spread (one value, or one row) have no density: null.
 
-    The data pass is one aggregate to (group, bin, cnt); the density is then
-    evaluated over grid x bins, at most ``grid * bins`` rows per group, so the
-    cost after the scan is independent of the row count.
+    Rows: at most ``grid`` times the distinct values of a group. Continuous values should be rounded first, to an eighth
+    of the bandwidth or less.
     """
-    v = F.col(value).cast("double")
-    stats = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"),
-                                  F.stddev_samp(v).alias("sd"))
-    stats = stats.withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
-    binned = df.select(group, v.alias("_v")).join(stats, group) \
-        .select(group, _bin_of(F.col("_v"), F.col("lo"), F.col("hi"), bins).alias("bin")) \
-        .groupBy(group, "bin").agg(F.count(F.lit(1)).alias("cnt"))
-    # Grid points per group: a sequence generated inside each stats row (grid is a parameter).
-    gpts = stats.select(group, "n", "lo", "hi", "h", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("g"))
+    counts = value_counts(df, group, value)
+    stats = group_stats(counts, group).withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
     step = (F.col("hi") - F.col("lo")) / F.lit(float(grid - 1))
-    gpts = gpts.withColumn("x", F.col("lo") + F.col("g") * step)
-    centre = F.col("lo") + (F.col("bin") + F.lit(0.5)) * (F.col("hi") - F.col("lo")) / F.lit(float(bins))
-    z = (F.col("x") - centre) / F.col("h")
-    norm = F.lit(1.0 / math.sqrt(2.0 * math.pi))
-    # grid x bins is bounded per group, so this equi-join on the group is small.
-    contrib = gpts.join(binned, group).select(
-        group, "g", "x", "n", "h", (F.col("cnt") * norm * F.exp(-0.5 * z * z)).alias("_c"))
-    dens = contrib.groupBy(group, "g", "x", "n", "h").agg(F.sum("_c").alias("_s"))
-    density = F.when(F.col("h") > 0, F.col("_s") / (F.col("n") * F.col("h")))
-    return dens.select(group, "g", F.round("x", 6).alias("x"), F.round(density, 9).alias("density"))
+    points = stats.select(group, "n", "lo", "h", step.alias("step"), F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("g")) \
+        .withColumn("x", F.col("lo") + F.col("g") * F.col("step"))
+    z = F.try_divide(F.col("x") - F.col("v"), F.col("h"))
+    kernel = F.col("cnt") * F.lit(1.0 / math.sqrt(2.0 * math.pi)) * F.exp(-0.5 * z * z)
+    sums = points.join(counts, group).groupBy(group, "g", "x", "n", "h").agg(F.sum(kernel).alias("s"))
+    return sums.select(group, "g", F.round("x", 6).alias("x"), F.round(F.try_divide(F.col("s"), F.col("n") * F.col("h")), 9).alias("density"))

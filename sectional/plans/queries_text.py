@@ -216,7 +216,7 @@ def heading_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # length_box / length_hist / length_kde: A8 A9 A10 P4 U3 ---------------------------------
 HIST_BINS = 20
-KDE_BINS, KDE_GRID = 64, 32
+KDE_GRID = 32
 _NORM = 1.0 / math.sqrt(2.0 * math.pi)
 
 
@@ -275,26 +275,14 @@ def length_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("length_kde", sql=_lengths_sql() + f""",
 st AS (
-  SELECT section, count(*) AS n, min(len)::DOUBLE AS lo, max(len)::DOUBLE AS hi, stddev_samp(len::DOUBLE) AS sd
-  FROM lens GROUP BY section
-),
-st2 AS (SELECT *, sd * pow(n::DOUBLE, -0.2) AS h FROM st),
-b AS (
-  SELECT l.section,
-         CASE WHEN hi - lo = 0 THEN 0 ELSE least(CAST(floor((l.len - lo) * {float(KDE_BINS)!r} / (hi - lo)) AS INTEGER), {KDE_BINS - 1}) END AS bin
-  FROM lens l JOIN st2 ON l.section = st2.section
+  SELECT section, count(*) AS n, min(len)::DOUBLE AS lo, max(len)::DOUBLE AS hi,
+         stddev_samp(len::DOUBLE) * pow(count(*)::DOUBLE, -0.2) AS h FROM lens GROUP BY section
 ),
-bc AS (SELECT section, bin, count(*) AS cnt FROM b GROUP BY section, bin),
-gp AS (SELECT section, n, lo, hi, h, CAST(unnest(range(0, {KDE_GRID})) AS INTEGER) AS g FROM st2),
-gx AS (SELECT *, lo + g * ((hi - lo) / {float(KDE_GRID - 1)!r}) AS x FROM gp),
-c AS (
-  SELECT gx.section, g, x, n, h,
-         ((x - (lo + (bin + 0.5) * (hi - lo) / {float(KDE_BINS)!r})) / h) AS z, cnt
-  FROM gx JOIN bc ON gx.section = bc.section
-)
-SELECT section, g, round(x, 6) AS x,
-       round(CASE WHEN h > 0 THEN sum(cnt * {_NORM!r} * exp(-0.5 * z * z)) / (n * h) END, 9) AS density
-FROM c GROUP BY section, g, x, n, h
+gx AS (SELECT *, lo + g * ((hi - lo) / {float(KDE_GRID - 1)!r}) AS x FROM (SELECT *, CAST(unnest(range(0, {KDE_GRID})) AS INTEGER) AS g FROM st))
+SELECT gx.section, g, round(x, 6) AS x,
+       round(CASE WHEN h > 0 THEN sum({_NORM!r} * exp(-0.5 * ((x - l.len) / h) * ((x - l.len) / h))) / (n * h) END, 9) AS density
+FROM gx JOIN lens l ON l.section = gx.section
+GROUP BY gx.section, g, x, n, h
 """)
 def length_kde(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.kde(section_lengths(spark, sf_dir), "section", "len", bins=KDE_BINS, grid=KDE_GRID)
+    return P.kde(section_lengths(spark, sf_dir), "section", "len", grid=KDE_GRID)

@@ -144,3 +144,19 @@ def test_w2_stratified_split_is_exact_per_label(spark):
                    (0, "train"): 360, (0, "valid"): 120, (0, "test"): 120}
     again = {r["doc_id"]: r["split"] for r in Q.split_label_stratified(df.repartition(5), "doc_id", "label", grid=64).collect()}
     assert again == {r["doc_id"]: r["split"] for r in out.collect()}
+
+
+def test_density_is_exact_and_null_without_spread(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    values = [int(x) for x in rng.exponential(60, 3000)]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 7)] * 5 + [("c", 3), ("d", None)], "section string, v int")
+    got = {}
+    for r in P.kde(df, "section", "v").collect():
+        got.setdefault(r["section"], []).append((r["x"], r["density"]))
+    v = np.array(values, float)
+    h = v.std(ddof=1) * len(v) ** -0.2
+    for x, density in got["a"]:
+        assert abs(density - np.exp(-0.5 * ((x - v) / h) ** 2).sum() / (len(v) * h * np.sqrt(2 * np.pi))) < 1e-8
+    assert all(d is None for g in "bc" for _, d in got[g]) and "d" not in got
