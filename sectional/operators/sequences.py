@@ -84,17 +84,20 @@ def split_label_stratified(df: DataFrame, key: str, label: str, ratios: Sequence
     return ranked.withColumn("split", out).drop("_h", "_b", "_before", "_n", "_rank")
 
 
+BUCKET_BATCHES = 64
+
+
 def assign_batches(df: DataFrame, key: str, split_col: str = "split", batch_size: int = BATCH_SIZE,
                    buckets: int | None = None) -> DataFrame:
     """(bucket, batch) per row; batches of ``batch_size`` inside (split, bucket).
 
     Order inside a bucket is by a second hash of the key, then the key, so
     batches are deterministic and shuffled relative to key order. ``buckets``
-    defaults to the session's shuffle partitions, so window partitions shrink
-    as the cluster (and the data it is sized for) grows.
+    defaults to one per ``BUCKET_BATCHES`` batches of the counted rows, so a
+    window stays as small as that whatever the table's size.
     """
     if buckets is None:
-        buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = max(1, -(-df.count() // (BUCKET_BATCHES * batch_size)))
     h2 = key_hash(key, start=9)
     staged = df.withColumn("bucket", (key_hash(key, start=17) % F.lit(buckets)).cast("int")).withColumn("_h2", h2)
     w = Window.partitionBy(split_col, "bucket").orderBy("_h2", key)

@@ -13,7 +13,11 @@ Scale notes
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,9 +25,12 @@ from pyspark.sql import types as T
 
 from sectional.config import SPECIALS, UNK, VOCAB_SIZE
 from sectional.operators.joins import bounded_broadcast
+from sectional.session import cut_lineage
 
 # Rough size of one vocabulary row (token string + count + index) for the bound.
 _VOCAB_ROW_BYTES = 96
+# Longer tokens are looked up as unknown, which bounds the vocabulary's bytes.
+TOKEN_BYTES = 256
 
 
 def token_counts(df: DataFrame, token_cols: Sequence[str]) -> DataFrame:
@@ -38,23 +45,41 @@ def token_counts(df: DataFrame, token_cols: Sequence[str]) -> DataFrame:
     return exploded.groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def count_floor(counts: DataFrame, max_size: int) -> int:
+    """The count that the ``max_size``-th token in falling order has (1 if there are fewer).
+
+    Read from the histogram of counts: a row per distinct count, of which there are at most the root of twice the corpus.
+    """
+    falling = Window.orderBy(F.col("cnt").desc())
+    sizes = counts.groupBy("cnt").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(falling))
+    return sizes.where(F.col("upto") >= max_size).agg(F.max("cnt")).first()[0] or 1
+
+
+def in_order(rows: DataFrame, *order, name: str = "ranked") -> DataFrame:
+    """``rows`` with ``rank`` from 0. A range-partitioned sort is written with each row's partition and place; the first rank
+    of each partition comes from a table with a row per partition, so no task holds more than a partition."""
+    placed = cut_lineage(rows.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()), name)
+    part = F.shiftright("_place", 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")) \
+        .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    return placed.withColumn("_part", part).join(F.broadcast(first), "_part") \
+        .withColumn("rank", F.col("_first") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_first", "_place")
+
+
 def top_tokens(counts: DataFrame, max_size: int | None = VOCAB_SIZE, first_index: int = len(SPECIALS)) -> DataFrame:
-    """K2: the ``max_size`` most frequent tokens, ties by token, indexed from ``first_index``.
+    """K2: the ``max_size`` most frequent tokens (all, if None), ties by token, indexed from ``first_index``.
 
-    Capped: TakeOrderedAndProject keeps k rows per map task, and only the <= k
-    survivors are ranked in one window. Uncapped (``None``): a range-partitioned
-    sort numbered with ``zipWithIndex`` (per-partition counts, then offsets), so
-    no single task ever holds the whole vocabulary.
+    The counts are written once. Tokens below the cut-off count go first; the survivors are sorted and ranked partition by
+    partition, so neither the whole vocabulary nor a top of every task ever meets in one task.
     """
-    order = [F.col("cnt").desc(), F.col("token").asc()]
+    counts = cut_lineage(counts.select("token", "cnt"), "token-counts")
+    if max_size is not None:
+        counts = counts.where(F.col("cnt") >= count_floor(counts, max_size))
+    ranked = in_order(counts, F.col("cnt").desc(), F.col("token").asc(), name="token-ranks")
     if max_size is not None:
-        ordered = counts.orderBy(*order).limit(max_size)
-        w = Window.orderBy(*order)
-        return ordered.select("token", "cnt", (F.row_number().over(w) + F.lit(first_index - 1)).alias("idx"))
-    spark = counts.sparkSession
-    ranked = counts.select("token", "cnt").orderBy(*order).rdd.zipWithIndex() \
-        .map(lambda p: (p[0]["token"], p[0]["cnt"], int(p[1]) + first_index))
-    return spark.createDataFrame(ranked, "token string, cnt bigint, idx int")
+        ranked = ranked.where(F.col("rank") < max_size)
+    return ranked.select("token", "cnt", (F.col("rank") + first_index).cast("int").alias("idx"))
 
 
 def specials_frame(spark: SparkSession, specials: Sequence[str] = SPECIALS) -> DataFrame:
@@ -88,25 +113,29 @@ def vocab_broadcast(vocab: DataFrame, max_size: int | None, specials: int = len(
     return bounded_broadcast(vocab, max_size + specials, _VOCAB_ROW_BYTES)
 
 
-def numericalise(df: DataFrame, key: Sequence[str] | str, tokens_col: str, vocab: DataFrame,
-                 max_size: int | None = VOCAB_SIZE, out_col: str = "ids", unk_index: int = 0) -> DataFrame:
-    """Token array -> index array, unknown tokens -> ``unk_index``.
+def numericalise(df: DataFrame, keys: Sequence[str], tokens_col: str, vocab: DataFrame, out_col: str = "ids", unk_index: int = 0) -> DataFrame:
+    """Token array -> index array, unknown tokens -> ``unk_index``; null or empty arrays give empty ones.
 
-    ``posexplode`` -> broadcast hash join (the big side is not shuffled) ->
-    regroup by key with ``sort_array(collect_list(struct(pos, idx)))``; the
-    collect is partially aggregated per map task so the shuffle moves about
-    one row per key. Rows with an empty or null array keep an empty result.
-    Each key's list is one row, so callers bound it first (the registered
-    query truncates to the W1 length before numericalising).
+    The vocabulary is bounded by its cap (and its tokens by ``TOKEN_BYTES``), so it goes to every task as one Arrow array;
+    each batch is looked up as a whole and rows stay rows: no explode, no shuffle, no regrouping.
     """
-    keys = [key] if isinstance(key, str) else list(key)
-    v = vocab_broadcast(vocab.select(F.col("token").alias("_tok"), F.col("idx").alias("_idx")), max_size)
-    exploded = df.select(*keys, F.posexplode_outer(F.col(tokens_col)).alias("_pos", "_tok"))
-    joined = exploded.join(v, on="_tok", how="left")
-    entry = F.when(F.col("_pos").isNotNull(),
-                   F.struct(F.col("_pos"), F.coalesce(F.col("_idx"), F.lit(unk_index)).alias("_idx")))
-    grouped = joined.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_pairs"))
-    return grouped.select(*keys, F.transform("_pairs", lambda p: p["_idx"]).alias(out_col))
+    rows = vocab.where(F.octet_length("token") <= TOKEN_BYTES).orderBy("idx").select("token", "idx").collect()
+    spark = df.sparkSession
+    words = spark.sparkContext.broadcast(([r["token"] for r in rows], [r["idx"] for r in rows]))
+    schema = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + [f"`{out_col}` array<int>"])
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, index = words.value
+        known, index = pa.array(tokens, pa.string()), pa.array([*index, unk_index], pa.int32())
+        for batch in batches:
+            lists = batch.column(tokens_col)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            flat = lists.flatten()
+            at = pc.fill_null(pc.index_in(flat.cast(pa.string()), value_set=known), len(tokens))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.ListArray.from_arrays(offsets, index.take(at))], names=[*keys, out_col])
+
+    return df.select(*keys, tokens_col).mapInArrow(look_up, schema)
 
 
 def vector_coverage(vocab: DataFrame, vectors: DataFrame, dim: int, key: str = "idx",

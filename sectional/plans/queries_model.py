@@ -18,7 +18,6 @@ from sectional.session import cut_lineage, ensure_checkpoint_dir
 from sectional.sources.tables import table
 from sectional.streaming import early_stop as U
 
-BATCH_BUCKETS = 64
 # Fixed linear score: logits (0, ln(n_chars + 1) - 7).
 SCORE_OFFSET = 7.0
 
@@ -32,18 +31,19 @@ def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                                            Q.split_label("doc_id").alias("split"))
     s = s.withColumn("nll", M.nll_from_logits(F.col("logits"), F.col("label"))) \
          .withColumn("pred", M.predict(F.col("logits")))
-    return Q.assign_batches(s, "doc_id", "split", BATCH_SIZE, BATCH_BUCKETS)
+    return Q.assign_batches(s, "doc_id", "split", BATCH_SIZE)
 
 
 _SCORED_SQL = f"""WITH s AS (
   SELECT d.doc_id, l.quality AS label, ln(d.n_chars + 1.0) - {SCORE_OFFSET!r} AS z1, {g.split_label("d.doc_id")} AS split,
-         CAST({g.key_hash("d.doc_id", 17)} % {BATCH_BUCKETS} AS INTEGER) AS bucket, {g.key_hash("d.doc_id", 9)} AS h2
+         {g.key_hash("d.doc_id", 17)} AS h1, {g.key_hash("d.doc_id", 9)} AS h2
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id
 ),
+s2 AS (SELECT *, CAST(h1 % {g.batch_buckets("s", BATCH_SIZE)} AS INTEGER) AS bucket FROM s),
 b AS (
   SELECT *, CAST(floor((row_number() OVER (PARTITION BY split, bucket ORDER BY h2, doc_id) - 1) / {BATCH_SIZE}) AS INTEGER) AS batch,
          greatest(0.0, z1) AS m
-  FROM s
+  FROM s2
 ),
 r AS (
   SELECT *, ln(exp(0.0 - m) + exp(z1 - m)) + m - (CASE WHEN label = 1 THEN z1 ELSE 0.0 END) AS nll,
@@ -133,9 +133,9 @@ from sectional.functions import text as X  # noqa: E402
 from sectional.operators import pooling as PL  # noqa: E402
 from sectional.operators import vocab as V  # noqa: E402
 from sectional.plans import model as MD  # noqa: E402
+from sectional.plans.queries_vectors import CONV_BIAS, EMB_DIM, conv_weights, doc_index, frozen_vectors  # noqa: E402
 from sectional.sources.tables import latex_documents, latex_text, spread  # noqa: E402
 
-EMB_DIM = 64
 FLAGSHIP_VARIANT = "SharedAGRU"
 
 
@@ -143,8 +143,8 @@ def labelled_sections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     """(meta: doc_id, split, label, authors) and (tokens: doc_id, section, tokens) for labelled documents."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     # Join the labels first so the per-row text work runs on labelled documents only.
-    raw = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
-    base = raw.join(labels, "doc_id").select("doc_id", latex_text(F.col("text")).alias("text"), "lang", "source", "label") \
+    raw = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").join(labels, "doc_id")
+    base = spread(raw, "doc_id").select("doc_id", latex_text(F.col("text")).alias("text"), "lang", "source", "label") \
         .withColumn("split", Q.split_label("doc_id"))
     meta = base.select("doc_id", "split", "label", X.lower_tokens(
         X.split_authors(F.concat(F.col("lang"), F.lit(","), F.col("source")))).alias("authors"))
@@ -161,10 +161,8 @@ def rate(spark: SparkSession, sf_dir: str, variant: str = FLAGSHIP_VARIANT, epoc
     # Materialise once: the cleaned section tokens feed both the vocabulary and the features.
     toks = cut_lineage(toks)
     vocab = cut_lineage(V.build_vocab(toks.filter(F.col("split") == "train"), ["tokens"], VOCAB_SIZE))
-    vt = cut_lineage(PL.vectors_by_index(vocab, table(spark, sf_dir, "embeddings"), EMB_DIM))
-    rows = toks.select("doc_id", "section", F.posexplode("tokens").alias("pos", "token"))
-    from sectional.plans.queries_vectors import CONV_BIAS, conv_weights
-    pooled = MD.section_features(rows, vocab, vt, EMB_DIM, v.pooling, conv_filters=conv_weights(), conv_bias=CONV_BIAS)
+    vectors = frozen_vectors(spark, sf_dir, vocab)
+    pooled = MD.section_features(toks, vocab, vectors, v.pooling, conv_filters=conv_weights(), conv_bias=CONV_BIAS)
     width = len(CONV_BIAS) if v.pooling == "conv" else EMB_DIM
     fused = MD.fuse_sections(pooled, S.SECTIONS, width)
     zeros = F.array_repeat(F.lit(0.0), width * len(S.SECTIONS))
@@ -184,27 +182,14 @@ GRU_HIDDEN, GRU_LAYERS, GRU_SEED = 32, 2, 11
 @register("gru_scores")
 def gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M8: 2-layer GRU over each document's whole token sequence, last state -> linear head."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id") \
-        .select("doc_id", X.lower_tokens(X.tokenize("text")).alias("tokens"))
-    vocab = V.build_vocab(docs, ["tokens"], VOCAB_SIZE)
-    vt = PL.vectors_by_index(vocab, table(spark, sf_dir, "embeddings"), EMB_DIM)
-    # Bounded by the vocabulary cap (+3): shipped once to every executor as arrays.
-    rows = vocab.join(vt, "idx").select("idx", "token", "vec").orderBy("idx").collect()
-    assert len(rows) <= VOCAB_SIZE + 3
-    n = (rows[-1]["idx"] + 1) if rows else 3
-    tokens_by_idx = np.array(["\u0000<none>"] * n, dtype=object)
-    matrix = np.zeros((n, EMB_DIM), dtype=np.float64)
-    for r in rows:
-        tokens_by_idx[r["idx"]] = r["token"]
-        matrix[r["idx"]] = np.asarray(r["vec"], dtype=np.float64)
+    ids, matrix = doc_index(spark, sf_dir)
     sc = spark.sparkContext
     weights = MD.gru_weights(EMB_DIM, GRU_HIDDEN, GRU_LAYERS, GRU_SEED)
     rng = np.random.default_rng(GRU_SEED + 1)
     head = (rng.uniform(-0.2, 0.2, (2, GRU_HIDDEN)), rng.uniform(-0.2, 0.2, 2))
-    b_vocab, b_matrix = sc.broadcast(pd.Index(tokens_by_idx)), sc.broadcast(matrix)
-    b_weights, b_head = sc.broadcast(weights), sc.broadcast(head)
+    b_matrix, b_weights, b_head = sc.broadcast(matrix), sc.broadcast(weights), sc.broadcast(head)
     schema = "doc_id long, n_tokens int, p_positive double, prediction int"
-    return docs.mapInPandas(lambda it: MD.gru_score_batches(it, b_vocab, b_matrix, b_weights, b_head), schema)
+    return ids.mapInPandas(lambda it: MD.gru_score_batches(it, b_matrix, b_weights, b_head), schema)
 
 
 # ----------------------------------------------------------------------------------

@@ -15,7 +15,6 @@ from sectional.plans.catalog import register
 from sectional.session import cut_lineage
 from sectional.sources.tables import latex_documents, spread, table
 
-BATCH_BUCKETS = 64
 
 
 def section_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,11 +79,11 @@ def numericalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     # not the padded sequences) so the extract-clean-tokenise pipeline runs a single time.
     s = cut_lineage(section_sequences(spark, sf_dir).select("doc_id", "split", "section", "tokens"), "section-tokens")
     vocab = V.build_vocab(s.filter(F.col("split") == "train"), ["tokens"], VOCAB_SIZE)
-    # Only the real tokens kept by W1 go through the join; <SOS> and <pad> have fixed indices.
+    # Only the real tokens kept by W1 are looked up; <SOS> and <pad> have fixed indices.
     lens = F.element_at(F.create_map(*[x for sec in S.SECTIONS for x in (F.lit(sec), F.lit(SEQ_LENS[sec]))]),
                         F.col("section"))
     kept = s.select("doc_id", "section", lens.alias("L"), F.slice("tokens", 1, lens - 1).alias("kept"))
-    ids = V.numericalise(kept, ["doc_id", "section", "L"], "kept", vocab, VOCAB_SIZE)
+    ids = V.numericalise(kept, ["doc_id", "section", "L"], "kept", vocab)
     full = F.concat(F.array(F.lit(2)), F.col("ids"), F.array_repeat(F.lit(1), F.col("L") - 1 - F.size("ids")))
     return ids.select("doc_id", "section", F.array_join(F.transform(full, lambda x: x.cast("string")), " ").alias("ids"),
                       F.size(F.filter("ids", lambda x: x == 0)).alias("n_unk"))
@@ -104,19 +103,19 @@ def split_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 # batch_assign: W2 W3 -----------------------------------------------------------------
 @register("batch_assign", sql=f"""
 WITH s AS (
-  SELECT d.doc_id, {g.split_label("d.doc_id")} AS split, CAST({g.key_hash("d.doc_id", 17)} % {BATCH_BUCKETS} AS INTEGER) AS bucket,
-         {g.key_hash("d.doc_id", 9)} AS h2
+  SELECT d.doc_id, {g.split_label("d.doc_id")} AS split, {g.key_hash("d.doc_id", 17)} AS h1, {g.key_hash("d.doc_id", 9)} AS h2
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id
-)
+),
+s2 AS (SELECT *, CAST(h1 % {g.batch_buckets("s", BATCH_SIZE)} AS INTEGER) AS bucket FROM s)
 SELECT doc_id, split, bucket,
        CAST(floor((row_number() OVER (PARTITION BY split, bucket ORDER BY h2, doc_id) - 1) / {BATCH_SIZE}) AS INTEGER) AS batch
-FROM s
+FROM s2
 """)
 def batch_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id")
     labels = table(spark, sf_dir, "labels").select("doc_id")
     s = docs.join(labels, "doc_id").select("doc_id", Q.split_label("doc_id").alias("split"))
-    return Q.assign_batches(s, "doc_id", "split", BATCH_SIZE, BATCH_BUCKETS).select("doc_id", "split", "bucket", "batch")
+    return Q.assign_batches(s, "doc_id", "split", BATCH_SIZE).select("doc_id", "split", "bucket", "batch")
 
 
 # author_vocab: A5 T10 (train split only, cap 1600) ---------------------------------------
@@ -141,6 +140,8 @@ def author_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ----------------------------------------------------------------------------------
 import math  # noqa: E402
 
+import numpy as np  # noqa: E402
+
 from sectional.operators import pooling as PL  # noqa: E402
 
 EMB_DIM = 64
@@ -160,46 +161,20 @@ def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", X.lower_tokens(X.tokenize("text")).alias("tokens"))
 
 
-def text_vocab(tokens: DataFrame) -> DataFrame:
-    """Shared text vocabulary, materialised once (<= cap + 3 rows) so every lookup reuses it."""
-    return cut_lineage(V.build_vocab(tokens, ["tokens"], VOCAB_SIZE))
-
-
-def doc_token_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, pos, token, idx) for every token, and the frozen (idx, vec) table (M9)."""
-    toks = doc_tokens(spark, sf_dir)
-    vocab = text_vocab(toks)
-    vt = cut_lineage(PL.vectors_by_index(vocab, table(spark, sf_dir, "embeddings"), EMB_DIM))
-    exploded = toks.select("doc_id", F.posexplode("tokens").alias("pos", "token"))
-    return PL.token_index(exploded, vocab, VOCAB_SIZE + 3), vt
-
-
-def doc_token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, token, cnt), written once: one tokenisation pass feeds both the vocabulary and
-    the per-document counts (partially aggregated, so repeated tokens of a document collapse)."""
-    toks = doc_tokens(spark, sf_dir).select("doc_id", F.explode("tokens").alias("token"))
-    return cut_lineage(toks.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("cnt")), "doc-token-pairs")
-
+def frozen_vectors(spark: SparkSession, sf_dir: str, vocab: DataFrame) -> np.ndarray:
+    """M9: the vocabulary's vectors as a matrix; entries without one (J2) are zero."""
+    vectors = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < VOCAB_SIZE + 3)
+    return PL.vector_matrix(PL.vectors_by_index(vocab, vectors, EMB_DIM), VOCAB_SIZE + 3, EMB_DIM)
 
-def vocab_from_pairs(pairs: DataFrame) -> DataFrame:
-    counts = pairs.groupBy("token").agg(F.sum("cnt").cast("bigint").alias("cnt"))
-    return cut_lineage(V.vocab_from_counts(counts, VOCAB_SIZE), "text-vocab")
 
+def doc_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, ids) of every document, and the frozen vectors of the vocabulary (M9).
 
-def index_counts_from_pairs(pairs: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(doc_id, idx, cnt): token counts mapped through the broadcast vocabulary (unknown -> 0)."""
-    ti = PL.token_index(pairs, vocab, VOCAB_SIZE + 3)
-    return ti.groupBy("doc_id", "idx").agg(F.sum("cnt").cast("bigint").alias("cnt"))
-
-
-def doc_index_counts(ti: DataFrame) -> DataFrame:
-    """(doc_id, idx, cnt): positions grouped by vocabulary entry (partial aggregate)."""
-    return ti.groupBy("doc_id", "idx").agg(F.count(F.lit(1)).alias("cnt"))
-
-
-def _bvt(vt: DataFrame) -> DataFrame:
-    from sectional.operators.joins import bounded_broadcast
-    return bounded_broadcast(vt, VOCAB_SIZE + 3, 64 + 8 * EMB_DIM * (1 + CONV_FILTERS * CONV_HEIGHT))
+    The texts are tokenised once: the token table that is written feeds the vocabulary and the lookup.
+    """
+    tokens = cut_lineage(doc_tokens(spark, sf_dir), "doc-tokens")
+    vocab = cut_lineage(V.build_vocab(tokens, ["tokens"], VOCAB_SIZE), "text-vocab")
+    return V.numericalise(tokens, ["doc_id"], "tokens", vocab), frozen_vectors(spark, sf_dir, vocab)
 
 
 _VEC_SQL = f"""WITH toks AS (SELECT doc_id, {g.lower_tokens("text")} AS t FROM documents),
@@ -223,19 +198,19 @@ def _explode_sql(src: str, value: str) -> str:
     return f"""SELECT doc_id, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS d, unnest(v) AS x FROM (SELECT doc_id, {value} AS v FROM {src})"""
 
 
-# embed_lookup: J1 J3 M9 + mean pooling ----------------------------------------------------
-@register("embed_lookup", sql=_VEC_SQL + """,
-flat AS (SELECT doc_id, CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS d, unnest(vec) AS x FROM tvv)
-SELECT doc_id, d, round(avg(x), 6) + 0.0 AS value FROM flat GROUP BY doc_id, d
+# embed_lookup: J1 J3 M9 + mean pooling; documents without tokens have the zero vector (J2) ----------------
+_GRID_SQL = f"""grid AS (SELECT doc_id, d FROM documents, (SELECT CAST(unnest(range({EMB_DIM})) AS INTEGER) AS d) dims)"""
+
+
+@register("embed_lookup", sql=_VEC_SQL + f""",
+flat AS (SELECT doc_id, CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS d, unnest(vec) AS x FROM tvv),
+p AS (SELECT doc_id, d, avg(x) AS x FROM flat GROUP BY doc_id, d),
+{_GRID_SQL}
+SELECT doc_id, d, round(coalesce(x, 0.0), 6) + 0.0 AS value FROM grid LEFT JOIN p USING (doc_id, d)
 """)
 def embed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = doc_token_pairs(spark, sf_dir)
-    vocab = vocab_from_pairs(pairs)
-    vt = PL.vectors_by_index(vocab, table(spark, sf_dir, "embeddings"), EMB_DIM)
-    joined = index_counts_from_pairs(pairs, vocab).join(_bvt(vt), "idx")
-    s = PL.weighted_vector_sum(joined, ["doc_id"], "vec", "cnt", dim=EMB_DIM)
-    pooled = s.select("doc_id", F.transform("vsum", lambda x: x / F.col("wsum")).alias("pooled"))
-    return PL.explode_vector(pooled, ["doc_id"])
+    ids, vectors = doc_index(spark, sf_dir)
+    return PL.explode_vector(PL.pool_rows(ids, ["doc_id"], "ids", vectors, EMB_DIM, PL.mean_rows), ["doc_id"])
 
 
 # vector_coverage: J2 ---------------------------------------------------------------------
@@ -246,8 +221,8 @@ SELECT count(*) AS n_vocab, CAST(sum(hit) AS BIGINT) AS n_hit, round(avg(hit), 6
 FROM hits
 """)
 def vector_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocab = vocab_from_pairs(doc_token_pairs(spark, sf_dir))
-    cov = V.vector_coverage(vocab, table(spark, sf_dir, "embeddings"), EMB_DIM)
+    vocab = V.build_vocab(doc_tokens(spark, sf_dir), ["tokens"], VOCAB_SIZE)
+    cov = V.vector_coverage(vocab, table(spark, sf_dir, "embeddings").where(F.col("vec_id") < VOCAB_SIZE + 3), EMB_DIM)
     return cov.agg(F.count(F.lit(1)).alias("n_vocab"), F.sum("hit").cast("bigint").alias("n_hit"),
                    F.round(F.avg("hit"), 6).alias("hit_rate"),
                    F.round(F.sum(F.when(F.col("hit") == 1, F.col("cnt"))).cast("double") / F.sum("cnt"), 6)
@@ -255,44 +230,32 @@ def vector_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # pool_last: W4 -----------------------------------------------------------------------------
-@register("pool_last", sql=_VEC_SQL + """,
+@register("pool_last", sql=_VEC_SQL + f""",
 last AS (SELECT doc_id, vec FROM tvv WHERE (doc_id, pos) IN (SELECT doc_id, max(pos) FROM tvv GROUP BY doc_id)),
-flat AS (SELECT doc_id, CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS d, unnest(vec) AS x FROM last)
-SELECT doc_id, d, round(x, 6) + 0.0 AS value FROM flat
+p AS (SELECT doc_id, CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS d, unnest(vec) AS x FROM last),
+{_GRID_SQL}
+SELECT doc_id, d, round(coalesce(x, 0.0), 6) + 0.0 AS value FROM grid LEFT JOIN p USING (doc_id, d)
 """)
 def pool_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    toks = doc_tokens(spark, sf_dir)
-    vocab = text_vocab(toks)
-    vt = PL.vectors_by_index(vocab, table(spark, sf_dir, "embeddings"), EMB_DIM)
-    # W4 as a projection: the last token of each document, no regroup needed.
-    last = toks.filter(F.size("tokens") > 0).select("doc_id", Q.last_step(F.col("tokens")).alias("token"))
-    tv = PL.lookup_vectors(last, vocab, vt, VOCAB_SIZE + 3, EMB_DIM)
-    return PL.explode_vector(tv.select("doc_id", F.col("vec").alias("pooled")), ["doc_id"])
+    ids, vectors = doc_index(spark, sf_dir)
+    return PL.explode_vector(PL.pool_rows(ids, ["doc_id"], "ids", vectors, EMB_DIM, PL.last_row), ["doc_id"])
 
 
-# pool_attention: W6 (score = dot with the <SOS> vector, as the reference's query token) -------------
+# pool_attention: W6 with a score per vocabulary entry, its dot product with the <SOS> vector -------------
 @register("pool_attention", sql=_VEC_SQL + f""",
 qv AS (SELECT vec AS q FROM vecs WHERE idx = {SOS_INDEX}),
 sc AS (SELECT doc_id, pos, vec, list_dot_product(vec, q) AS s FROM tvv, qv),
 mx AS (SELECT doc_id, max(s) AS m FROM sc GROUP BY doc_id),
 w AS (SELECT sc.doc_id, sc.vec, exp(sc.s - mx.m) AS w FROM sc JOIN mx ON sc.doc_id = mx.doc_id),
-flat AS (SELECT doc_id, w, CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS d, unnest(vec) AS x FROM w)
-SELECT doc_id, d, round(sum(w * x) / sum(w), 6) + 0.0 AS value FROM flat GROUP BY doc_id, d
+flat AS (SELECT doc_id, w, CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS d, unnest(vec) AS x FROM w),
+p AS (SELECT doc_id, d, sum(w * x) / sum(w) AS x FROM flat GROUP BY doc_id, d),
+{_GRID_SQL}
+SELECT doc_id, d, round(coalesce(x, 0.0), 6) + 0.0 AS value FROM grid LEFT JOIN p USING (doc_id, d)
 """)
 def pool_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = doc_token_pairs(spark, sf_dir)
-    vocab = vocab_from_pairs(pairs)
-    vt = cut_lineage(PL.vectors_by_index(vocab, table(spark, sf_dir, "embeddings"), EMB_DIM), "vocab-vectors")
-    # The query vector is one row of a bounded table: fetch it as a literal parameter.
-    q = vt.filter(F.col("idx") == SOS_INDEX).select("vec").first()
-    qvec = [float(x) for x in q["vec"]] if q else [0.0] * EMB_DIM
-    # Scores depend on the vocabulary entry only: compute them on the <= cap+3 vocabulary rows.
-    scored_vt = vt.withColumn("score", PL.dot(F.col("vec"), PL.lit_vector(qvec)))
-    joined = index_counts_from_pairs(pairs, vocab).join(_bvt(scored_vt), "idx")
-    # Scores live on the bounded vocabulary table: one scalar check decides whether a global shift is safe.
-    shift = PL.safe_shift(scored_vt)
-    return PL.explode_vector(PL.attention_pool(joined, ["doc_id"], "score", "vec", count="cnt", shift=shift,
-                                               dim=EMB_DIM), ["doc_id"])
+    ids, vectors = doc_index(spark, sf_dir)
+    pool = PL.attention_rows(vectors @ vectors[SOS_INDEX])
+    return PL.explode_vector(PL.pool_rows(ids, ["doc_id"], "ids", vectors, EMB_DIM, pool), ["doc_id"])
 
 
 # pool_conv: W5 ---------------------------------------------------------------------------
@@ -315,13 +278,11 @@ FROM grid LEFT JOIN act ON grid.doc_id = act.doc_id AND grid.j = act.j
 
 @register("pool_conv", sql=_conv_sql())
 def pool_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ti, vt = doc_token_index(spark, sf_dir)
-    # Filter dot products per vocabulary entry (bounded), looked up per token.
-    dots = vt.select("idx", PL.conv_dots(F.col("vec"), conv_weights()).alias("dots"))
-    td = ti.join(_bvt(dots), "idx")
-    conv = PL.conv_pool(td, "doc_id", "pos", "dots", CONV_FILTERS, CONV_HEIGHT, CONV_BIAS)
-    out = PL.with_zero_fill(conv, table(spark, sf_dir, "documents").select("doc_id"), "doc_id", CONV_FILTERS)
-    return out.select("doc_id", "j", F.round("value", 6).alias("value"))
+    ids, vectors = doc_index(spark, sf_dir)
+    # A token's share of a window depends on its vocabulary entry only.
+    dots = PL.conv_dots(vectors, conv_weights())
+    out = PL.pool_rows(ids, ["doc_id"], "ids", dots, CONV_FILTERS, PL.convolution_rows(CONV_BIAS))
+    return out.select("doc_id", F.posexplode("pooled").alias("j", "value")).select("doc_id", "j", F.round("value", 6).alias("value"))
 
 
 # split_stratified: W2 stratified variant (exact per-label proportions) -----------------------

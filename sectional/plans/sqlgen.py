@@ -177,3 +177,8 @@ def top_vocab(src: str, cap: int, first: int = 3) -> str:
     return f"""SELECT token, cnt, CAST(row_number() OVER (ORDER BY cnt DESC, token) + {first - 1} AS INTEGER) AS idx
   FROM (SELECT token, count(*) AS cnt FROM ({src}) WHERE token NOT IN ('<unk>', '<pad>', '<SOS>') GROUP BY token)
   ORDER BY cnt DESC, token LIMIT {cap}"""
+
+
+def batch_buckets(rows: str, batch_size: int) -> str:
+    """Number of batch buckets: one per 64 batches of the counted rows."""
+    return f"(SELECT greatest(1, CAST(ceil(count(*) / {64.0 * batch_size}) AS BIGINT)) FROM {rows})"

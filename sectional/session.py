@@ -17,7 +17,7 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Broadcast only what we mark explicitly and size-check ourselves.
+    # Joins without a mark broadcast only what Spark measures or estimates below this.
     "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
 }
 
@@ -56,7 +56,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/ABFS) for this cluster")
         configured = tempfile.mkdtemp(prefix="sectional-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
@@ -75,16 +75,3 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
-
-
-def size_partitions(df: DataFrame, target_bytes: int = 128 * 1024 * 1024) -> DataFrame:
-    """Coalesce a (freshly read) table to about one partition per ``target_bytes`` of input.
-
-    Uses the optimizer's size estimate (file sizes for a Parquet read), so no
-    job runs. Iterative consumers such as MLlib optimisers run one job per
-    iteration; matching partitions to data size keeps that per-job cost
-    proportional at every scale.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n = max(1, -(-size // target_bytes))
-    return df.coalesce(n) if n < df.rdd.getNumPartitions() else df

@@ -38,15 +38,27 @@ def read_corpus(spark: SparkSession, paths: str | Sequence[str], record_schema:
                 key_col: str = "paper_id") -> DataFrame:
     """S1 + S3: keyed-JSON files -> one row per record, the key kept as ``key_col``.
 
-    ``wholetext`` reads each file as one value; ``from_json`` parses it against
-    an explicit map schema (no inference, no per-paper columns); ``explode``
-    turns map entries into rows.
+    ``wholetext`` reads each file as one value; ``from_json`` parses it against an explicit map schema (no inference, no
+    per-paper columns); ``explode`` turns map entries into rows. A file that doesn't parse fails the job, as losing its
+    records silently would be worse; ``corpus_rejects`` lists such files.
     """
+    files = _corpus_files(spark, paths, record_schema)
+    broken = F.raise_error(F.concat(F.lit("not a keyed-JSON file: "), F.col("_file")))
+    checked = files.select(F.when(F.col("_map").isNull(), broken.cast(T.MapType(T.StringType(), record_schema))).otherwise(F.col("_map")).alias("_map"))
+    return checked.select(F.explode("_map").alias(key_col, "_r")).select(key_col, "_r.*")
+
+
+def _corpus_files(spark: SparkSession, paths: str | Sequence[str], record_schema: T.StructType) -> DataFrame:
     paths = [paths] if isinstance(paths, str) else list(paths)
-    raw = spark.read.option("wholetext", True).text(paths)
-    parsed = raw.select(F.explode(F.from_json("value", T.MapType(T.StringType(), record_schema)))
-                        .alias(key_col, "_r"))
-    return parsed.select(key_col, "_r.*")
+    raw = spark.read.option("wholetext", True).text(paths).select("value", F.input_file_name().alias("_file"))
+    parsed = F.from_json("value", T.MapType(T.StringType(), record_schema))
+    # the reader is lenient: a cut file may give the records before the cut, so the text must be whole JSON as well
+    return raw.select("_file", F.when(F.try_parse_json("value").isNotNull(), parsed).alias("_map"))
+
+
+def corpus_rejects(spark: SparkSession, paths: str | Sequence[str], record_schema: T.StructType = RECORD_SCHEMA) -> DataFrame:
+    """The files (``file``) that ``read_corpus`` would fail on."""
+    return _corpus_files(spark, paths, record_schema).where(F.col("_map").isNull()).select(F.col("_file").alias("file"))
 
 
 def union_parts(parts: Sequence[DataFrame]) -> DataFrame:
@@ -109,28 +121,26 @@ def read_prepared(spark: SparkSession, path: str, columns: Sequence[str] | None
 def read_vectors(spark: SparkSession, path: str, dim: int | None = None) -> DataFrame:
     """``token f1 f2 ...`` text lines -> (token, vec array<float>).
 
-    Lines whose width differs from ``dim`` (when given) are dropped, as a
-    malformed vector cannot be joined to a fixed-width embedding table.
+    With ``dim`` the last ``dim`` fields are the vector and all before is the token, which may hold spaces; a line with
+    fewer fields fails the job. Without it the first field is the token. Empty lines are no vectors.
     """
-    parts = spark.read.text(path).select(F.split(F.col("value"), " ").alias("_p"))
-    out = parts.select(F.element_at("_p", 1).alias("token"),
-                       F.transform(F.slice("_p", 2, F.size("_p") - 1), lambda x: x.cast("float")).alias("vec"))
-    if dim is not None:
-        out = out.filter(F.size("vec") == dim)
-    return out
-
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parts = F.split(F.col("value"), " ")
+    first = F.lit(1) if dim is None else F.size(parts) - dim
+    checked = F.when(first >= 1, first).otherwise(F.raise_error(F.concat(F.lit("not a vector line: "), F.substring("value", 1, 80))).cast("int"))
+    return lines.select(parts.alias("_p"), checked.alias("_n")).select(
+        F.array_join(F.slice("_p", 1, F.col("_n")), " ").alias("token"),
+        F.transform(F.slice("_p", F.col("_n") + 1, F.size("_p")), lambda x: x.cast("float")).alias("vec"))
 
-def write_keyed_json(df: DataFrame, path: str, key_col: str, record_cols: Sequence[str]) -> None:
-    """Sink for keyed-JSON corpora: one JSON object ``{key: record}`` per file.
 
-    One file per input partition (``spark_partition_id``), so the records
-    gathered into a file are bounded by the input split size, never by the
-    table size.
-    """
+def write_keyed_json(df: DataFrame, path: str, key_col: str, record_cols: Sequence[str], per_file: int = 1000) -> None:
+    """Sink for keyed-JSON corpora: one JSON object ``{key: record}`` of at most ``per_file`` records per line."""
     rec = F.struct(*[F.col(c) for c in record_cols])
-    grouped = df.select(F.spark_partition_id().alias("_part"), F.col(key_col).cast("string").alias("_k"), rec.alias("_r")) \
+    part = F.floor(F.monotonically_increasing_id() / per_file)  # partition and place in it
+    grouped = df.select(part.alias("_part"), F.col(key_col).cast("string").alias("_k"), rec.alias("_r")) \
         .groupBy("_part").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_r"))).alias("_m"))
-    grouped.select(F.to_json("_m").alias("value")).write.mode("overwrite").text(path)
+    # the reader takes each file as one object
+    grouped.select(F.to_json("_m").alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
 def write_vectors(df: DataFrame, path: str, token_col: str, vec_col: str) -> None:

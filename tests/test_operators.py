@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ def test_a4_vocab_and_j1(spark):
     vocab = V.build_vocab(df, ["tokens"], max_size=2)
     got = {r["token"]: r["idx"] for r in vocab.collect()}
     assert got == {"<unk>": 0, "<pad>": 1, "<SOS>": 2, "a": 3, "b": 4}
-    ids = V.numericalise(df, "doc_id", "tokens", vocab, max_size=2).first()["ids"]
+    ids = V.numericalise(df, ["doc_id"], "tokens", vocab).first()["ids"]
     assert ids == [3, 3, 4, 0]
 
 
@@ -52,26 +53,45 @@ def test_w3_batches_bounded(spark):
     assert max(sizes) <= 48 and sum(sizes) == 500
 
 
-def test_w5_conv_pool(spark):
-    rows = [(1, 0, [1.0]), (1, 1, [-3.0]), (1, 2, [2.0]), (2, 0, [1.0]), (2, 1, [2.0]), (2, 2, [-1.0])]
-    df = spark.createDataFrame(rows, "doc long, pos int, vec array<double>")
-    filters = [[[1.0], [1.0]]]
-    td = df.select("doc", "pos", PL.conv_dots(F.col("vec"), filters).alias("dots"))
-    out = {r["doc"]: r["value"] for r in PL.conv_pool(td, "doc", "pos", "dots", 1, 2, [0.0]).collect()}
-    assert out == {1: 0.0, 2: 3.0}
-    assert all(v >= 0 for v in out.values())
+def pooled(spark, rows, table, width, pool):
+    df = spark.createDataFrame(rows, "doc long, ids array<int>")
+    return {r["doc"]: r["pooled"] for r in PL.pool_rows(df, ["doc"], "ids", np.asarray(table, float), width, pool).collect()}
 
 
-def test_w6_attention_pool(spark):
-    df = spark.createDataFrame([(1, 0.0, [1.0]), (1, math.log(3), [5.0])], "doc long, s double, vec array<double>")
-    r = PL.attention_pool(df, ["doc"], "s").first()
-    assert r["pooled"][0] == pytest.approx(4.0)
+def test_pooling_of_index_rows(spark):
+    vectors = [[0.0], [1.0], [-3.0], [2.0], [5.0], [-1.0]]
+    rows = [(1, [1, 2, 3]), (2, [1, 3, 5]), (3, [4]), (4, []), (5, None)]
+    dots = PL.conv_dots(np.asarray(vectors), [[[1.0], [1.0]]])
+    assert pooled(spark, rows, dots, 1, PL.convolution_rows([0.0])) == {1: [0.0], 2: [3.0], 3: [0.0], 4: [0.0], 5: [0.0]}
+    assert pooled(spark, rows, vectors, 1, PL.last_row) == {1: [2.0], 2: [-1.0], 3: [5.0], 4: [0.0], 5: [0.0]}
+    assert pooled(spark, rows, vectors, 1, PL.mean_rows) == {1: [0.0], 2: [pytest.approx(2 / 3)], 3: [5.0], 4: [0.0], 5: [0.0]}
+    scores = np.array([0, 0.0, 0, 900 + math.log(3), 0, 900.0])  # large scores need the row's own shift
+    got = pooled(spark, [(1, [5, 3]), (2, [])], vectors, 1, PL.attention_rows(scores))
+    assert got == {1: [pytest.approx(0.25 * -1 + 0.75 * 2)], 2: [0.0]}
 
 
-def test_w6_weights_sum_to_one(spark):
-    df = spark.createDataFrame([(1, 0.3, [2.0, -1.0]), (1, -1.7, [2.0, -1.0]), (1, 5.0, [2.0, -1.0])],
-                               "doc long, s double, vec array<double>")
-    assert PL.attention_pool(df, ["doc"], "s").first()["pooled"] == pytest.approx([2.0, -1.0])
+def test_top_tokens_cut_ties_by_token(spark):
+    counts = spark.createDataFrame([(f"t{i:03}", 5 if i < 3 else 2) for i in range(200)] + [("z", 9)], "token string, cnt long")
+    got = [(r["token"], r["idx"]) for r in V.top_tokens(counts, 10, first_index=3).orderBy("idx").collect()]
+    assert got == [(t, k + 3) for k, t in enumerate(["z", *[f"t{i:03}" for i in range(9)]])]
+    assert V.top_tokens(counts, 500).count() == V.top_tokens(counts, None).count() == 201
+
+
+def test_broken_corpus_files_fail_and_are_listed(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"p1": {"title": "x"}, "p2": {"title": "y"}}')
+    assert {r["paper_id"] for r in C.read_corpus(spark, str(tmp_path)).collect()} == {"p1", "p2"}
+    (tmp_path / "b.json").write_text('{"p3": {"title": "x"}, "p4": {"ti')
+    with pytest.raises(Exception, match="keyed-JSON"):
+        C.read_corpus(spark, str(tmp_path)).collect()
+    assert [r["file"][-6:] for r in C.corpus_rejects(spark, str(tmp_path)).collect()] == ["b.json"]
+
+
+def test_vector_tokens_may_hold_spaces(spark, tmp_path):
+    (tmp_path / "v.txt").write_text(". . 4 5 6\n\na 1 2 3\n")
+    got = {r["token"]: r["vec"] for r in C.read_vectors(spark, str(tmp_path / "v.txt"), dim=3).collect()}
+    assert got == {". .": [4.0, 5.0, 6.0], "a": [1.0, 2.0, 3.0]}
+    with pytest.raises(Exception, match="not a vector line"):
+        C.read_vectors(spark, str(tmp_path / "v.txt"), dim=5).collect()
 
 
 def test_a6_nll_and_mean_of_batch_means(spark):

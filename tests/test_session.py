@@ -1,9 +1,9 @@
-"""Scale helpers: spread, bounded broadcast, lineage cuts, partition sizing."""
+"""Scale helpers: spread, bounded broadcast, lineage cuts."""
 
 from pyspark.sql import functions as F
 
 from sectional.operators.joins import bounded_broadcast
-from sectional.session import cut_lineage, ensure_checkpoint_dir, size_partitions
+from sectional.session import cut_lineage, ensure_checkpoint_dir
 from sectional.sources.tables import spread
 
 
@@ -30,8 +30,3 @@ def test_cut_lineage_writes_under_the_checkpoint_folder(spark):
     assert sorted(r["x"] for r in out.collect()) == [0, 2, 4, 6, 8]
     folder = ensure_checkpoint_dir(spark)
     assert any(f.startswith(folder.rstrip("/")) or folder.split(":", 1)[-1] in f for f in out.inputFiles())
-
-
-def test_size_partitions_coalesces_small_tables(spark):
-    df = cut_lineage(spark.range(1000).repartition(8), "sized")
-    assert size_partitions(df).rdd.getNumPartitions() == 1
