@@ -98,7 +98,32 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), ranks_path())
 
 
-@query("op4_license_scan")
+def _op4_sql() -> str:
+    array = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    phrases = ", ".join(f"({array(licenses.template_words(p))}, '{label}')" for p, label in licenses.PHRASES)
+    templates = ", ".join(f"({array(sorted(set(licenses.template_words(t))))}, '{label}')" for label, t in licenses.TEMPLATES)
+    word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    return f"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS r, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+w AS (SELECT *, regexp_extract_all(x, {word}) AS w FROM t),
+p AS (SELECT * FROM (VALUES {phrases}) AS v(ph, label)),
+h AS (SELECT r, label, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i:i + len(ph) - 1] = ph)) AS i FROM w, p),
+b AS (SELECT r, count(*)::BIGINT AS n_base, (min(i) - 1)::BIGINT AS first_word, (max(i) - 1)::BIGINT AS last_word FROM h GROUP BY r),
+l AS (SELECT r, list_distinct(regexp_extract_all(line, {word})) AS s FROM (SELECT r, unnest(string_split(x, chr(10))) AS line FROM t)),
+q AS (SELECT * FROM (VALUES {templates}) AS v(tw, label)),
+m AS (SELECT r, label, max(len(list_intersect(s, tw))::DOUBLE / len(tw)) AS share FROM l, q
+      WHERE len(list_intersect(s, tw)) >= ceil(0.8 * len(tw) - 1e-9) GROUP BY r, label),
+a AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM h UNION SELECT r, label FROM m) GROUP BY r),
+c AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM h GROUP BY r),
+s AS (SELECT r, max(share) AS share FROM m GROUP BY r)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(b.n_base, 0)::BIGINT AS n_base, b.first_word, b.last_word,
+       coalesce(c.base_labels, '') AS base_labels, coalesce(a.labels, '') AS labels,
+       CASE WHEN b.n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(s.share, 0.0)::DOUBLE END AS score
+FROM w LEFT JOIN b USING (r) LEFT JOIN a USING (r) LEFT JOIN c USING (r) LEFT JOIN s USING (r)
+"""
+
+
+@query("op4_license_scan", _op4_sql())
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents")).drop("blocks")
 
