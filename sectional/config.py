@@ -13,22 +13,14 @@ from __future__ import annotations
 # Fixed lengths per field, <SOS> included.
 SEQ_LENS = {"title": 16, "autho": 7, "abstr": 160, "intro": 512, "relat": 300, "metho": 800, "concl": 240}
 
-# Text sections fed to the shared vocabulary and the encoders, in this order.
-TEXT_SECTIONS = ["abstr", "title", "intro", "relat", "metho", "concl"]
 
-# Hidden size per section; the author branch adds 32.
-HIDDEN_SIZES = {"abstr": 64, "title": 32, "intro": 64, "relat": 64, "metho": 64, "concl": 64}
-AUTHOR_HIDDEN = 32
 
 VOCAB_SIZE = 40000
 AUTHOR_VOCAB_SIZE = 1600
-EMBED_DIM = 300
-NUM_CLASSES = 2
 SPLIT_RATIOS = (0.6, 0.2, 0.2)
 BATCH_SIZE = 48
 EPOCHS = 20
 PATIENCE = 5
-MINI_ROWS = 160
 
 # Special tokens and their indices (unknown, padding, start of sequence).
 UNK, PAD, SOS = "<unk>", "<pad>", "<SOS>"

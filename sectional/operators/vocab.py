@@ -24,11 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sectional.config import SPECIALS, UNK, VOCAB_SIZE
-from sectional.operators.joins import bounded_broadcast
 from sectional.session import cut_lineage
 
-# Rough size of one vocabulary row (token string + count + index) for the bound.
-_VOCAB_ROW_BYTES = 96
 # Longer tokens are looked up as unknown, which bounds the vocabulary's bytes.
 TOKEN_BYTES = 256
 
@@ -106,13 +103,6 @@ def vocab_from_counts(counts: DataFrame, max_size: int | None = VOCAB_SIZE,
     return specials_frame(counts.sparkSession, specials).unionByName(ranked)
 
 
-def vocab_broadcast(vocab: DataFrame, max_size: int | None, specials: int = len(SPECIALS)) -> DataFrame:
-    """Broadcast the vocabulary when its construction bounds its size."""
-    if max_size is None:
-        return vocab
-    return bounded_broadcast(vocab, max_size + specials, _VOCAB_ROW_BYTES)
-
-
 def numericalise(df: DataFrame, keys: Sequence[str], tokens_col: str, vocab: DataFrame, out_col: str = "ids", unk_index: int = 0) -> DataFrame:
     """Token array -> index array, unknown tokens -> ``unk_index``; null or empty arrays give empty ones.
 

@@ -124,6 +124,8 @@ def early_stop_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ----------------------------------------------------------------------------------
 # Model jobs: rate_documents (flagship, M1-M4 M6 M7 S8) and gru_scores (M8).
 # ----------------------------------------------------------------------------------
+import math  # noqa: E402
+
 import numpy as np  # noqa: E402
 import pandas as pd  # noqa: E402
 
@@ -133,6 +135,7 @@ from sectional.functions import text as X  # noqa: E402
 from sectional.operators import pooling as PL  # noqa: E402
 from sectional.operators import vocab as V  # noqa: E402
 from sectional.plans import model as MD  # noqa: E402
+from sectional.plans import queries_vectors as QV  # noqa: E402
 from sectional.plans.queries_vectors import CONV_BIAS, EMB_DIM, conv_weights, doc_index, frozen_vectors  # noqa: E402
 from sectional.sources.tables import latex_documents, latex_text, spread  # noqa: E402
 
@@ -176,6 +179,62 @@ def rate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate(spark, sf_dir)
 
 
+# fused_features: M1 over the mean-pooled sections; head_scores: M3 with weights from a rule ---------------------
+def _fused_sql() -> str:
+    sections = ", ".join(f"('{s}', {k})" for k, s in enumerate(S.SECTIONS))
+    return QV.section_tokens_sql() + f""",
+vecs AS (
+  SELECT fv.idx, CAST(coalesce(e.embedding, list_transform(range({EMB_DIM}), lambda x: CAST(0 AS FLOAT))) AS DOUBLE[]) AS vec
+  FROM full_vocab fv LEFT JOIN embeddings e ON e.vec_id = fv.idx
+),
+tk AS (SELECT doc_id, section, unnest(toks) AS token FROM long),
+ti AS (SELECT tk.doc_id, tk.section, coalesce(fv.idx, 0) AS idx, count(*) AS c FROM tk LEFT JOIN full_vocab fv ON tk.token = fv.token GROUP BY ALL),
+flat AS (SELECT doc_id, section, c, generate_subscripts(vec, 1) - 1 AS d, unnest(vec) AS x FROM ti JOIN vecs ON ti.idx = vecs.idx),
+pm AS (SELECT doc_id, section, d, sum(c * x) / sum(c) AS x FROM flat GROUP BY doc_id, section, d),
+fused AS (
+  SELECT g.doc_id, CAST(g.k * {EMB_DIM} + g.d AS INTEGER) AS i, coalesce(pm.x, 0.0) AS x
+  FROM (SELECT doc_id, section, k, d FROM documents, (VALUES {sections}) AS v(section, k), (SELECT unnest(range({EMB_DIM})) AS d) dims) g
+  LEFT JOIN pm ON pm.doc_id = g.doc_id AND pm.section = g.section AND pm.d = g.d
+)"""
+
+
+def fused_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = cut_lineage(QV.section_sequences(spark, sf_dir).select("doc_id", "split", "section", "tokens"), "section-tokens")
+    vocab = cut_lineage(V.build_vocab(tokens.filter(F.col("split") == "train"), ["tokens"], VOCAB_SIZE), "section-vocab")
+    pooled = MD.section_features(tokens, vocab, frozen_vectors(spark, sf_dir, vocab), "mean")
+    return MD.fuse_sections(pooled, S.SECTIONS, EMB_DIM)
+
+
+@register("fused_features", sql=_fused_sql() + """
+SELECT doc_id, i, round(x, 6) + 0.0 AS value FROM fused
+""")
+def fused_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fused_documents(spark, sf_dir).select("doc_id", F.posexplode("fused").alias("i", "x"))
+    return rows.select("doc_id", "i", (F.round("x", 6) + F.lit(0.0)).alias("value"))
+
+
+HEAD_UNITS = 8
+
+
+def head_weights(inputs: int, units: int, scale: float, phase: float) -> tuple[list, list]:
+    """(weights, bias) of a layer from a rule."""
+    return [[scale * math.sin(phase + i * units + j) for i in range(inputs)] for j in range(units)], [0.01 * j for j in range(units)]
+
+
+@register("head_scores", sql=_fused_sql() + f""",
+u AS (SELECT doc_id, j, sum(x * 0.3 * sin(1.0 + i * {HEAD_UNITS} + j)) + 0.01 * j AS h
+      FROM fused, (SELECT unnest(range({HEAD_UNITS})) AS j) units GROUP BY doc_id, j),
+z AS (SELECT doc_id, c, sum(greatest(0.0, h) * 0.5 * sin(2.0 + j * 2 + c)) + 0.01 * c AS r, sum(h * 0.5 * sin(2.0 + j * 2 + c)) + 0.01 * c AS l
+      FROM u, (SELECT unnest(range(2)) AS c) classes GROUP BY doc_id, c)
+SELECT doc_id, CAST(c AS INTEGER) AS class, round(r, 5) + 0.0 AS relu, round(l, 5) + 0.0 AS linear FROM z
+""")
+def head_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hidden, out = head_weights(EMB_DIM * len(S.SECTIONS), HEAD_UNITS, 0.3, 1.0), head_weights(HEAD_UNITS, 2, 0.5, 2.0)
+    both = F.arrays_zip(MD.head_logits(F.col("fused"), hidden, out).alias("relu"), MD.head_logits(F.col("fused"), hidden, out, "linear").alias("linear"))
+    rows = fused_documents(spark, sf_dir).select("doc_id", F.posexplode(both).alias("class", "z"))
+    return rows.select("doc_id", "class", (F.round("z.relu", 5) + F.lit(0.0)).alias("relu"), (F.round("z.linear", 5) + F.lit(0.0)).alias("linear"))
+
+
 GRU_HIDDEN, GRU_LAYERS, GRU_SEED = 32, 2, 11
 
 

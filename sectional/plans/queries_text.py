@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sectional.config import CONCL_FLAGS, INTRO_FLAGS, PREFIX_HEADINGS, RELAT_FLAGS
+from sectional.config import CONCL_FLAGS, INTRO_FLAGS, PREFIX_HEADINGS, RELAT_FLAGS, VOCAB_SIZE
 from sectional.functions import sections as S
 from sectional.functions import text as X
 from sectional.operators import profile as P
@@ -17,7 +17,7 @@ from sectional.plans.catalog import register
 from sectional.sources import corpus as C
 from sectional.sources.tables import latex_documents, spread, table
 
-TOP_TOKENS = 400
+TOP_TOKENS = VOCAB_SIZE
 
 
 # vocab_top: T3 T4 A4 K2 --------------------------------------------------------

@@ -59,15 +59,20 @@ def fixed_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "section", F.size("tokens").alias("n_tokens"), F.array_join("seq", " ").alias("seq"))
 
 
-# numericalise: A4 (fit on train) K2 J1 --------------------------------------------------
-@register("numericalise", sql=_seq_sql() + f""",
+def section_tokens_sql() -> str:
+    """CTEs up to ``long`` (doc_id, split, section, toks) and ``full_vocab``, fitted on the train split."""
+    return _seq_sql() + f""",
 vocab AS (
   {g.top_vocab("SELECT unnest(toks) AS token FROM long WHERE split = 'train'", VOCAB_SIZE)}
 ),
 full_vocab AS (
   SELECT token, idx FROM vocab
   UNION ALL SELECT '<unk>', 0 UNION ALL SELECT '<pad>', 1 UNION ALL SELECT '<SOS>', 2
-),
+)"""
+
+
+# numericalise: A4 (fit on train) K2 J1 --------------------------------------------------
+@register("numericalise", sql=section_tokens_sql() + """,
 pos AS (SELECT doc_id, section, unnest(seq) AS token, generate_subscripts(seq, 1) AS p FROM fixed)
 SELECT doc_id, section, string_agg(CAST(coalesce(v.idx, 0) AS VARCHAR), ' ' ORDER BY p) AS ids,
        CAST(count(*) FILTER (WHERE v.idx IS NULL) AS INTEGER) AS n_unk
