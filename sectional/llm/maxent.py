@@ -1,8 +1,8 @@
 """A hashed maximum-entropy language model: n-gram and skip features, class-factored softmax.
 
 log p(w | h) = log p(class(w) | h) + log p(w | class(w), h). Both factors are softmaxes over sums of weight rows; each
-feature of the history (the word before, the classes of the two before, skips over one and two words) is hashed to a
-row. Classes group frequent words (the head, ``HEAD`` at most) by the company they keep and then by frequency. Within
+feature of the history (the word before, the classes of the two and three before, the word before the last) is hashed
+to a row. Classes group frequent words (the head, ``HEAD`` at most) by the company they keep and then by frequency. Within
 a class of up to ``WIDE`` words the second factor has features too; within larger ones it is the words' frequency, the
 maximum-entropy model with a bias only, whose solution is known. All other words are one class; there, a word's
 probability is its discounted count, and the discounts' sum goes to the one unknown word.
@@ -30,18 +30,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_table, mapped, mix64, split_words, stage, text_slices
+from .common import lower_table, mapped, split_words, stage, text_slices
 
 HEAD = 200_000
 HEAD_COUNT = 4  # rarer words stay outside of the head: how often they are new tells how likely unknown words are
 HEAD_BYTES = 64  # longer words stay outside of the head, so that its size is bounded
-CLASSES, WIDE = 64, 64
+CLASSES, WIDE = 48, 32
 ROWS = 1 << 14
 COMPANY = 48
 GROUPS = 8
 BATCH = 4096
 BLOCKS = 64
-FEATURES = 5
 FLUSH = 300_000
 
 
@@ -202,32 +201,39 @@ class Model:
         small = self.narrow[klass[:n + 2]]
         words = np.flatnonzero(small)
         self.inner[klass[words], self.place[words]] = self.frequency[words]
-        self.w = np.zeros((2, ROWS, CLASSES), np.float32)
+        self.w = [np.zeros((ROWS, CLASSES), np.float32), np.zeros((ROWS, WIDE), np.float32)]
 
     def features(self, t: Tokens) -> np.ndarray:
-        """Rows of the first table for each token."""
+        """Rows of the first table for each token: the word before, the classes of the two before, of the three before, and
+        the word before the last one (a skip)."""
         one, two, three = t.before(1), t.before(2), t.before(3)
         k = self.klass
-        m = self.n + 3
-        raw = np.stack([one, k[one] * CLASSES + k[two] + m, two + 2 * m, k[one] * CLASSES * CLASSES + k[two] * CLASSES + k[three] + 3 * m,
-                        three + 9 * m + CLASSES ** 3], 1).astype(np.uint64)
-        return (mix64(raw) >> np.uint64(64 - 14)).astype(np.int64)
+        pair = k[one] * CLASSES + k[two]
+        raw = np.stack([one, pair + (1 << 30), pair * CLASSES + k[three] + (2 << 30), two + (3 << 30)], 1)
+        return self._row(raw.astype(np.uint64))
+
+    @staticmethod
+    def _row(raw: np.ndarray) -> np.ndarray:
+        """A table row by multiplicative hashing."""
+        return ((raw * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 14)).astype(np.int64)
 
     def inner_features(self, rows: np.ndarray, klass: np.ndarray) -> np.ndarray:
-        return (mix64(rows.astype(np.uint64) * np.uint64(CLASSES) + klass.astype(np.uint64)[:, None] + np.uint64(1 << 40)) >> np.uint64(64 - 14)).astype(np.int64)
+        return self._row((rows * CLASSES + klass[:, None] + (1 << 32)).astype(np.uint64))
 
     @staticmethod
     def _softmax(logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         logit -= logit.max(axis=1, keepdims=True)
-        e = np.exp(logit)
-        total = e.sum(axis=1, keepdims=True)
-        return e / total, logit - np.log(total)
+        p = np.exp(logit)
+        total = p.sum(axis=1, keepdims=True)
+        p /= total
+        return p, total
 
     def _sum_rows(self, table: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        out = table[rows[:, 0]]
+        out = table.take(rows[:, 0], axis=0)
         for f in range(1, rows.shape[1]):
-            out += table[rows[:, f]]
-        return out + bias
+            out += table.take(rows[:, f], axis=0)
+        out += bias
+        return out
 
     def log_p(self, t: Tokens) -> np.ndarray:
         """Natural log probability of each token (of its class, for words outside of the head)."""
@@ -236,13 +242,13 @@ class Model:
         for a in range(0, len(out), BATCH):
             ids, r = t.ids[a:a + BATCH], rows[a:a + BATCH]
             k = self.klass[ids]
-            _, lp = self._softmax(self._sum_rows(self.w[0], r, self.bias))
-            value = lp[np.arange(len(ids)), k].astype(np.float64)
+            p, _ = self._softmax(self._sum_rows(self.w[0], r, self.bias))
+            value = np.log(np.maximum(p[np.arange(len(ids)), k], 1e-30, dtype=np.float64))
             inside = np.flatnonzero(self.narrow[k])
             if len(inside):
                 ki = k[inside]
-                _, lp = self._softmax(self._sum_rows(self.w[1], self.inner_features(r[inside], ki), self.inner[ki]))
-                value[inside] += lp[np.arange(len(inside)), self.place[ids[inside]]]
+                p, _ = self._softmax(self._sum_rows(self.w[1], self.inner_features(r[inside], ki), self.inner[ki]))
+                value[inside] += np.log(np.maximum(p[np.arange(len(inside)), self.place[ids[inside]]], 1e-30, dtype=np.float64))
             plain = ~self.narrow[k]
             value[plain] += np.where(ids[plain] == t.out, 0.0, self.frequency[np.minimum(ids[plain], self.n + 1)])
             out[a:a + BATCH] = value
@@ -255,8 +261,9 @@ class Model:
         at = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
         grad = np.add.reduceat(wrong[order % len(wrong)], at, axis=0)
         which = ranked[at]
-        seen[which] += (grad * grad).mean(axis=1)
-        self.w[table][which] += rate * grad / np.sqrt(seen[which])[:, None]
+        seen[which] += np.einsum("ij,ij->i", grad, grad) / grad.shape[1]
+        grad *= (rate / np.sqrt(seen[which]))[:, None]
+        self.w[table][which] += grad
 
     def learn(self, t: Tokens, seen: np.ndarray, rate: float) -> None:
         """One pass over a slice in batches of gradient steps."""
@@ -265,23 +272,28 @@ class Model:
             ids, r = t.ids[a:a + BATCH], rows[a:a + BATCH]
             k = self.klass[ids]
             p, _ = self._softmax(self._sum_rows(self.w[0], r, self.bias))
-            p = -p
+            np.negative(p, out=p)
             p[np.arange(len(ids)), k] += 1
             inside = np.flatnonzero(self.narrow[k])
             if len(inside):
                 ki = k[inside]
                 ri = self.inner_features(r[inside], ki)
                 q, _ = self._softmax(self._sum_rows(self.w[1], ri, self.inner[ki]))
-                q = -q
+                np.negative(q, out=q)
                 q[np.arange(len(inside)), self.place[ids[inside]]] += 1
                 self._step(1, ri, q, seen[1], rate)
             self._step(0, r, p, seen[0], rate)
 
 
 def train(docs: DataFrame, model: Model, head, rounds: int, rate: float) -> None:
-    """Distributed gradient updates; every training text takes part in one round."""
+    """Distributed gradient updates; every training text takes part in one round.
+
+    A task sends the weight rows that it has changed, in BLOCKS blocks; a row's update is the mean change over the tasks that
+    have changed it, weighted by their tokens.
+    """
     spark = docs.sparkSession
-    per = 2 * ROWS * CLASSES // BLOCKS
+    per = ROWS // BLOCKS
+    widths = [w.shape[1] for w in model.w]
     turn = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), F.lit(rounds))
     for k in range(rounds):
         now = spark.sparkContext.broadcast(model)
@@ -293,32 +305,34 @@ def train(docs: DataFrame, model: Model, head, rounds: int, rate: float) -> None
             for _, texts in text_slices(batches):
                 if own is None:
                     own = copy.copy(now.value)
-                    own.w = now.value.w.copy()
+                    own.w = [w.copy() for w in now.value.w]
                     seen = np.full((2, ROWS), 1.0, np.float32)
                 t = Tokens(texts, head.value)
                 tokens += len(t.ids)
                 own.learn(t, seen, rate)
-            if own is not None:
-                change = (own.w - now.value.w).astype("<f2").reshape(BLOCKS, per)
+            for table in range(2 if own is not None else 0):
+                change = own.w[table] - now.value.w[table]
                 for b in range(BLOCKS):
-                    yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "tokens": pa.array([tokens], pa.int64()),
-                                                      "change": pa.array([change[b].tobytes()], pa.binary())})
-
-        def mean(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total, weight, block = np.zeros(per), 0.0, None
-            for part in groups:
-                for b, n, change in zip(part["block"], part["tokens"], part["change"]):
-                    total += n * np.frombuffer(change, "<f2").astype(np.float64)
-                    weight += n
-                    block = b
-            if block is not None:
-                yield pd.DataFrame({"block": [block], "change": [(total / weight).astype("<f4").tobytes()]})
-
-        sent = docs.where(turn == k).select("text").mapInArrow(update, "block int, tokens long, change binary")
-        new = model.w.copy().reshape(BLOCKS, per)
-        for r in sent.groupBy("block").applyInPandas(lambda g: next(mean(iter([g]))), "block int, change binary").collect():  # BLOCKS rows
-            new[r["block"]] += np.frombuffer(r["change"], "<f4")
-        model.w = new.reshape(2, ROWS, CLASSES)
+                    part = change[b * per:(b + 1) * per]
+                    rows = np.flatnonzero(part.any(axis=1))
+                    if len(rows):
+                        yield pa.RecordBatch.from_pydict({"table": pa.array([table], pa.int32()), "block": pa.array([b], pa.int32()), "tokens": pa.array([tokens], pa.int64()),
+                                                          "rows": pa.array([rows.astype("<u2").tobytes()], pa.binary()), "change": pa.array([part[rows].astype("<f2").tobytes()], pa.binary())})
+
+        def mean(group: pd.DataFrame) -> pd.DataFrame:
+            table, block = int(group["table"].iloc[0]), int(group["block"].iloc[0])
+            total, weight = np.zeros((per, widths[table])), np.zeros((per, 1))
+            for n, rows, change in zip(group["tokens"], group["rows"], group["change"]):
+                at = np.frombuffer(rows, "<u2")
+                total[at] += n * np.frombuffer(change, "<f2").astype(np.float64).reshape(len(at), -1)
+                weight[at] += n
+            return pd.DataFrame({"table": [table], "block": [block], "change": [(total / np.maximum(weight, 1)).astype("<f4").tobytes()]})
+
+        sent = docs.where(turn == k).select("text").mapInArrow(update, "table int, block int, tokens long, rows binary, change binary")
+        new = [w.copy() for w in model.w]
+        for r in sent.groupBy("table", "block").applyInPandas(mean, "table int, block int, change binary").collect():  # 2 * BLOCKS rows, the weights' size
+            new[r["table"]][r["block"] * per:(r["block"] + 1) * per] += np.frombuffer(r["change"], "<f4").reshape(per, -1)
+        model.w = new
         now.unpersist()
 
 
