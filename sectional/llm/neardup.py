@@ -14,7 +14,8 @@ Two texts of similarity 0.8 share MIN_DEPTH minima in some tree with a probabili
 its signature if fewer than ``AGREE`` of its minima agree, which is over 4 standard deviations off.
 
 Defined results. Null or empty texts, or texts without words: an empty set, linked with nothing. Rows without an id are
-linked with nothing and kept (component null). Rows that repeat a doc_id are one document. Repeated texts are one class.
+linked with nothing and kept (component null). Rows that repeat a doc_id stand for one document, each with the component of its
+own text. Repeated texts are one class.
 Empty tables give no rows. Whole texts are read; extra columns are not.
 """
 
@@ -34,7 +35,7 @@ from .components import components
 
 TREES, DEPTH, MIN_DEPTH = 16, 6, 3
 REGION = 256
-AGREE = 57
+AGREE = 60
 MINIMA = TREES * DEPTH
 _FACTORS = np.random.default_rng(9).integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PAIR, _ALONE = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
@@ -154,82 +155,152 @@ def by_signature(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long").distinct()
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, n: int, percent: int, name: str) -> DataFrame:
-    """The pairs of ids whose full sets are similar enough. Only documents that occur in pairs are read into sets."""
-    pairs = stage(pairs, f"{name}-pairs")
-    nodes = pairs.select(F.col("a").alias(doc_id)).unionByName(pairs.select(F.col("b").alias(doc_id))).distinct()
-    wanted = docs.select(F.col(f"`{doc_id}`").cast("long").alias(doc_id), F.col(f"`{text}`").alias(text)).join(nodes, doc_id, "left_semi")
+def sets_of(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, n: int) -> DataFrame:
+    """node, set (its sorted shingle hashes) for the ids in ``nodes``; other documents aren't read into sets."""
+    wanted = docs.select(F.col(f"`{doc_id}`").cast("long").alias("node"), F.col(f"`{text}`").alias("text")).join(nodes.select("node").distinct(), "node", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in text_slices(batches, text):
+        for rows, texts in text_slices(batches):
             flat, off = shingle_sets(texts, n)
-            yield pa.RecordBatch.from_arrays([rows.column(doc_id), pa.array([flat[off[i]:off[i + 1]].tobytes() for i in range(len(texts))], pa.binary())], names=["node", "set"])
+            yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array([flat[off[i]:off[i + 1]].tobytes() for i in range(len(texts))], pa.binary())], names=["node", "set"])
+
+    return wanted.mapInArrow(sets, "node long, set binary")
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    if not len(x) or not len(y):
+        return False
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
-    known = stage(wanted.mapInArrow(sets, "node long, set binary"), f"{name}-sets")
+
+def confirm(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, n: int, percent: int, name: str) -> DataFrame:
+    """The pairs of ids whose full sets are similar enough."""
+    pairs = stage(pairs, f"{name}-pairs")
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    known = stage(sets_of(docs, nodes, text, doc_id, n), f"{name}-sets")
     both = pairs.join(known.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(known.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("sa", "sb"))
-                if not len(x) or not len(y):
-                    continue
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    a.append(batch.column("a")[i].as_py())
-                    b.append(batch.column("b")[i].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            keep = pa.array([similar(*(np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("sa", "sb")), percent) for i in range(batch.num_rows)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
     return both.mapInArrow(check, "a long, b long").distinct()
 
 
-def region_pairs(trees: DataFrame, reps: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
-    """Candidates between different components inside regions of adaptive depth (see the module's text)."""
+def regions_of(trees: DataFrame, joined: DataFrame) -> DataFrame:
+    """Regions of adaptive depth with more than one component, dealt out in groups: tree, prefix, kind, i, j, node, component.
+
+    A region's largest component is cut into blocks of about REGION rows, and so are the rows of all its others. Each block
+    of the others meets each block of the largest (kind 0) and each block of the others (kind 1): every pair of different
+    components meets, rows of the largest don't meet each other.
+    """
     rows = trees.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     done = []
     for depth in range(MIN_DEPTH, DEPTH + 1):
         rows = rows.withColumn("prefix", F.substring("path", 1, 4 * depth))
-        regions = rows.groupBy("tree", "prefix").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")) \
-            .where("low <> high").select("tree", "prefix", "members")
-        mixed = stage(rows.join(regions, ["tree", "prefix"]).drop("low", "high"), f"regions-{depth}")
+        sizes = rows.groupBy("tree", "prefix", "component").agg(F.count("*").alias("n"))
+        regions = sizes.groupBy("tree", "prefix").agg(F.sum("n").alias("members"), F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts")) \
+            .where("parts > 1").select("tree", "prefix", "members", "most")
+        mixed = stage(rows.join(regions, ["tree", "prefix"]), f"regions-{depth}")
         ready = mixed if depth == DEPTH else mixed.where(F.col("members") <= REGION)
-        done.append(ready.select("tree", "prefix", "members", "node", "component"))
+        done.append(ready.select("tree", "prefix", "members", "most", "node", "component"))
         rows = mixed.where(F.col("members") > REGION).select("tree", "path", "node", "component")
-    regions = done[0]
+    found = done[0]
     for more in done[1:]:
-        regions = regions.unionByName(more)
-    # blocks of about REGION rows; a row of block i meets all blocks, in the groups (i, j) with i <= j
-    blocks = F.ceil(F.col("members") / REGION).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    met = regions.withColumn("blocks", blocks).withColumn("own", own) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    met = met.join(reps.select("node", "n", "minima"), "node").select("tree", "prefix", "i", "j", "own", "node", "component", "n", "minima")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("n", kind="stable")
-        node, comp, own, size = (group[c].to_numpy() for c in ("node", "component", "own", "n"))
-        minima = np.frombuffer(b"".join(group["minima"]), "<u4").reshape(-1, MINIMA)
-        cross = group["i"].iloc[0] != group["j"].iloc[0]
-        a, b = [], []
-        for k in range(len(node) - 1):
-            end = int(np.searchsorted(size, size[k] * 100 // percent, side="right"))  # larger sets can't be similar
-            at = np.arange(k + 1, end)
-            at = at[comp[at] != comp[k]]
-            if cross:
-                at = at[own[at] != own[k]]
+        found = found.unionByName(more)
+    large, small = F.ceil(F.col("most.n") / REGION).cast("int"), F.ceil((F.col("members") - F.col("most.n")) / REGION).cast("int")
+    found = found.withColumn("large", large).withColumn("small", small).withColumn("main", F.col("component") == F.col("most.component"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("large")).otherwise(F.col("small"))).cast("int")
+    found = found.withColumn("own", own)
+    every = lambda top: F.sequence(F.lit(0), F.col(top) - 1)
+    group = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    groups = F.when(F.col("main"), F.transform(every("small"), lambda j: group(0, F.col("own"), j))).otherwise(
+        F.concat(F.transform(every("large"), lambda i: group(0, i, F.col("own"))),
+                 F.transform(every("small"), lambda j: group(1, F.least(F.col("own"), j), F.greatest(F.col("own"), j)))))
+    return found.withColumn("g", F.explode(groups)).select("tree", "prefix", "g.kind", "g.i", "g.j", "main", "node", "component")
+
+
+GROUP = ("tree", "prefix", "kind", "i", "j")
+
+
+def candidates(comp: np.ndarray, main: np.ndarray, size: np.ndarray, minima: np.ndarray, first: bool, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a group's rows, sorted by size: a row's number, and those of the later rows of other components that may be similar."""
+    n = len(comp)
+    ends = np.searchsorted(size, size * 100 // percent, side="right")  # sets beyond are too large to be similar
+    for k in range(n - 1):
+        at = np.arange(k + 1, ends[k])
+        at = at[(comp[at] != comp[k]) & ((main[at] != main[k]) | (not first))]
+        if len(at):
+            at = at[(minima[at] == minima[k]).sum(axis=1, dtype=np.int16) >= AGREE]
             if len(at):
-                at = at[_agreement(minima[at], minima[k]) >= AGREE]
-                a += [node[k]] * len(at)
-                b += node[at].tolist()
-        out = pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-        return pd.DataFrame({"a": out.min(axis=1), "b": out.max(axis=1)}).astype(np.int64)
+                yield k, at
+
+
+def each_group(bucket: pd.DataFrame) -> Iterator[tuple[np.ndarray, tuple]]:
+    """The groups of a bucket: their rows' numbers by rising size, and what ``candidates`` takes."""
+    code = bucket.groupby(list(GROUP), sort=False).ngroup().to_numpy()
+    order = np.lexsort((bucket["n"].to_numpy(), code))
+    comp, main, size, kind = (bucket[c].to_numpy()[order] for c in ("component", "main", "n", "kind"))
+    # a byte of each minimum is enough to see whether they agree, but for one in 256
+    minima = np.ascontiguousarray(np.frombuffer(b"".join(bucket["minima"]), np.uint8).reshape(len(bucket), MINIMA, 4)[order, :, 3])
+    code = code[order]
+    start = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    for a, b in zip(start, np.append(start[1:], len(code))):
+        if b - a > 1:
+            yield order[a:b], (comp[a:b], main[a:b], size[a:b], minima[a:b], kind[a] == 0)
+
+
+def in_buckets(rows: DataFrame, per_bucket: int) -> DataFrame:
+    """``rows`` grouped so that each group of GROUP is in one bucket of about ``per_bucket`` rows."""
+    buckets = max(1, -(-rows.count() // per_bucket))
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(*GROUP), F.lit(buckets)))
+
+
+def region_links(trees: DataFrame, reps: DataFrame, joined: DataFrame, docs: DataFrame, text: str, doc_id: str, n: int, percent: int) -> DataFrame:
+    """Confirmed links between different components inside regions, as many as join what a group of a region has to join.
+
+    The groups are read twice: first with signatures only, which leaves the rows that have a candidate; then those meet
+    again with their full sets. So what is written grows with the rows, however many pairs are near the bound.
+    """
+    short = reps.select("node", "n", "minima")
+    met = stage(regions_of(trees, joined), "regions")
+    columns = [*GROUP, "main", "node", "component"]
+    kinds = "tree int, prefix binary, kind int, i int, j int, main boolean, node long, component long"
+
+    def keep(bucket: pd.DataFrame) -> pd.DataFrame:
+        hit = np.zeros(len(bucket), bool)
+        for rows, group in each_group(bucket):
+            for k, at in candidates(*group, percent):
+                hit[rows[k]] = True
+                hit[rows[at]] = True
+        return bucket.loc[hit, columns]
+
+    left = in_buckets(met, 20_000).join(short, "node").groupBy("bucket").applyInPandas(keep, kinds)
+    left = stage(left, "region-rows")
+    sets = stage(sets_of(docs, left, text, doc_id, n), "region-sets")
+
+    def link(bucket: pd.DataFrame) -> pd.DataFrame:
+        node = bucket["node"].to_numpy()
+        own = [np.frombuffer(x, np.uint64) for x in bucket["set"]]
+        a, b = [], []
+        for rows, group in each_group(bucket):
+            comp = group[0].copy()
+            for k, at in candidates(*group, percent):
+                for other in at:
+                    x, y = rows[k], rows[other]
+                    if comp[k] != comp[other] and similar(own[x], own[y], percent):
+                        a.append(min(node[x], node[y]))
+                        b.append(max(node[x], node[y]))
+                        comp[comp == comp[other]] = comp[k]
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    return met.groupBy("tree", "prefix", "i", "j").applyInPandas(compare, "a long, b long").where("a <> b").distinct()
+    return in_buckets(left, 4_000).join(short, "node").join(sets, "node").groupBy("bucket").applyInPandas(link, "a long, b long").where("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 5, percent: int = 80) -> DataFrame:
@@ -241,10 +312,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     near = sorted_neighbours(trees, "neighbours")
     first = stage(confirm(by_signature(near, reps, percent), docs, text, doc_id, n, percent, "first"), "first-links")
     joined = components(first, "first-components")
-    more = stage(confirm(region_pairs(trees, reps, joined, percent), docs, text, doc_id, n, percent, "more"), "more-links")
+    more = stage(region_links(trees, reps, joined, docs, text, doc_id, n, percent), "more-links")
     joined = components(first.unionByName(more), "near-components")
     named = reps.join(joined, "node", "left").select("d1", "d2", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component"))
-    # rows that repeat an id with other texts are one document; its smallest component holds for all its rows
     out = found.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")) \
