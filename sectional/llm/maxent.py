@@ -1,7 +1,7 @@
 """A hashed maximum-entropy language model: n-gram and skip features, class-factored softmax.
 
 log p(w | h) = log p(class(w) | h) + log p(w | class(w), h). Both factors are softmaxes over sums of weight rows; each
-feature of the history (the word before, the classes of the two and three before, the word before the last) is hashed
+feature of the history (the word before, the classes of the two and three before, skips over one and two words) is hashed
 to a row. Classes group frequent words (the head, ``HEAD`` at most) by the company they keep and then by frequency. Within
 a class of up to ``WIDE`` words the second factor has features too; within larger ones it is the words' frequency, the
 maximum-entropy model with a bias only, whose solution is known. All other words are one class; there, a word's
@@ -35,7 +35,7 @@ from .common import lower_table, mapped, split_words, stage, text_slices
 HEAD = 200_000
 HEAD_COUNT = 4  # rarer words stay outside of the head: how often they are new tells how likely unknown words are
 HEAD_BYTES = 64  # longer words stay outside of the head, so that its size is bounded
-CLASSES, WIDE = 48, 32
+CLASSES, WIDE = 64, 64
 ROWS = 1 << 14
 COMPANY = 48
 GROUPS = 8
@@ -205,11 +205,11 @@ class Model:
 
     def features(self, t: Tokens) -> np.ndarray:
         """Rows of the first table for each token: the word before, the classes of the two before, of the three before, and
-        the word before the last one (a skip)."""
+        the words two and three back (skips over one and two words)."""
         one, two, three = t.before(1), t.before(2), t.before(3)
         k = self.klass
         pair = k[one] * CLASSES + k[two]
-        raw = np.stack([one, pair + (1 << 30), pair * CLASSES + k[three] + (2 << 30), two + (3 << 30)], 1)
+        raw = np.stack([one, pair + (1 << 30), pair * CLASSES + k[three] + (2 << 30), two + (3 << 30), three + (4 << 30)], 1)
         return self._row(raw.astype(np.uint64))
 
     @staticmethod

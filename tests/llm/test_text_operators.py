@@ -49,6 +49,18 @@ def test_language_model_factors_are_distributions():
         assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_language_model_has_all_its_features():
+    import pyarrow as pa
+
+    head = pa.array([f"w{k}" for k in range(120)], pa.large_string())
+    model = maxent.Model(np.full(120, 50), 50, 300, np.zeros(120, int))
+    assert maxent.CLASSES == 64
+    a, b = (model.features(maxent.Tokens(pa.array([f"{w} w5 w7 w9"], pa.large_string()), head))[3] for w in ("w1", "w60"))
+    assert a.shape == (5,) and a[4] != b[4] and (a[[0, 1, 3]] == b[[0, 1, 3]]).all()  # the word three back counts as itself
+    wide = maxent.Model(np.concatenate([np.full(64, 1), np.full(2, 10 ** 6)]), 5, 5, np.repeat([0, 1], [64, 2]))
+    assert np.bincount(wide.klass[:64]).max() == 64 and wide.narrow[wide.klass[0]]  # a class of 64 words has features
+
+
 def test_learning_raises_the_likelihood():
     import pyarrow as pa
 
