@@ -10,8 +10,9 @@
    candidates. What is still too large at full depth is compared block by block, none left out.
 5. Candidates are confirmed on the full sets, and all links together give the components.
 
-Two texts of similarity 0.8 share MIN_DEPTH minima in some tree with a probability of over 0.9999; a pair is dropped by
-its signature if fewer than ``AGREE`` of its minima agree, which is over 4 standard deviations off.
+Two texts of similarity 0.8 share all DEPTH minima of some tree with a probability of over 0.9999, so a pair meets as
+surely in regions that are cut to the full depth; a pair is dropped by its signature if fewer than ``AGREE`` of its minima
+agree, which is over 7 standard deviations off.
 
 Defined results. Null or empty texts, or texts without words: an empty set, linked with nothing. Rows without an id are
 linked with nothing and kept (component null). Rows that repeat a doc_id stand for one document, each with the component of its
@@ -33,9 +34,9 @@ from pyspark.sql.window import Window
 from .common import lower_table, mapped, mix64, split_words, stage, text_slices, word_hashes
 from .components import components
 
-TREES, DEPTH, MIN_DEPTH = 16, 6, 3
+TREES, DEPTH, MIN_DEPTH = 32, 6, 3
 REGION = 256
-AGREE = 60
+AGREE = 114
 MINIMA = TREES * DEPTH
 _FACTORS = np.random.default_rng(9).integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PAIR, _ALONE = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)

@@ -163,6 +163,18 @@ def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(nothing(spark)).collect() == []
 
 
+def test_near_duplicates_in_dense_regions(spark, monkeypatch):
+    # all texts share 640 words, so regions are far above REGION; pairs are at exactly 0.8, other texts at 0.55
+    monkeypatch.setattr(neardup, "REGION", 16)
+    assert 1 - (1 - 0.8 ** neardup.DEPTH) ** neardup.TREES > 0.9999
+    all_share, table = [f"c{i}" for i in range(640)], []
+    for k in range(300):
+        pair = [f"p{k}x{i}" for i in range(160)]
+        table += [(2 * k + j, " ".join(all_share + pair + [f"o{k}x{j}x{i}" for i in range(100)])) for j in range(2)]
+    out = neardup.near_duplicates(spark.createDataFrame(table, "doc_id long, text string"), n=1).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in out) == Counter((i, i - i % 2) for i, _ in table)
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(k, k + 1) for k in range(100, 140)] + [(5, k) for k in range(6, 30)] + [(3, 29), (200, 201), (201, 200), (7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
