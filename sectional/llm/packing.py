@@ -9,12 +9,13 @@ result is a table of patterns with counts, whose size depends on the capacity an
 arithmetic; r comes from per-partition counts, so a length that a third of all pieces has is spread over all tasks.
 
 Defined results. Null text: empty, which is the closing id alone. Empty table: no pieces. Repeated rows and null ids: each
-row is a document. Special tokens' strings in a text are ordinary text. Extra columns that clash are not read.
+row is a document. The strings of ``added`` tokens in a text are those tokens. Extra columns that clash are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from array import array
 from collections import Counter
@@ -62,16 +63,24 @@ class Encoder:
     A single space between other characters always begins a piece of the pattern, and merges never cross pieces, so a
     text is cut at those spaces and each chunk's ids are made once. The rank file is the same vocabulary, and gives
     the same ids, as the tokenizers file (which a test compares on arbitrary text); it encodes short chunks faster.
+    That file's ``added`` tokens are cut out of the text before and get their own ids.
     """
 
-    def __init__(self, ranks_path: str):
+    def __init__(self, ranks_path: str, added: dict[str, int] | None = None):
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
         self.encode = tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.chunks = _Chunks(self.encode)
+        self.added = {t: array("I", [i]).tobytes() for t, i in (added or {}).items()}
+        self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def __call__(self, text: str) -> bytes:
+        if self.cuts is None or not self.cuts.search(text):
+            return self._plain(text)
+        return b"".join(self.added[part] if k % 2 else self._plain(part) for k, part in enumerate(self.cuts.split(text)))
+
+    def _plain(self, text: str) -> bytes:
         head, *rest = text.split(" ")
         try:
             if head and head[-1].isspace():
@@ -88,7 +97,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, ranks_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
-           capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+           capacity: int = CAPACITY, with_ids: bool = False, added: dict[str, int] | None = None) -> DataFrame:
     """The columns ``keep``, piece, start, length, ids_crc32 (and the ids), ``part`` and ``nth``: the how manieth piece
     of its length in its partition."""
     names = [*keep, "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), "part", "nth"]
@@ -99,7 +108,7 @@ def pieces(docs: DataFrame, ranks_path: str, text: str = "text", keep: tuple[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, seen, part = Encoder(ranks_path), Counter(), TaskContext.get().partitionId()
+        encode, seen, part = Encoder(ranks_path, added), Counter(), TaskContext.get().partitionId()
         for rows, texts in text_slices(batches, text, 1 << 20):
             src, cols = [], {n: [] for n in names[len(keep):]}
             for k, ids in enumerate(map(encode, texts.to_pylist())):

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from sectional.llm import cascade, html_text, licenses, maxent, packing
-from sectional.llm.queries import ranks_path
+from sectional.llm.queries import added_tokens, ranks_path
 
 from .corpus import documents, lower, nothing, rows, words
 
@@ -89,6 +89,18 @@ def test_encoder_equals_the_tokenizers_file():
         assert np.frombuffer(encode(text), "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_gives_added_tokens_their_ids(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["end <|endoftext|> begin", "<|endoftext|>", "a <|endoftext|><|endoftext|>  b", " <|endoftext|> \n", "<|endoftext| >", "plain text", "x<|endoftext|>y <|endoftext"]
+    out = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ranks_path(), added=added_tokens(), with_ids=True).collect()
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in out}
+    assert got == {k: [*reference.encode(t, add_special_tokens=False).ids, 0] for k, t in enumerate(texts)}
+    assert got[0][:-1] == [437, 220, 50256, 2221]
+
+
 def test_packing_round_trip(spark):
     out = packing.pack(documents(spark), ranks_path(), capacity=256, with_ids=True).collect()
     encode, end = packing.Encoder(ranks_path()), np.array([0], "<u4").tobytes()
