@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cascade, fixity, html_text, licenses, maxent, mixing, neardup, neighbours, packing, repeats
+from . import cascade, fixity, html_text, licenses, maxent, mixing, neardup, neighbours, packing, pieces, repeats
 from .common import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,3 +205,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_bwt_repeats")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(read(spark, sf_dir, "documents"))
+
+
+def piece_model() -> str:
+    """The public SentencePiece model."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op11_merge_rounds")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.transcode(read(spark, sf_dir, "documents").select("doc_id", "text"), piece_model())
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
