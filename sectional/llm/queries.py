@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cascade, fixity, html_text, licenses, maxent, mixing, neardup, neighbours, packing, pieces, repeats
+from . import cascade, fixity, html_text, licenses, maxent, mixing, neardup, neighbours, packing, phrases, pieces, repeats
 from .common import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,3 +219,34 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = pieces.transcode(read(spark, sf_dir, "documents").select("doc_id", "text"), piece_model())
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+_OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(x, '[.,;:!?\x0A-\x0D]')) AS x FROM d),
+w AS (SELECT lang, regexp_extract_all(x, '[^\x20\x09]+') AS w FROM p),
+o AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+f1 AS (SELECT lang, w[i] AS a, count(*) AS f FROM o GROUP BY 1, 2),
+f2 AS (SELECT lang, w[i] AS a, w[i + 1] AS b, count(*) AS f FROM o WHERE i + 1 <= len(w) GROUP BY 1, 2, 3),
+f3 AS (SELECT lang, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c, count(*) AS f FROM o WHERE i + 2 <= len(w) GROUP BY 1, 2, 3, 4 HAVING count(*) >= 10),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY 1),
+s2 AS (SELECT f2.lang, f2.a, f2.b, f2.f, x.f AS l, y.f AS r, (1000000::HUGEINT * f2.f * f2.f // (x.f::HUGEINT * y.f)) AS score
+       FROM f2 JOIN f1 x ON x.lang = f2.lang AND x.a = f2.a JOIN f1 y ON y.lang = f2.lang AND y.a = f2.b WHERE f2.f >= 10),
+s3 AS (SELECT f3.*, x.f AS l1, v.f AS r1, u.f AS l2, y.f AS r2, (1000000::HUGEINT * f3.f * f3.f // (x.f::HUGEINT * v.f)) AS k1,
+              (1000000::HUGEINT * f3.f * f3.f // (u.f::HUGEINT * y.f)) AS k2
+       FROM f3 JOIN f1 x ON x.lang = f3.lang AND x.a = f3.a JOIN f1 y ON y.lang = f3.lang AND y.a = f3.c
+       JOIN f2 u ON u.lang = f3.lang AND u.a = f3.a AND u.b = f3.b JOIN f2 v ON v.lang = f3.lang AND v.a = f3.b AND v.b = f3.c),
+g AS (SELECT lang, a, b, max(f) AS f FROM (SELECT lang, a, b, f FROM f3 UNION ALL SELECT lang, b, c, f FROM f3) GROUP BY 1, 2, 3),
+c AS (SELECT s2.lang, s2.a || ' ' || s2.b AS phrase, s2.f AS a, l, r, score FROM s2 LEFT JOIN g ON g.lang = s2.lang AND g.a = s2.a AND g.b = s2.b
+      WHERE g.f IS NULL OR 100 * g.f < 50 * s2.f
+      UNION ALL SELECT lang, a || ' ' || b || ' ' || c, f, CASE WHEN k1 <= k2 THEN l1 ELSE l2 END, CASE WHEN k1 <= k2 THEN r1 ELSE r2 END, least(k1, k2) FROM s3),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase COLLATE "C") AS rank FROM c)
+SELECT k.lang, k.rank::INTEGER AS rank, k.phrase, k.a::BIGINT AS a, k.l::BIGINT AS l, k.r::BIGINT AS r, n.n, k.score::BIGINT AS score
+FROM k JOIN n ON n.lang = k.lang WHERE rank <= 2000
+"""
+
+
+@query("op13_phrase_growth", _OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(read(spark, sf_dir, "documents"))
