@@ -1,99 +1,124 @@
-"""Incremental early stopping with Structured Streaming (U4).
+"""Early stopping over an unbounded metric log, on Spark's state store (U4).
 
-Each micro-batch goes on from the runs' progress with the batch operator (``operators.stopping.scan``), so one run may
-fill a batch. Rows wait until the watermark (the latest event time so far, less ``delay``) has passed them, and are then
-folded in event order; files may come in any order within the delay. A row that comes when its run has already gone past
-it can't be folded any more; it is counted in ``n_late`` of its run instead of being lost without a trace.
+A run's rows come in any order within ``delay``. Spark keeps the watermark, the state, its versions and the timers: a run's
+state is its progress over the steps that the watermark has passed (folded in event order, then forgotten) and the rows
+that are still waiting. Whenever rows of a run come, or a timer says that waiting ones are due, the run's line goes to a
+change log: what it would be if no other row came (``n_steps``, ``stop_step``, ``best_index``, ``best_metric``), and how many of its
+steps are settled. The log's last line of each run is the answer so far, and equals the batch operator's over all rows
+that came in time. A query that is started again on the same checkpoint goes on from its state.
 
-Progress and waiting rows are written per micro-batch, under the batch's number, in the shared folder. A batch that is
-repeated after a failure reads the version before it and writes the same result again.
+Rows behind the watermark are dropped by Spark and counted in the query's progress (``Drained.late``). Rows without a run
+or an event time are no steps. State holds what lies within ``delay`` per run, so that bounds a task's memory.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from sectional.operators.stopping import Rules, scan
-
-ORDER = ["ts", "event_id"]
-STATE = "run_id long, n_steps long, stop_step int, best_index int, best_metric double, last_ts timestamp, last_id long, n_late long"
-LAST = 1 << 40
-WAITING = "run_id long, ts timestamp, event_id long, value double"
-
-
-DONE = "top timestamp"  # the latest event time up to a version; written last, so a version without it isn't read
-
-
-class Folder:
-    """The versions of progress and waiting rows under one folder; version -1 is the start."""
-
-    schemas = {"progress": STATE, "waiting": WAITING, "done": DONE}
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        for name in ("progress", "waiting"):
-            spark.createDataFrame([], self.schemas[name]).write.mode("ignore").parquet(f"{path}/{name}/version=-1")
-        spark.createDataFrame([(None,)], DONE).coalesce(1).write.mode("ignore").parquet(f"{path}/done/version=-1")
-
-    def _versions(self, name: str) -> DataFrame:
-        return self.spark.read.schema(f"{self.schemas[name]}, version long").parquet(f"{self.path}/{name}")
-
-    def newest(self, below: int) -> tuple[int, dt.datetime | None]:
-        """The last finished version and its latest event time."""
-        return self._versions("done").where(F.col("version") < below).agg(F.max(F.struct("version", "top")).alias("m")).select("m.*").first()
-
-    def read(self, name: str, version: int) -> DataFrame:
-        return self._versions(name).where(F.col("version") == version).drop("version")
-
-    def write(self, version: int, top: dt.datetime | None, **tables: DataFrame) -> None:
-        for name, rows in tables.items():
-            rows.write.mode("overwrite").parquet(f"{self.path}/{name}/version={version}")
-        self.spark.createDataFrame([(top,)], DONE).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/done/version={version}")
-
-
-def fold(folder: Folder, batch: DataFrame, version: int, rules: Rules, delay: dt.timedelta, last: bool = False) -> None:
-    """One micro-batch; ``last`` folds all waiting rows too."""
-    before, top = folder.newest(version)
-    was, waiting = folder.read("progress", before), folder.read("waiting", before)
-    top = max((t for t in (top, batch.agg(F.max("ts")).first()[0]) if t is not None), default=None)
-    seen = was.select("run_id", F.struct(F.col("last_ts").alias("ts"), F.col("last_id").alias("event_id")).alias("_seen"))
-    rows = batch.unionByName(waiting).join(seen, "run_id", "left")
-    late = F.coalesce(F.struct("ts", "event_id") <= F.col("_seen"), F.lit(False))
-    ready = F.lit(True) if last or top is None else F.col("ts") <= F.lit(top - delay)
-    now = rows.where(~late & ready).drop("_seen")
-    result = scan(now, "run_id", ORDER, "value", rules, was)
-    ends = now.groupBy("run_id").agg(F.max(F.struct("ts", "event_id")).alias("_end"))
-    lates = rows.where(late).groupBy("run_id").agg(F.count("*").alias("_late"))
-    old = was.select("run_id", *[F.col(c).alias(f"_{c}") for c in was.columns if c != "run_id"])
-    merged = old.join(result, "run_id", "full_outer").join(ends, "run_id", "left").join(lates, "run_id", "left")
-    fresh = F.col("n_steps").isNotNull()
-    pick = lambda c, new: F.when(fresh, new).otherwise(F.col(f"_{c}")).alias(c)
-    progress = merged.select("run_id", *[pick(c, F.col(c)) for c in ("n_steps", "stop_step", "best_index", "best_metric")],
-                             pick("last_ts", F.col("_end.ts")), pick("last_id", F.col("_end.event_id")),
-                             (F.coalesce("_n_late", F.lit(0)) + F.coalesce("_late", F.lit(0))).cast("long").alias("n_late"))
-    folder.write(version, top, progress=progress, waiting=rows.where(~late & ~ready).drop("_seen"))
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from sectional.operators.stopping import Progress, Rules, advance_all
+
+CHANGES = "run_id long, change long, n_steps long, n_settled long, stop_step int, best_index int, best_metric double"
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Drained(NamedTuple):
+    runs: DataFrame
+    late: int
+
+
+class Watch(StatefulProcessor):
+    """One run: settled progress, and waiting rows (event time in microseconds, event id, metric)."""
+
+    def __init__(self, rules: Rules):
+        self.rules = rules
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.settled = handle.getValueState("settled", "step long, best double, best_step long, stop_step long, change long")
+        self.waiting = handle.getListState("waiting", "at long, event_id long, value double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat([pdf[["at", "event_id", "value"]] for pdf in rows])
+        yield self._fold(key, new, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._fold(key, None, timerValues.getCurrentWatermarkInMs())
+
+    def _fold(self, key, new: pd.DataFrame | None, watermark: int) -> pd.DataFrame:
+        *was, change = self.settled.get() if self.settled.exists() else (*Progress(), 0)
+        progress = Progress(*was)
+        held = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=["at", "event_id", "value"])
+        rows = held if new is None else new if not len(held) else pd.concat([held, new])
+        rows = rows.astype({"value": "float64"}).sort_values(["at", "event_id"], kind="stable")
+        due = rows["at"].to_numpy(np.int64) <= watermark * 1000
+        value = rows["value"].to_numpy()
+        progress = advance_all(progress, value[due], self.rules)
+        self.settled.update((*progress, change + 1))
+        rest = rows[~due]
+        if len(rest):
+            self.waiting.put([(int(a), None if pd.isna(i) else int(i), None if pd.isna(v) else float(v)) for a, i, v in rest.itertuples(index=False)])
+            self.handle.registerTimer(-(-int(rest["at"].iloc[0]) // 1000) - 1)  # comes once the watermark is above it
+        elif len(held):
+            self.waiting.clear()
+        now = advance_all(progress, value[~due], self.rules)
+        line = (key[0], change + 1, now.step, progress.step, now.stop_step, now.best_step, now.best)
+        out = pd.DataFrame([line], columns=[c.split()[0] for c in CHANGES.split(", ")])
+        return out.astype({"stop_step": "Int32", "best_index": "int32", "best_metric": "float64"})
+
+
+@contextmanager
+def _settings(spark: SparkSession, **values: str):
+    """Session settings that a query takes when it starts; the earlier ones come back."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def changes(stream: DataFrame, run: str = "user_id", time: str = "ts", event: str = "event_id", metric: str = "value",
+            delay: dt.timedelta = dt.timedelta(0), rules: Rules = Rules()) -> DataFrame:
+    """The change log (streaming) of a streaming metric log."""
+    rows = stream.select(F.col(run).cast("long").alias("run_id"), F.col(time).cast("timestamp").alias("ts"), F.unix_micros(F.col(time).cast("timestamp")).alias("at"),
+                         F.col(event).cast("long").alias("event_id"), F.col(metric).cast("double").alias("value"))
+    timed = rows.where(F.col("run_id").isNotNull() & F.col("ts").isNotNull()).withWatermark("ts", f"{delay // dt.timedelta(milliseconds=1)} milliseconds")
+    return timed.groupBy("run_id").transformWithStateInPandas(Watch(rules), outputStructType=CHANGES, outputMode="Append", timeMode="EventTime")
+
+
+def latest(log: DataFrame) -> DataFrame:
+    """Each run's last line of a change log."""
+    last = log.groupBy("run_id").agg(F.max_by(F.struct(*[c for c in log.columns if c != "run_id"]), "change").alias("r"))
+    return last.select("run_id", "r.n_steps", "r.stop_step", "r.best_index", "r.best_metric")
 
 
 def run_available(spark: SparkSession, source: str, schema, out_dir: str, ckpt_dir: str, run: str = "user_id",
-                  max_files: int | None = None, delay: dt.timedelta = dt.timedelta(0), **knobs) -> DataFrame:
-    """Drain a Parquet folder as a stream; the progress of every run, with ``n_late``.
+                  max_files: int | None = None, delay: dt.timedelta = dt.timedelta(0), **knobs) -> Drained:
+    """Drain what a Parquet folder holds (and an earlier call on the same checkpoint hasn't read) as a stream.
 
-    Without ``max_files`` what is there is one micro-batch, so the order of its files doesn't matter.
+    The change log is appended to ``out_dir``. Returns every run's answer so far and the rows this call dropped as late.
+    ``max_files`` cuts the folder into micro-batches.
     """
-    folder, rules = Folder(spark, out_dir), Rules(**knobs)
     reader = spark.readStream.schema(schema)
     if any(c in source for c in "*?["):
         reader = reader.option("basePath", os.path.dirname(source))
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    stream = reader.parquet(source).select(F.col(run).cast("long").alias("run_id"), F.col("ts").cast("timestamp").alias("ts"),
-                                           F.col("event_id").cast("long").alias("event_id"), F.col("value").cast("double").alias("value"))
-    query = stream.writeStream.foreachBatch(lambda batch, k: fold(folder, batch, k, rules, delay)) \
-        .option("checkpointLocation", ckpt_dir).trigger(availableNow=True).start()
-    query.awaitTermination()
-    fold(folder, spark.createDataFrame([], WAITING), LAST, rules, delay, last=True)
-    return folder.read("progress", LAST).select("run_id", "n_steps", "stop_step", "best_index", "best_metric", "n_late")
+    with _settings(spark, **{"spark.sql.streaming.stateStore.providerClass": PROVIDER}):
+        query = changes(reader.parquet(source), run, delay=delay, rules=Rules(**knobs)).writeStream.format("parquet").outputMode("append") \
+            .option("path", out_dir).option("checkpointLocation", ckpt_dir).trigger(availableNow=True).start()
+        query.awaitTermination()
+    late = sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
+    return Drained(latest(spark.read.schema(CHANGES).parquet(out_dir)), late)
