@@ -13,10 +13,12 @@ from __future__ import annotations
 # Fixed lengths per field, <SOS> included.
 SEQ_LENS = {"title": 16, "autho": 7, "abstr": 160, "intro": 512, "relat": 300, "metho": 800, "concl": 240}
 
-
-
 VOCAB_SIZE = 40000
 AUTHOR_VOCAB_SIZE = 1600
+# Units of each field's recurrent encoder, width of the author embedding, units of the heads' first layer.
+HIDDEN_SIZES = {"abstr": 64, "title": 32, "intro": 64, "relat": 64, "metho": 64, "concl": 64, "autho": 32}
+AUTHOR_WIDTH = 64
+HEAD_SIZE = 128
 SPLIT_RATIOS = (0.6, 0.2, 0.2)
 BATCH_SIZE = 48
 EPOCHS = 20

@@ -246,8 +246,8 @@ def pool_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PL.explode_vector(PL.pool_rows(ids, ["doc_id"], "ids", vectors, EMB_DIM, PL.last_row), ["doc_id"])
 
 
-# pool_attention: W6 with a score per vocabulary entry, its dot product with the <SOS> vector -------------
-@register("pool_attention", sql=_VEC_SQL + f""",
+# pool_token_attention: attention with a score per vocabulary entry, its dot product with the <SOS> vector -------------
+@register("pool_token_attention", sql=_VEC_SQL + f""",
 qv AS (SELECT vec AS q FROM vecs WHERE idx = {SOS_INDEX}),
 sc AS (SELECT doc_id, pos, vec, list_dot_product(vec, q) AS s FROM tvv, qv),
 mx AS (SELECT doc_id, max(s) AS m FROM sc GROUP BY doc_id),
@@ -257,7 +257,7 @@ p AS (SELECT doc_id, d, sum(w * x) / sum(w) AS x FROM flat GROUP BY doc_id, d),
 {_GRID_SQL}
 SELECT doc_id, d, round(coalesce(x, 0.0), 6) + 0.0 AS value FROM grid LEFT JOIN p USING (doc_id, d)
 """)
-def pool_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pool_token_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids, vectors = doc_index(spark, sf_dir)
     pool = PL.attention_rows(vectors @ vectors[SOS_INDEX])
     return PL.explode_vector(PL.pool_rows(ids, ["doc_id"], "ids", vectors, EMB_DIM, pool), ["doc_id"])
