@@ -32,8 +32,8 @@ from pyspark.sql.window import Window
 
 from .common import mix64, stage, text_slices, word_hashes
 
-#: Text bytes of a language that a task counts before it passes the counts on.
-SLICE = 24 << 20
+#: Text bytes of a language that a task counts before it passes the counts on, and those it holds as words at one time.
+SLICE, CHUNK = 12 << 20, 1 << 20
 #: Hashes of expanded prefixes that one pass ships (16 bytes each).
 SHIP = 2_000_000
 #: Pairs that the first level of a language reaches, as a multiple of the phrases wanted.
@@ -44,17 +44,32 @@ SCALE = 1_000_000
 _BYTES = bytes(ord("\n") if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def _tokens(text: bytes) -> tuple[pa.Array, np.ndarray]:
-    """The distinct words and the text as their numbers, -1 between pieces."""
+def _tokens(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words and the texts as their numbers, -1 between pieces."""
     numbers: dict[bytes, int] = defaultdict(lambda: len(numbers))
     empty, piece = numbers[b""], numbers[b"\n"]
-    seq = np.fromiter(map(numbers.__getitem__, text.translate(_BYTES).replace(b"\n", b" \n ").split(b" ")), np.int64)
-    seq = seq[seq != empty]
+    parts, at = [], 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (size == 0 or size + len(texts[end]) <= CHUNK):
+            size += len(texts[end]) + 1
+            end += 1
+        words = b"\n".join([*texts[at:end], b""]).translate(_BYTES).replace(b"\n", b" \n ").split(b" ")
+        seq = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
+        parts.append(seq[seq != empty])
+        at = end
+    seq = np.concatenate(parts)
     return pa.array(list(numbers)[2:], pa.binary()).cast(pa.string()), np.where(seq == piece, -1, seq - 2)
 
 
-def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
-    """Texts of a language joined (a line feed apart), about ``SLICE`` bytes or one longer text at a time."""
+def _pairs(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where pairs of words start, and each as one number."""
+    at = np.flatnonzero((seq[:-1] >= 0) & (seq[1:] >= 0))
+    return at, seq[at].astype(np.int64) << 32 | seq[at + 1]
+
+
+def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
+    """Texts of a language, about ``SLICE`` bytes or one longer text at a time."""
     held: dict[str, list[bytes]] = defaultdict(list)
     size: dict[str, int] = defaultdict(int)
     for rows, texts in text_slices(batches):
@@ -63,10 +78,10 @@ def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes
             size[lang] += len(text) + 1
         while sum(size.values()) > SLICE:
             lang = max(size, key=size.get)
-            yield lang, b"\n".join(held.pop(lang))
+            yield lang, held.pop(lang)
             del size[lang]
     for lang, parts in held.items():
-        yield lang, b"\n".join(parts)
+        yield lang, parts
 
 
 def _rows(lang: str, words: pa.Array, parts: list[np.ndarray | None], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -80,12 +95,11 @@ def _rows(lang: str, words: pa.Array, parts: list[np.ndarray | None], counts: np
 
 def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words (``w2`` null) and pairs."""
-    for lang, text in _by_language(batches):
-        words, seq = _tokens(text)
+    for lang, texts in _by_language(batches):
+        words, seq = _tokens(texts)
         single = np.bincount(seq[seq >= 0], minlength=len(words))
         yield from _rows(lang, words, [np.arange(len(words)), None], single)
-        a, b = seq[:-1], seq[1:]
-        pair, counts = np.unique((a << 32 | b)[(a >= 0) & (b >= 0)], return_counts=True)
+        pair, counts = np.unique(_pairs(seq)[1], return_counts=True)
         yield from _rows(lang, words, [pair >> 32, pair & 0xFFFFFFFF], counts)
 
 
@@ -103,11 +117,10 @@ def _long(shipped) -> callable:
     """Counts of three-word phrases whose first pair is expanded, or whose last pair is expanded to the left."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, left = shipped.value
-        for lang, text in _by_language(batches):
-            words, seq = _tokens(text)
-            a, b = seq[:-1], seq[1:]
-            at = np.flatnonzero((a >= 0) & (b >= 0))
-            pair, which = np.unique((a << 32 | b)[at], return_inverse=True)
+        for lang, texts in _by_language(batches):
+            words, seq = _tokens(texts)
+            at, pair = _pairs(seq)
+            pair, which = np.unique(pair, return_inverse=True)
             hashed = word_hashes(words)
             own = _pair_hash(word_hashes(pa.array([lang])), hashed[pair >> 32], hashed[pair & 0xFFFFFFFF])
             place = np.minimum(np.searchsorted(known, own), len(known) - 1)
