@@ -4,15 +4,15 @@ Scale notes
 - Counting is ``explode`` + ``groupBy(token).count()``: Spark's partial
   (map-side) hash aggregate collapses hot tokens before the shuffle, so a
   Zipf-heavy token costs one row per map task, not one per occurrence.
-- The top-k is ``orderBy(cnt desc, token).limit(k)`` (TakeOrderedAndProject);
-  only the <= k survivors are ranked, so the single-partition window is bounded
-  by the cap, not by the corpus.
-- The vocabulary is broadcast for the token -> index join: its size is bounded
-  by ``max_size + len(specials)`` by construction.
+- The top-k drops tokens below the cut-off count and ranks the survivors
+  partition by partition (``top_tokens``).
+- The vocabulary goes to every task: it has at most ``max_size +
+  len(specials)`` keys of at most ``KEY_BYTES`` bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 from sectional.config import SPECIALS, UNK, VOCAB_SIZE
 from sectional.session import cut_lineage
 
-# Longer tokens are looked up as unknown, which bounds the vocabulary's bytes.
-TOKEN_BYTES = 256
+# Longer tokens are looked up by their SHA-256, which bounds the vocabulary's bytes without leaving any token out.
+KEY_BYTES = 256
 
 
 def token_counts(df: DataFrame, token_cols: Sequence[str]) -> DataFrame:
@@ -103,29 +103,44 @@ def vocab_from_counts(counts: DataFrame, max_size: int | None = VOCAB_SIZE,
     return specials_frame(counts.sparkSession, specials).unionByName(ranked)
 
 
+def vocabulary_keys(vocab: DataFrame) -> pa.Table:
+    """(key, idx) of a vocabulary, ordered by idx; bounded by its cap."""
+    key = F.when(F.octet_length("token") > KEY_BYTES, F.concat(F.lit("\0"), F.sha2("token", 256))).otherwise(F.col("token"))
+    return vocab.select(key.alias("key"), "idx").orderBy("idx").toArrow()
+
+
+def look_up(lists: pa.Array, keys: pa.Array, index: pa.Array, unk_index: int = 0) -> pa.Array:
+    """Index arrays of token arrays; null tokens are unknown, null arrays empty."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    flat = lists.flatten().cast(pa.string())
+    long = np.flatnonzero(pc.fill_null(pc.greater(pc.binary_length(flat), KEY_BYTES), False).to_numpy(zero_copy_only=False))
+    if len(long):
+        mask = np.zeros(len(flat), bool)
+        mask[long] = True
+        digests = ["\0" + hashlib.sha256(t.encode()).hexdigest() for t in flat.take(pa.array(long)).to_pylist()]
+        flat = pc.replace_with_mask(flat, pa.array(mask), pa.array(digests, pa.string()))
+    at = pc.fill_null(pc.index_in(flat, value_set=keys), len(keys))
+    known = pa.concat_arrays([index.cast(pa.int32()), pa.array([unk_index], pa.int32())])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), known.take(at))
+
+
 def numericalise(df: DataFrame, keys: Sequence[str], tokens_col: str, vocab: DataFrame, out_col: str = "ids", unk_index: int = 0) -> DataFrame:
     """Token array -> index array, unknown tokens -> ``unk_index``; null or empty arrays give empty ones.
 
-    The vocabulary is bounded by its cap (and its tokens by ``TOKEN_BYTES``), so it goes to every task as one Arrow array;
+    The vocabulary is bounded by its cap (and its keys by ``KEY_BYTES``), so it goes to every task as one Arrow array;
     each batch is looked up as a whole and rows stay rows: no explode, no shuffle, no regrouping.
     """
-    rows = vocab.where(F.octet_length("token") <= TOKEN_BYTES).orderBy("idx").select("token", "idx").collect()
-    spark = df.sparkSession
-    words = spark.sparkContext.broadcast(([r["token"] for r in rows], [r["idx"] for r in rows]))
+    table = vocabulary_keys(vocab)
+    words = df.sparkSession.sparkContext.broadcast(table.combine_chunks())
     schema = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + [f"`{out_col}` array<int>"])
 
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, index = words.value
-        known, index = pa.array(tokens, pa.string()), pa.array([*index, unk_index], pa.int32())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, index = (pa.concat_arrays(words.value.column(c).chunks or [pa.array([], t)]) for c, t in (("key", pa.string()), ("idx", pa.int32())))
         for batch in batches:
-            lists = batch.column(tokens_col)
-            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            flat = lists.flatten()
-            at = pc.fill_null(pc.index_in(flat.cast(pa.string()), value_set=known), len(tokens))
-            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.ListArray.from_arrays(offsets, index.take(at))], names=[*keys, out_col])
-
-    return df.select(*keys, tokens_col).mapInArrow(look_up, schema)
+            found = look_up(batch.column(tokens_col), known, index, unk_index)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], found], names=[*keys, out_col])
+
+    return df.select(*keys, tokens_col).mapInArrow(run, schema)
 
 
 def vector_coverage(vocab: DataFrame, vectors: DataFrame, dim: int, key: str = "idx",

@@ -35,5 +35,5 @@ def load_all() -> None:
     """Import the modules that register queries."""
     import importlib
 
-    for mod in ("queries_text", "queries_vectors", "queries_model", "queries_recurrent"):
+    for mod in ("queries_text", "queries_vectors", "queries_model", "queries_recurrent", "queries_training"):
         importlib.import_module(f"sectional.plans.{mod}")

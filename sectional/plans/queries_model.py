@@ -135,61 +135,21 @@ def early_stop_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------------
-# Model jobs: rate_documents (flagship, M1-M4 M6 M7 S8) and gru_scores (M8).
+# Fused features and heads (M1, M3).
 # ----------------------------------------------------------------------------------
 import math  # noqa: E402
 
 import numpy as np  # noqa: E402
-import pandas as pd  # noqa: E402
 
 from sectional.config import VOCAB_SIZE  # noqa: E402
 from sectional.functions import sections as S  # noqa: E402
 from sectional.functions import text as X  # noqa: E402
-from sectional.operators import pooling as PL  # noqa: E402
+from sectional.operators import heads as H  # noqa: E402
 from sectional.operators import vocab as V  # noqa: E402
 from sectional.plans import model as MD  # noqa: E402
 from sectional.plans import queries_vectors as QV  # noqa: E402
-from sectional.plans.queries_vectors import CONV_BIAS, EMB_DIM, conv_weights, doc_index, frozen_vectors  # noqa: E402
-from sectional.sources.tables import latex_documents, latex_text, spread  # noqa: E402
-
-FLAGSHIP_VARIANT = "SharedAGRU"
-
-
-def labelled_sections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(meta: doc_id, split, label, authors) and (tokens: doc_id, section, tokens) for labelled documents."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    # Join the labels first so the per-row text work runs on labelled documents only.
-    raw = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").join(labels, "doc_id")
-    base = spread(raw, "doc_id").select("doc_id", latex_text(F.col("text")).alias("text"), "lang", "source", "label") \
-        .withColumn("split", Q.split_label("doc_id"))
-    meta = base.select("doc_id", "split", "label", X.lower_tokens(
-        X.split_authors(F.concat(F.col("lang"), F.lit(","), F.col("source")))).alias("authors"))
-    wide = S.extract_sections(base, keep=("doc_id", "split"))
-    cleaned = S.clean_sections(wide, keep=("doc_id", "split"), sep=" ")
-    entries = [F.struct(F.lit(s).alias("section"), X.lower_tokens(X.tokenize(F.col(s))).alias("tokens")) for s in S.SECTIONS]
-    toks = cleaned.select("doc_id", "split", F.explode(F.array(*entries)).alias("e")).select("doc_id", "split", "e.section", "e.tokens")
-    return meta, toks
-
-
-def rate(spark: SparkSession, sf_dir: str, variant: str = FLAGSHIP_VARIANT, epochs: int = 20) -> DataFrame:
-    v = MD.VARIANTS[variant]
-    meta, toks = labelled_sections(spark, sf_dir)
-    # Materialise once: the cleaned section tokens feed both the vocabulary and the features.
-    toks = cut_lineage(toks)
-    vocab = cut_lineage(V.build_vocab(toks.filter(F.col("split") == "train"), ["tokens"], VOCAB_SIZE))
-    vectors = frozen_vectors(spark, sf_dir, vocab)
-    pooled = MD.section_features(toks, vocab, vectors, v.pooling, conv_filters=conv_weights(), conv_bias=CONV_BIAS)
-    width = len(CONV_BIAS) if v.pooling == "conv" else EMB_DIM
-    fused = MD.fuse_sections(pooled, S.SECTIONS, width)
-    zeros = F.array_repeat(F.lit(0.0), width * len(S.SECTIONS))
-    data = cut_lineage(meta.join(fused, "doc_id", "left").withColumn("fused", F.coalesce("fused", zeros)))
-    out, _ = MD.train_and_evaluate(data, v, width * len(S.SECTIONS), MD.model_dir_for(spark, "rate"), epochs=epochs)
-    return out
-
-
-@register("rate_documents")
-def rate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rate(spark, sf_dir)
+from sectional.plans.queries_vectors import EMB_DIM, frozen_vectors  # noqa: E402
+from sectional.sources.tables import latex_documents  # noqa: E402
 
 
 # fused_features: M1 over the mean-pooled sections; head_scores: M3 with weights from a rule ---------------------
@@ -214,7 +174,7 @@ fused AS (
 def fused_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = cut_lineage(QV.section_sequences(spark, sf_dir).select("doc_id", "split", "section", "tokens"), "section-tokens")
     vocab = cut_lineage(V.build_vocab(tokens.filter(F.col("split") == "train"), ["tokens"], VOCAB_SIZE), "section-vocab")
-    pooled = MD.section_features(tokens, vocab, frozen_vectors(spark, sf_dir, vocab), "mean")
+    pooled = MD.section_features(tokens, vocab, frozen_vectors(spark, sf_dir, vocab))
     return MD.fuse_sections(pooled, S.SECTIONS, EMB_DIM)
 
 
@@ -242,8 +202,8 @@ z AS (SELECT doc_id, c, sum(greatest(0.0, h) * 0.5 * sin(2.0 + j * 2 + c)) + 0.0
 SELECT doc_id, CAST(c AS INTEGER) AS class, round(r, 5) + 0.0 AS relu, round(l, 5) + 0.0 AS linear FROM z
 """)
 def head_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hidden, out = head_weights(EMB_DIM * len(S.SECTIONS), HEAD_UNITS, 0.3, 1.0), head_weights(HEAD_UNITS, 2, 0.5, 2.0)
-    both = F.arrays_zip(MD.head_logits(F.col("fused"), hidden, out).alias("relu"), MD.head_logits(F.col("fused"), hidden, out, "linear").alias("linear"))
+    head = H.Head(*[np.array(w) for w in (*head_weights(EMB_DIM * len(S.SECTIONS), HEAD_UNITS, 0.3, 1.0), *head_weights(HEAD_UNITS, 2, 0.5, 2.0))])
+    both = F.arrays_zip(H.head_logits(spark, "fused", head).alias("relu"), H.head_logits(spark, "fused", head, "linear").alias("linear"))
     rows = fused_documents(spark, sf_dir).select("doc_id", F.posexplode(both).alias("class", "z"))
     return rows.select("doc_id", "class", (F.round("z.relu", 5) + F.lit(0.0)).alias("relu"), (F.round("z.linear", 5) + F.lit(0.0)).alias("linear"))
 
