@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 from .common import mix64, stage, text_slices, word_hashes
 
 #: Text bytes of a language that a task counts before it passes the counts on, and those it holds as words at one time.
-SLICE, CHUNK = 12 << 20, 1 << 20
+SLICE, CHUNK = 8 << 20, 1 << 20
 #: Hashes of expanded prefixes that one pass ships (16 bytes each).
 SHIP = 2_000_000
 #: Pairs that the first level of a language reaches, as a multiple of the phrases wanted.
@@ -85,8 +85,8 @@ def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[
 
 
 def _rows(lang: str, words: pa.Array, parts: list[np.ndarray | None], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(counts), 200_000):
-        n = len(counts[at:at + 200_000])
+    for at in range(0, len(counts), 50_000):
+        n = len(counts[at:at + 50_000])
         columns = [pa.array([lang]).take(pa.array(np.zeros(n, np.int32)))]
         columns += [pa.nulls(n, pa.string()) if p is None else words.take(pa.array(p[at:at + n])) for p in parts]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(counts[at:at + n], pa.int64())],
