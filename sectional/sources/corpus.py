@@ -7,9 +7,9 @@ S4  size tier: first n rows in key order; negative n = all but the last |n|.
 S5  prepared-corpus write, S6 prepared-corpus read (Parquet).
 S7  pretrained vectors: text lines ``token v1 v2 ...``.
 
-Scale note: a keyed-JSON file is one record for Spark (``wholetext``), so
-one file is one task. Land it once as Parquet (S5) and read that afterwards
-(S6): Parquet splits, prunes columns and pushes filters down.
+Scale note: a keyed-JSON file is cut by records, so one large file spreads over
+tasks. Land it once as Parquet (S5) and read that afterwards (S6): Parquet
+prunes columns and pushes filters down.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from sectional.config import CORPUS_RENAMES
 from sectional.operators.joins import bounded_broadcast
+from sectional.sources import keyed_json
 
 RECORD_SCHEMA = T.StructType([
     T.StructField("abstract", T.StringType()),
@@ -31,34 +32,24 @@ RECORD_SCHEMA = T.StructType([
     T.StructField("venue", T.StringType()),
     T.StructField("tex_data", T.ArrayType(T.StringType())),
 ])
-CORPUS_SCHEMA = T.MapType(T.StringType(), RECORD_SCHEMA)
 
 
 def read_corpus(spark: SparkSession, paths: str | Sequence[str], record_schema: T.StructType = RECORD_SCHEMA,
                 key_col: str = "paper_id") -> DataFrame:
     """S1 + S3: keyed-JSON files -> one row per record, the key kept as ``key_col``.
 
-    ``wholetext`` reads each file as one value; ``from_json`` parses it against an explicit map schema (no inference, no
-    per-paper columns); ``explode`` turns map entries into rows. A file that doesn't parse fails the job, as losing its
-    records silently would be worse; ``corpus_rejects`` lists such files.
+    Files are cut by records (``sources.keyed_json``) and each record is parsed against an explicit schema. What isn't a
+    record fails the job, as losing it silently would be worse; ``corpus_rejects`` lists it.
     """
-    files = _corpus_files(spark, paths, record_schema)
-    broken = F.raise_error(F.concat(F.lit("not a keyed-JSON file: "), F.col("_file")))
-    checked = files.select(F.when(F.col("_map").isNull(), broken.cast(T.MapType(T.StringType(), record_schema))).otherwise(F.col("_map")).alias("_map"))
-    return checked.select(F.explode("_map").alias(key_col, "_r")).select(key_col, "_r.*")
-
-
-def _corpus_files(spark: SparkSession, paths: str | Sequence[str], record_schema: T.StructType) -> DataFrame:
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    raw = spark.read.option("wholetext", True).text(paths).select("value", F.input_file_name().alias("_file"))
-    parsed = F.from_json("value", T.MapType(T.StringType(), record_schema))
-    # the reader is lenient: a cut file may give the records before the cut, so the text must be whole JSON as well
-    return raw.select("_file", F.when(F.try_parse_json("value").isNotNull(), parsed).alias("_map"))
+    found = keyed_json.records(spark, paths, record_schema, key_col)
+    broken = F.raise_error(F.concat(F.lit("not a keyed-JSON file: "), F.col("_file"), F.lit(": "), F.col("_reason"))).cast("boolean")
+    return found.where(F.when(F.col("_reason").isNotNull(), broken).otherwise(F.lit(True))).drop("_file", "_reason")
 
 
 def corpus_rejects(spark: SparkSession, paths: str | Sequence[str], record_schema: T.StructType = RECORD_SCHEMA) -> DataFrame:
-    """The files (``file``) that ``read_corpus`` would fail on."""
-    return _corpus_files(spark, paths, record_schema).where(F.col("_map").isNull()).select(F.col("_file").alias("file"))
+    """``file, key, reason`` of what ``read_corpus`` would fail on."""
+    found = keyed_json.records(spark, paths, record_schema, "key").where(F.col("_reason").isNotNull())
+    return found.select(F.col("_file").alias("file"), "key", F.col("_reason").alias("reason"))
 
 
 def union_parts(parts: Sequence[DataFrame]) -> DataFrame:
