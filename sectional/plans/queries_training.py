@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sectional.functions import sections as S
+from sectional.functions import text as X
 from sectional.operators import heads as H
 from sectional.operators import sequences as Q
 from sectional.operators import training as T
 from sectional.plans import model as MD
 from sectional.plans import queries_model as QM
+from sectional.plans import queries_vectors as QV
 from sectional.plans import sqlgen as g
 from sectional.plans.catalog import register
 from sectional.plans.queries_recurrent import rule_head
@@ -80,10 +82,31 @@ def head_train(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # rate_documents, rate_saved --------------------------------------------------------------------
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a paper: doc_id, text (LaTeX view), authors, split, and label (null without one)."""
+    """Every document as a paper: doc_id, text (LaTeX view), its first line as abstract, language as title, language and
+    source as authors, split, and label (null without one)."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     docs = latex_documents(spark, sf_dir).join(labels, "doc_id", "left")
-    return docs.select("doc_id", "text", F.concat(F.col("lang"), F.lit(","), F.col("source")).alias("authors"), Q.split_label("doc_id").alias("split"), "label")
+    return docs.select("doc_id", "text", F.element_at(F.split("text", "\n"), 2).alias("abstr"), F.col("lang").alias("title"),
+                       F.concat(F.col("lang"), F.lit(","), F.col("source")).alias("autho"), Q.split_label("doc_id").alias("split"), "label", F.col("source").alias("venue"))
+
+
+# prepared_tokens: S5 P5 T1-T12 over the whole corpus, landed and read back --------------------------
+@register("prepared_tokens", sql=QV._seq_sql() + f""",
+plain AS (SELECT doc_id, string_split(text, chr(10))[2] AS abstr, lang AS title, lang || ',' || source AS autho, source AS venue FROM latex),
+f AS (
+  SELECT doc_id, section AS field, toks FROM long
+  UNION ALL SELECT doc_id, 'abstr', {g.lower_tokens("abstr")} FROM plain
+  UNION ALL SELECT doc_id, 'title', {g.lower_tokens("title")} FROM plain
+  UNION ALL SELECT doc_id, 'autho', list_transform(string_split(autho, ','), lambda a: lower(a)) FROM plain
+)
+SELECT f.doc_id, field, CASE WHEN venue IN ('CoRR', 'No') THEN 0 ELSE 1 END AS label, CAST(len(toks) AS INTEGER) AS n_tokens, array_to_string(toks, ' ') AS tokens
+FROM f JOIN plain ON plain.doc_id = f.doc_id
+""")
+def prepared_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = papers(spark, sf_dir).drop("label").withColumn("label", X.venue_label("venue"))
+    tier = MD.prepare(rows, MD.model_dir_for(spark, "prepared"), ("doc_id", "label"))
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"tokens_{f}").alias("t")) for f in MD.FIELDS])
+    return tier.select("doc_id", "label", F.explode(fields).alias("f")).select("doc_id", "f.field", "label", F.size("f.t").alias("n_tokens"), F.array_join("f.t", " ").alias("tokens"))
 
 
 def rate(spark: SparkSession, sf_dir: str, variant: str = FLAGSHIP_VARIANT, epochs: int = 20, folder: str | None = None) -> tuple[DataFrame, T.Run, PipelineModel, str]:
