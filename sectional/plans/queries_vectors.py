@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sectional.config import AUTHOR_VOCAB_SIZE, BATCH_SIZE, SEQ_LENS, VOCAB_SIZE
 from sectional.functions import sections as S
 from sectional.functions import text as X
 from sectional.operators import sequences as Q
+from sectional.operators import sketches as SK
 from sectional.operators import vocab as V
 from sectional.plans import sqlgen as g
 from sectional.plans.catalog import register
@@ -218,6 +219,58 @@ def embed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PL.explode_vector(PL.pool_rows(ids, ["doc_id"], "ids", vectors, EMB_DIM, PL.mean_rows), ["doc_id"])
 
 
+# embed_join: J1 J2 J3 with a vocabulary without a cap, mean pooling by a shuffle join -----------------------
+@register("embed_join", sql=_VEC_SQL.replace(f"LIMIT {VOCAB_SIZE}", "") + f""",
+flat AS (SELECT doc_id, CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS d, unnest(vec) AS x FROM tvv),
+p AS (SELECT doc_id, d, avg(x) AS x FROM flat GROUP BY doc_id, d),
+{_GRID_SQL}
+SELECT doc_id, d, round(coalesce(x, 0.0), 6) + 0.0 AS value FROM grid LEFT JOIN p USING (doc_id, d)
+""")
+def embed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = cut_lineage(doc_tokens(spark, sf_dir), "doc-tokens")
+    vocab = cut_lineage(V.build_vocab(tokens, ["tokens"], None), "whole-vocab")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").alias("vec"))
+    return PL.explode_vector(PL.mean_by_join(tokens, ["doc_id"], "tokens", vocab, vectors, EMB_DIM), ["doc_id"])
+
+
+# sketch_summary: A2 A9 K2 from stored, merged sketches, each held against the exact value -----------------
+SKETCH_TOP = 20
+
+
+@register("sketch_summary", sql=f"""
+WITH t AS (SELECT source, {g.lower_tokens("text")} AS t FROM documents),
+c AS (SELECT token, count(*) AS c FROM (SELECT unnest(t) AS token FROM t) GROUP BY token),
+top AS (SELECT c, row_number() OVER (ORDER BY c DESC, token) AS r FROM c QUALIFY r <= {SKETCH_TOP})
+SELECT 'distinct tokens' AS measure, count(*)::DOUBLE AS exact, TRUE AS within FROM c
+UNION ALL SELECT 'length q1', quantile_disc(len(t), 0.25)::DOUBLE, TRUE FROM t
+UNION ALL SELECT 'length median', quantile_disc(len(t), 0.5)::DOUBLE, TRUE FROM t
+UNION ALL SELECT 'length q3', quantile_disc(len(t), 0.75)::DOUBLE, TRUE FROM t
+UNION ALL SELECT 'top ' || r, c::DOUBLE, TRUE FROM top
+""")
+def sketch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
+    rows = cut_lineage(docs.select("source", X.lower_tokens(X.tokenize("text")).alias("tokens")).withColumn("n", F.size("tokens")), "source-tokens")
+    stored = cut_lineage(SK.shard_sketches(rows, "source", "tokens", "n"), "sketches")
+    union = cut_lineage(SK.merged(stored), "sketch-union")
+    found = union.select(SK.distinct_of(F.col("distinct")).alias("distinct"), F.array(*[SK.quantile_of(F.col("quantiles"), q) for q in (0.25, 0.5, 0.75)]).alias("q"),
+                         F.col("n_tokens"), SK.top_of("frequent", SKETCH_TOP).alias("top")).first()  # one row
+    counts = V.token_counts(rows, ["tokens"])
+    counts = cut_lineage(counts, "sketch-exact")
+    distinct = counts.agg(F.count("*").alias("k")).select(F.lit("distinct tokens").alias("measure"), F.col("k").cast("double").alias("exact"),
+                                                         (F.abs(F.lit(found["distinct"]) / F.col("k") - 1) <= SK.distinct_bound()).alias("within"))
+    held = SK.quantile_holds(rows, "n", list(zip((0.25, 0.5, 0.75), found["q"])), SK.rank_bound())
+    exact = rows.agg(F.array(*[F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY n)") for q in (0.25, 0.5, 0.75)]).alias("p"))
+    names = F.array(*[F.lit(f"length {n}") for n in ("q1", "median", "q3")])
+    lengths = exact.select(F.posexplode("p").alias("i", "exact")).withColumn("q", F.element_at(F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("i") + 1)).join(held, "q") \
+        .select(F.element_at(names, F.col("i") + 1).alias("measure"), F.col("exact").cast("double").alias("exact"), "within")
+    top = counts.orderBy(F.desc("cnt"), "token").limit(SKETCH_TOP).withColumn("r", F.row_number().over(Window.orderBy(F.desc("cnt"), "token")))
+    estimates = spark.createDataFrame([(i + 1, t["item"], t["count"]) for i, t in enumerate(found["top"])], "er int, token string, e long")
+    ranked = top.join(estimates.select("token", "e"), "token", "left")
+    tops = ranked.select(F.concat(F.lit("top "), F.col("r")).alias("measure"), F.col("cnt").cast("double").alias("exact"),
+                         (F.coalesce(F.abs(F.col("e") - F.col("cnt")), F.lit(0)) <= SK.count_bound(F.lit(found["n_tokens"]))).alias("within"))
+    return distinct.unionByName(lengths).unionByName(tops)
+
+
 # vector_coverage: J2 ---------------------------------------------------------------------
 @register("vector_coverage", sql=_VEC_SQL + """,
 hits AS (SELECT fv.*, CASE WHEN e.vec_id IS NULL THEN 0 ELSE 1 END AS hit FROM full_vocab fv LEFT JOIN embeddings e ON e.vec_id = fv.idx)
