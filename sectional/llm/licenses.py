@@ -1,17 +1,21 @@
-"""License scan: an exact set-similarity join of text blocks (lines) with license templates.
+"""License scan: an exact set-similarity join of text blocks with license templates.
 
-A block matches a template when it holds at least ``threshold`` of the template's distinct words. Words are ordered by
-how often they occur in the whole table, the rarest first. A template needs ``need = ceil(threshold * size)`` words, so
+Blocks are the lines of a text, and every window of 2 to ``WINDOW`` consecutive lines (a notice is often wrapped). A block
+matches a template when it holds at least ``threshold`` of the template's distinct words, all words that tell it from its
+kin (``must``) and none that make it another one (``never``); a window of several lines has at most twice the template's
+number of words. Words are ordered by how often they occur in the whole table, the rarest first. A template needs ``need = ceil(threshold * size)`` words, so
 a matching block must hold one of its first ``size - need + 1`` words (prefix filter), must have ``need`` distinct words
 (length filter), and from the place of the first common word on, template and block must both have ``need`` words left
 (position filter). What passes is counted exactly. No filter loses a match.
 
+A window can only match if one of its lines holds a prefix word, so only windows around such lines are looked at.
+
 The table is read twice in narrow passes: once to count the templates' words, once to join. The templates are a
 parameter, shipped with the tasks; ``MAX_TEMPLATE_BYTES`` is checked. Phrases are looked up as consecutive words in the
 same pass, and their labels always stay.
 
 Defined results. Null or empty text: no words, no labels, score 0. Ties and repeated rows: each row stands alone. Null
-ids are carried. Blocks of any length are whole lines. Empty tables give no rows. Clashing extra columns are not read.
+ids are carried. Lines of any length are whole blocks. Empty tables give no rows. Clashing extra columns are not read.
 """
 
 from __future__ import annotations
@@ -31,19 +35,26 @@ MAX_TEMPLATE_BYTES = 4 << 20
 
 #: The phrases of the contract, and the usual notices of public licenses.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
+#: label, notice, words it must hold, words it never holds.
 TEMPLATES = (
-    ("apache-2", "Licensed under the Apache License, Version 2.0"),
-    ("bsd-3", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    ("gpl-3", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("apache-2", "Licensed under the Apache License, Version 2.0", ("apache", "2"), ()),
+    ("bsd", "Released under the BSD License", ("bsd",), ()),
+    ("bsd-3", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ("redistribution", "binary"), ()),
+    ("cc-by", "Licensed under CC BY 4.0", ("cc", "by"), ("nc", "sa", "nd")),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", ("commons", "attribution"), ("noncommercial", "sharealike", "noderivatives", "noderivs")),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ("noncommercial",), ("sharealike", "noderivatives", "noderivs")),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0", ("cc", "nc"), ("sa", "nd")),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0", ("cc", "sa"), ("nc",)),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ("sharealike",), ("noncommercial",)),
+    ("gpl-3", "This work is licensed under the GNU General Public License, version 3", ("gnu", "general", "3"), ("lesser", "affero", "library")),
+    ("gpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", ("gnu", "general", "3"), ("lesser", "affero", "library")),
+    ("lgpl-3", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License", ("lesser", "3"), ()),
+    ("mit", "Released under the MIT License", ("mit",), ()),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ("permission", "hereby", "granted"), ()),
+    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla",), ()),
 )
+#: Lines of the longest window.
+WINDOW = 5
 
 
 def word_table() -> np.ndarray:
@@ -79,14 +90,16 @@ class Index:
     """Templates as codes that rise with the global word count, with the prefixes' inverted lists."""
 
     def __init__(self, templates, phrases, threshold: float, counts: dict[str, int]):
-        sets = [(label, set(template_words(text))) for label, text in templates]
-        self.labels = [label for label, words in sets if words]
-        sets = [words for _, words in sets if words]
+        templates = [(label, template_words(text), set(must), set(never)) for label, text, must, never in templates if template_words(text)]
+        self.labels = [t[0] for t in templates]
+        self.lengths = [len(t[1]) for t in templates]
         self.phrases = [(template_words(p), label) for p, label in phrases]
-        words = sorted(set().union(*sets, *[p for p, _ in self.phrases]), key=lambda w: (counts.get(w, 0), w))
+        words = sorted(set().union(*[{*t[1], *t[2], *t[3]} for t in templates], *[p for p, _ in self.phrases]), key=lambda w: (counts.get(w, 0), w))
         code = {w: k for k, w in enumerate(words)}
+        of = lambda group: {code[w] for w in group}
         self.words = words
-        self.sets = [sorted(code[w] for w in s) for s in sets]
+        self.sets = [sorted(of(t[1])) for t in templates]
+        self.must, self.never = [of(t[2]) for t in templates], [of(t[3]) for t in templates]
         self.need = [math.ceil(threshold * len(s) - 1e-9) for s in self.sets]
         self.prefix: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, (s, need) in enumerate(zip(self.sets, self.need)):
@@ -94,19 +107,19 @@ class Index:
                 self.prefix[s[place]].append((t, place))
         self.phrase_codes = [([code[w] for w in p], label) for p, label in self.phrases]
 
-    def matches(self, block: list[int], n_distinct: int) -> list[tuple[int, float]]:
+    def matches(self, block: list[int], n_words: int, lines: int) -> list[tuple[int, float]]:
         """``block``: its distinct template codes, rising. All templates it matches, with the containment."""
-        out, seen = [], set()
+        out, seen, own = [], set(), set(block)
         for at, c in enumerate(block):
             for t, place in self.prefix.get(c, ()):
                 if t in seen:
                     continue
                 seen.add(t)  # later common words leave even less
                 need, size = self.need[t], len(self.sets[t])
-                if n_distinct < need or min(size - place, len(block) - at) < need:
+                if n_words < need or min(size - place, len(block) - at) < need or lines > 1 and n_words > 2 * self.lengths[t]:
                     continue
-                common = len(set(block).intersection(self.sets[t]))
-                if common >= need:
+                common = len(own.intersection(self.sets[t]))
+                if common >= need and self.must[t] <= own and not self.never[t] & own:
                     out.append((t, common / size))
         return out
 
@@ -114,16 +127,17 @@ class Index:
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), templates=TEMPLATES, phrases=PHRASES,
          threshold: float = 0.8) -> DataFrame:
     """One row per document: the columns ``keep``, n_words, n_base, first_word, last_word, base_labels, labels, score and
-    ``blocks`` (line number, label and containment of each matching block)."""
-    if sum(len(t) for _, t in templates) > MAX_TEMPLATE_BYTES:
+    ``blocks`` (first line, label and containment of the matching blocks, a line's best for each label)."""
+    if sum(len(t[1]) for t in templates) > MAX_TEMPLATE_BYTES:
         raise ValueError("the templates are shipped with each task; scan larger sets in parts")
-    vocabulary = sorted({w for _, t in [*templates, *[(b, a) for a, b in phrases]] for w in template_words(t)})
+    vocabulary = sorted({w for t in templates for w in (*template_words(t[1]), *t[2], *t[3])} | {w for p, _ in phrases for w in template_words(p)})
     index = Index(templates, phrases, threshold, word_counts(docs, vocabulary, text))
     carried = [c for c in keep]
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried]
                        + ["n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double",
                           "blocks array<struct<line:long,label:string,containment:double>>"])
     table = word_table()
+    most = 2 * max(index.lengths, default=0)
     rare = np.zeros(len(index.words), bool)
     rare[list(index.prefix)] = True
     blocks_type = pa.list_(pa.struct([("line", pa.int64()), ("label", pa.string()), ("containment", pa.float64())]))
@@ -150,7 +164,7 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
                     first[r] = at if first[r] < 0 else min(first[r], at)
                     last[r] = max(last[r], at)
                     base[r].add(label)
-            # the join: lines that hold a prefix word
+            # the join: lines that hold a prefix word, and windows around them
             blocks: list[list] = [[] for _ in range(n)]
             hot = np.flatnonzero((codes >= 0) & rare[np.maximum(codes, 0)])
             if len(hot):
@@ -164,12 +178,24 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
                 line = np.searchsorted(np.flatnonzero(data == 10), begin)
                 block = line + row  # rows without a line end between them are apart too
                 head = np.searchsorted(np.flatnonzero(data == 10), boff[:-1])
-                for b in np.unique(block[hot]):
-                    lo, hi = np.searchsorted(block, [b, b + 1])
-                    own = codes[lo:hi]
-                    got = np.unique(own[own >= 0]).tolist()
-                    for t, share in index.matches(got, pc.count_distinct(words.slice(lo, hi - lo)).as_py()):
-                        blocks[row[lo]].append({"line": int(line[lo] - head[row[lo]]), "label": index.labels[t], "containment": share})
+                ends = np.append(head[1:], np.count_nonzero(data == 10)) if len(head) else head  # a row's last line
+                looked, best = set(), {}
+                for i in hot[np.append(True, block[hot][1:] != block[hot][:-1])].tolist():
+                    r, at = int(row[i]), int(line[i])
+                    for k in range(1, WINDOW + 1):
+                        for s in range(max(at - k + 1, int(head[r])), min(at, int(ends[r]) - k + 1) + 1):
+                            if (r, s, k) in looked:
+                                continue
+                            looked.add((r, s, k))
+                            lo, hi = np.searchsorted(block, [s + r, s + k + r])
+                            if hi - lo > most and k > 1:
+                                continue
+                            own = codes[lo:hi]
+                            for t, share in index.matches(np.unique(own[own >= 0]).tolist(), int(hi - lo), k):
+                                place = (r, s - int(head[r]), index.labels[t])
+                                best[place] = max(best.get(place, 0.0), share)
+                for (r, at, label), share in sorted(best.items()):
+                    blocks[r].append({"line": at, "label": label, "containment": share})
             columns = [rows.column(c) for c in carried]
             missing = n_base == 0
             columns += [pa.array(np.diff(off), pa.int64()), pa.array(n_base), pa.array(first, mask=missing), pa.array(last, mask=missing),

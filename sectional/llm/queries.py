@@ -111,7 +111,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op4_sql() -> str:
     array = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
     phrases = ", ".join(f"({array(licenses.template_words(p))}, '{label}')" for p, label in licenses.PHRASES)
-    templates = ", ".join(f"({array(sorted(set(licenses.template_words(t))))}, '{label}')" for label, t in licenses.TEMPLATES)
+    templates = ", ".join(f"({array(sorted(set(licenses.template_words(t))))}, {len(licenses.template_words(t))}, {array(must)}, {array(never)}::VARCHAR[], '{label}')"
+                          for label, t, must, never in licenses.TEMPLATES)
     word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
     return f"""
 WITH t AS (SELECT doc_id, row_number() OVER () AS r, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
@@ -119,10 +120,13 @@ w AS (SELECT *, regexp_extract_all(x, {word}) AS w FROM t),
 p AS (SELECT * FROM (VALUES {phrases}) AS v(ph, label)),
 h AS (SELECT r, label, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i:i + len(ph) - 1] = ph)) AS i FROM w, p),
 b AS (SELECT r, count(*)::BIGINT AS n_base, (min(i) - 1)::BIGINT AS first_word, (max(i) - 1)::BIGINT AS last_word FROM h GROUP BY r),
-l AS (SELECT r, list_distinct(regexp_extract_all(line, {word})) AS s FROM (SELECT r, unnest(string_split(x, chr(10))) AS line FROM t)),
-q AS (SELECT * FROM (VALUES {templates}) AS v(tw, label)),
-m AS (SELECT r, label, max(len(list_intersect(s, tw))::DOUBLE / len(tw)) AS share FROM l, q
-      WHERE len(list_intersect(s, tw)) >= ceil(0.8 * len(tw) - 1e-9) GROUP BY r, label),
+l AS (SELECT r, list_transform(string_split(x, chr(10)), lambda line: regexp_extract_all(line, {word})) AS ws FROM t),
+g AS (SELECT r, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM l, (SELECT unnest(range(1, {licenses.WINDOW + 1})) AS k) WHERE len(ws) >= k),
+e AS (SELECT r, k, flatten(ws[i:i + k - 1]) AS f FROM g),
+d AS (SELECT r, k, len(f) AS n, list_distinct(f) AS s FROM e WHERE len(f) > 0),
+q AS (SELECT * FROM (VALUES {templates}) AS v(tw, tn, must, never, label)),
+m AS (SELECT r, label, max(len(list_intersect(s, tw))::DOUBLE / len(tw)) AS share FROM d, q
+      WHERE len(list_intersect(s, tw)) >= ceil(0.8 * len(tw) - 1e-9) AND (k = 1 OR n <= 2 * tn) AND list_has_all(s, must) AND NOT list_has_any(s, never) GROUP BY r, label),
 a AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM h UNION SELECT r, label FROM m) GROUP BY r),
 c AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM h GROUP BY r),
 s AS (SELECT r, max(share) AS share FROM m GROUP BY r)
