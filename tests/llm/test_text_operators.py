@@ -146,14 +146,17 @@ def brute_licences(text):
         places += hits
         labels |= {label} if hits else set()
     base = set(labels)
-    for line in (text or "").split("\n"):
-        have = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(line)))
-        for label, template in licenses.TEMPLATES:
-            t = set(licenses.template_words(template))
-            share = len(t & have) / len(t)
-            if share >= 0.8 - 1e-12:
-                labels.add(label)
-                score = max(score, share)
+    lines = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(line)) for line in (text or "").split("\n")]
+    for k in range(1, licenses.WINDOW + 1):
+        for i in range(len(lines) - k + 1):
+            block = sum(lines[i:i + k], [])
+            have = set(block)
+            for label, template, must, never in licenses.TEMPLATES:
+                t = set(licenses.template_words(template))
+                share = len(t & have) / len(t)
+                if share >= 0.8 - 1e-12 and set(must) <= have and not set(never) & have and (k == 1 or len(block) <= 2 * len(licenses.template_words(template))):
+                    labels.add(label)
+                    score = max(score, share)
     return (len(low), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if base else score)
 
 
@@ -167,6 +170,34 @@ def test_licence_scan(spark):
     assert licenses.scan(nothing(spark)).collect() == []
 
 
+NOTICES = {
+    "Released under the BSD License": "bsd", "Licensed under CC BY-SA 4.0": "cc-by-sa", "Licensed under CC BY-NC 4.0": "cc-by-nc", "Licensed under CC BY 4.0": "cc-by",
+    "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by",
+    "This library is free software: you can redistribute it and/or modify\nit under the terms of the GNU Lesser General Public License as published by\n"
+    "the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.": "lgpl-3",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software": "mit",
+    " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n"
+    " * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.": "gpl-3",
+    "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:": "bsd-3",
+    "Licensed under the Apache License,\nVersion 2.0 (the \"License\")": "apache-2", "Licensed under the Apache License, Version 1.1": "", "Released under the license of the town": "",
+    "Released under the MIT License": "mit", "This work is licensed\n\nunder the GNU General Public\nLicense, version 3": "gpl-3", "the license\n" * 40: "",
+}
+
+
+def test_licence_notices(spark):
+    """One label each, for notices on a line, wrapped or in a longer text; near names don't share a label."""
+    around = "Some words stand before it.\n{}\nAnd others after it, on and on."
+    table = [(f"{k}{n}", f.format(text)) for n, text in enumerate(NOTICES) for k, f in (("own", "{}"), ("around", around))]
+    out = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(table, "doc_id string, text string")).collect()}
+    assert out == {f"{k}{n}": label for n, label in enumerate(NOTICES.values()) for k in ("own", "around")}
+
+
+def test_licence_blocks_name_their_lines(spark):
+    text = "a\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\nb"
+    row = licenses.scan(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).where("doc_id = 2").first()
+    assert {(b["line"], b["label"]) for b in row["blocks"]} >= {(2, "bsd-3")} and all(b["label"] == "bsd-3" for b in row["blocks"]) and row["score"] == 1.0
+
+
 def brute_quality(text):
     t = text or ""
     own = words(t)
