@@ -1,8 +1,10 @@
 """Near duplicates by an LSH forest: documents whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
 1. Each text becomes its set of 64-bit shingle hashes, of which are kept: the size, a 128-bit digest of the set and a
-   signature of TREES * DEPTH minima. Documents with equal sets are one class, named by its smallest doc_id.
-2. The forest: per tree, classes in the order of their DEPTH minima (``path``).
+   signature of TREES * DEPTH minima, ten bits of each; a tree's DEPTH minima are one number, its ``path``. Documents with
+   equal sets are one class, named by its smallest doc_id.
+2. The forest: per tree, classes in the order of their paths. A class that shares no MIN_DEPTH minima with a neighbour in
+   the order is alone in that tree and goes no further there.
 3. First, each class is compared with its neighbour in the sorted order when their longest common prefix is at least
    ``MIN_DEPTH``. Confirmed links make components, so that a group of thousands of near copies takes linear work.
 4. Then regions: classes with a common prefix. A region starts at MIN_DEPTH; while it holds more than ``REGION`` classes
@@ -39,6 +41,9 @@ REGION = 256
 AGREE = 114
 MINIMA = TREES * DEPTH
 _FACTORS = np.random.default_rng(9).integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bits of a minimum in a path.
+BITS = 10
+_SHIFTS = np.uint64(BITS) * np.arange(DEPTH - 1, -1, -1, dtype=np.uint64)
 _PAIR, _ALONE = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -67,7 +72,7 @@ def shingle_sets(text: pa.Array, n: int = 2) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, text: str, doc_id: str, n: int) -> DataFrame:
-    """doc_id, n_shingles, d1, d2 (the set's digest), minima (big-endian uint32, so that bytes sort as numbers)."""
+    """doc_id, n_shingles, d1, d2 (the set's digest), paths (a number per tree; null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_slices(batches, text):
@@ -76,65 +81,89 @@ def signatures(docs: DataFrame, text: str, doc_id: str, n: int) -> DataFrame:
             full = size > 0
             at = off[:-1][full]
             d1, d2 = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
-            minima = np.zeros((len(texts), MINIMA), ">u4")
+            minima = np.zeros((len(texts), MINIMA), np.uint32)
             if len(sets):
                 d1[full] = np.add.reduceat(mix64(sets), at)
                 d2[full] = np.add.reduceat(mix64(sets ^ _PAIR), at)
                 for k, factor in enumerate(_FACTORS):
                     minima[full, k] = np.minimum.reduceat((sets * factor) >> np.uint64(32), at)
-            raw = [minima[i].tobytes() if full[i] else None for i in range(len(texts))]
-            yield pa.RecordBatch.from_arrays([rows.column(doc_id).cast(pa.int64()), pa.array(size), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(raw, pa.binary())],
-                                             names=["doc_id", "n_shingles", "d1", "d2", "minima"])
+            digits = ((minima * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.uint64).reshape(-1, TREES, DEPTH)
+            paths = (digits << _SHIFTS).sum(axis=2, dtype=np.uint64).view(np.int64)
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.where(full, TREES, 0))]), pa.int32(), mask=np.append(~full, False))
+            yield pa.RecordBatch.from_arrays([rows.column(doc_id).cast(pa.int64()), pa.array(size), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
+                                              pa.ListArray.from_arrays(ends, pa.array(paths[full].ravel()))], names=["doc_id", "n_shingles", "d1", "d2", "paths"])
 
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias(doc_id), f"`{text}`").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, minima binary")
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias(doc_id), f"`{text}`").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, paths array<long>")
+
+
+def digits_of(paths: np.ndarray) -> np.ndarray:
+    """[row, minimum] from [row, tree]; the last byte of each digit, which is enough to see whether they agree, but for one in 256."""
+    return ((paths.astype(np.uint64)[:, :, None] >> _SHIFTS) & np.uint64(255)).astype(np.uint8).reshape(len(paths), -1)
+
+
+def prefix(path, depth: int):
+    """The first ``depth`` minima of a path column."""
+    return F.shiftright(path, BITS * (DEPTH - depth))
 
 
 def forest(reps: DataFrame) -> DataFrame:
-    """A row per tree and class: tree, path (its minima in that tree), node."""
-    width = 4 * DEPTH
-    paths = F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("minima", 1 + t * width, width).alias("path")) for t in range(TREES)])
-    return reps.select("node", F.explode(paths).alias("p")).select("p.tree", "p.path", "node")
+    """A row per tree and class: tree, path, node."""
+    return reps.select("node", F.posexplode("paths").alias("tree", "path")).select(F.col("tree").cast("byte").alias("tree"), "path", "node")
 
 
-def sorted_neighbours(trees: DataFrame, name: str) -> DataFrame:
-    """Pairs (a, b) that are next to each other in a tree's order and share at least MIN_DEPTH minima.
+def sorted_neighbours(trees: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) that are next to each other in a tree's order and share at least MIN_DEPTH minima; and the rows (tree,
+    path, node) that may share as many with any other row.
 
-    The order is a range-partitioned sort; the first and last rows of the partitions, two rows each, are paired in a
-    window over that small table.
+    The order is a range-partitioned sort; the first and last rows of the partitions are paired in a window over that
+    small table, and are kept as rows that may share.
     """
     parts = max(trees.sparkSession.sparkContext.defaultParallelism, int(trees.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = trees.repartitionByRange(parts, "tree", "path", "node").sortWithinPartitions("tree", "path", "node")
-    width = 4 * MIN_DEPTH
-
-    def key(batch: pa.RecordBatch) -> list[bytes]:
-        return [bytes([t]) + p[:width] for t, p in zip(batch.column("tree").to_pylist(), batch.column("path").to_pylist())]
+    cut = BITS * (DEPTH - MIN_DEPTH)
+    kinds = "tree byte, path long, node long, next long, part int, head long, tail long, last long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows that share with the row before or after them (``next``: the node after a row, where it shares); at last the ends."""
         from pyspark import TaskContext
 
-        part, first, last = TaskContext.get().partitionId(), None, None
+        part, head, held = TaskContext.get().partitionId(), None, None
+
+        def key(tree, path):
+            return (tree.astype(np.int64) << (60 - cut)) | (path >> cut)
+
+        def rows(tree, path, node, after, shown):
+            n, nothing = int(shown.sum()), pa.nulls(int(shown.sum()), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(tree[shown], pa.int8()), pa.array(path[shown]), pa.array(node[shown]), pa.array(after[shown], pa.int64(), mask=after[shown] == NONE),
+                                               pa.nulls(n, pa.int32()), nothing, nothing, nothing], names=names)
+
+        names = ["tree", "path", "node", "next", "part", "head", "tail", "last"]
         for batch in batches:
-            keys, nodes = key(batch), batch.column("node").to_pylist()
-            a, b = [], []
-            for k, node in zip(keys, nodes):
-                if last is None:
-                    first = (k, node)
-                elif last[0] == k and last[1] != node:
-                    a.append(last[1])
-                    b.append(node)
-                last = (k, node)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary()), pa.nulls(len(a), pa.binary())],
-                                             names=["a", "b", "part", "first", "last"])
-        if first:
-            yield pa.RecordBatch.from_arrays([pa.array([first[1]], pa.int64()), pa.array([last[1]], pa.int64()), pa.array([part], pa.int32()), pa.array([first[0]], pa.binary()), pa.array([last[0]], pa.binary())],
-                                             names=["a", "b", "part", "first", "last"])
-
-    found = stage(ordered.mapInArrow(run, "a long, b long, part int, first binary, last binary"), name)
+            tree, path, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "path", "node"))
+            if not len(tree):
+                continue
+            if held is not None:  # the last row of the batch before, and whether it shares with the one before it
+                tree, path, node = (np.append(h, x) for h, x in zip(held, (tree, path, node)))
+            k = key(tree, path)
+            same = k[1:] == k[:-1]
+            after = np.append(np.where(same & (node[1:] != node[:-1]), node[1:], NONE), NONE)
+            shown = np.append(same, False) | np.append(held is not None and held[3], same)
+            if head is None:
+                head = (int(k[0]), int(node[0]))
+                shown[0] = True
+            held = (tree[-1:], path[-1:], node[-1:], bool(len(same) and same[-1]))
+            yield rows(tree[:-1], path[:-1], node[:-1], after[:-1], shown[:-1])
+        if held is not None:
+            yield rows(held[0], held[1], held[2], np.array([NONE]), np.array([True]))
+            ends = [pa.array([head[1]]), pa.array([None], pa.int64()), pa.array([part], pa.int32()), pa.array([head[0]]), pa.array([int(key(held[0], held[1])[0])]), pa.array([int(held[2][0])])]
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int8()), pa.nulls(1, pa.int64()), *ends], names=names)
+
+    found = stage(ordered.mapInArrow(run, kinds), name)
     order = Window.orderBy("part")
-    edges = found.where("part is not null").withColumn("pa", F.lag("b").over(order)).withColumn("pk", F.lag("last").over(order)) \
-        .where(F.col("pk") == F.col("first")).select(F.col("pa").alias("a"), F.col("a").alias("b"))
-    pairs = found.where("part is null").select("a", "b").unionByName(edges)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    edges = found.where("part is not null").withColumn("pa", F.lag("last").over(order)).withColumn("pk", F.lag("tail").over(order)) \
+        .where(F.col("pk") == F.col("head")).select(F.col("pa").alias("a"), F.col("node").alias("b"))
+    pairs = found.where("part is null and next is not null").select(F.col("node").alias("a"), F.col("next").alias("b")).unionByName(edges)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), found.where("part is null").select("tree", "path", "node")
 
 
 def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -143,13 +172,13 @@ def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def by_signature(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sizes and signatures allow the similarity."""
-    one = reps.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("minima").alias("ma"))
-    two = reps.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("minima").alias("mb"))
+    one = reps.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("paths").alias("ma"))
+    two = reps.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("paths").alias("mb"))
     sized = pairs.join(one, "a").join(two, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, MINIMA) for c in ("ma", "mb"))
+            x, y = (digits_of(batch.column(c).flatten().to_numpy().reshape(-1, TREES)) for c in ("ma", "mb"))
             keep = pa.array(_agreement(x, y) >= AGREE)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
@@ -204,7 +233,7 @@ def regions_of(trees: DataFrame, joined: DataFrame) -> DataFrame:
     rows = trees.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     done = []
     for depth in range(MIN_DEPTH, DEPTH + 1):
-        rows = rows.withColumn("prefix", F.substring("path", 1, 4 * depth))
+        rows = rows.withColumn("prefix", prefix("path", depth))
         sizes = rows.groupBy("tree", "prefix", "component").agg(F.count("*").alias("n"))
         regions = sizes.groupBy("tree", "prefix").agg(F.sum("n").alias("members"), F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts")) \
             .where("parts > 1").select("tree", "prefix", "members", "most")
@@ -227,6 +256,7 @@ def regions_of(trees: DataFrame, joined: DataFrame) -> DataFrame:
     return found.withColumn("g", F.explode(groups)).select("tree", "prefix", "g.kind", "g.i", "g.j", "main", "node", "component")
 
 
+NONE = np.iinfo(np.int64).min
 GROUP = ("tree", "prefix", "kind", "i", "j")
 
 
@@ -248,8 +278,7 @@ def each_group(bucket: pd.DataFrame) -> Iterator[tuple[np.ndarray, tuple]]:
     code = bucket.groupby(list(GROUP), sort=False).ngroup().to_numpy()
     order = np.lexsort((bucket["n"].to_numpy(), code))
     comp, main, size, kind = (bucket[c].to_numpy()[order] for c in ("component", "main", "n", "kind"))
-    # a byte of each minimum is enough to see whether they agree, but for one in 256
-    minima = np.ascontiguousarray(np.frombuffer(b"".join(bucket["minima"]), np.uint8).reshape(len(bucket), MINIMA, 4)[order, :, 3])
+    minima = digits_of(np.stack(bucket["paths"].to_numpy()) if len(bucket) else np.zeros((0, TREES), np.int64))[order]
     code = code[order]
     start = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
     for a, b in zip(start, np.append(start[1:], len(code))):
@@ -269,10 +298,10 @@ def region_links(trees: DataFrame, reps: DataFrame, joined: DataFrame, docs: Dat
     The groups are read twice: first with signatures only, which leaves the rows that have a candidate; then those meet
     again with their full sets. So what is written grows with the rows, however many pairs are near the bound.
     """
-    short = reps.select("node", "n", "minima")
+    short = reps.select("node", "n", "paths")
     met = stage(regions_of(trees, joined), "regions")
     columns = [*GROUP, "main", "node", "component"]
-    kinds = "tree int, prefix binary, kind int, i int, j int, main boolean, node long, component long"
+    kinds = "tree byte, prefix long, kind int, i int, j int, main boolean, node long, component long"
 
     def keep(bucket: pd.DataFrame) -> pd.DataFrame:
         hit = np.zeros(len(bucket), bool)
@@ -308,9 +337,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """One row per document: doc_id, n_shingles, component_id (the smallest id reachable over links), kept."""
     found = stage(signatures(docs, text, doc_id, n), "signatures")
     reps = stage(found.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", F.col("n_shingles").alias("n"))
-                 .agg(F.min("doc_id").alias("node"), F.first("minima").alias("minima")), "classes")
-    trees = stage(forest(reps), "forest")
-    near = sorted_neighbours(trees, "neighbours")
+                 .agg(F.min("doc_id").alias("node"), F.first("paths").alias("paths")), "classes")
+    near, trees = sorted_neighbours(forest(reps), "neighbours")
     first = stage(confirm(by_signature(near, reps, percent), docs, text, doc_id, n, percent, "first"), "first-links")
     joined = components(first, "first-components")
     more = stage(region_links(trees, reps, joined, docs, text, doc_id, n, percent), "more-links")
