@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,9 +64,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+#: Spark's own removal of an execution's shuffle files at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Session settings for the executions inside; the earlier ones come back."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared checkpoint folder and read it back.
 
+    Once the table is written, the shuffle files of its computation are of no use any more and are removed, so that a job of
+    many stages doesn't keep them all on disk.
+
     Cuts the lineage like ``checkpoint()`` but computes the data once (a
     reliable RDD checkpoint of an uncached DataFrame recomputes it for the
     write) and re-reads it columnar, with pruning. The folder is the cluster's
@@ -73,5 +94,6 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
+    with settings(spark, **{_CLEANUP: "true"}):
+        df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -16,7 +16,6 @@ from __future__ import annotations
 import datetime as dt
 import os
 from collections.abc import Iterator
-from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
@@ -26,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sectional.operators.stopping import Progress, Rules, advance_all
+from sectional.session import settings
 
 CHANGES = "run_id long, change long, n_steps long, n_settled long, stop_step int, best_index int, best_metric double"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -76,19 +76,6 @@ class Watch(StatefulProcessor):
         return out.astype({"stop_step": "Int32", "best_index": "int32", "best_metric": "float64"})
 
 
-@contextmanager
-def _settings(spark: SparkSession, **values: str):
-    """Session settings that a query takes when it starts; the earlier ones come back."""
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def changes(stream: DataFrame, run: str = "user_id", time: str = "ts", event: str = "event_id", metric: str = "value",
             delay: dt.timedelta = dt.timedelta(0), rules: Rules = Rules()) -> DataFrame:
     """The change log (streaming) of a streaming metric log."""
@@ -116,7 +103,7 @@ def run_available(spark: SparkSession, source: str, schema, out_dir: str, ckpt_d
         reader = reader.option("basePath", os.path.dirname(source))
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    with _settings(spark, **{"spark.sql.streaming.stateStore.providerClass": PROVIDER}):
+    with settings(spark, **{"spark.sql.streaming.stateStore.providerClass": PROVIDER}):
         query = changes(reader.parquet(source), run, delay=delay, rules=Rules(**knobs)).writeStream.format("parquet").outputMode("append") \
             .option("path", out_dir).option("checkpointLocation", ckpt_dir).trigger(availableNow=True).start()
         query.awaitTermination()

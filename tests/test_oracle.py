@@ -12,7 +12,9 @@ from .conftest import SF_SMALL
 
 CHEAP = ["vocab_top", "clean_text", "label_map", "corpus_trim", "list_split", "section_clean", "section_compat",
          "section_prefix", "residual", "heading_top", "heading_mass", "length_box", "length_hist", "split_assign", "split_stratified",
-         "batch_assign", "author_vocab", "vector_coverage", "pool_last", "cross_entropy", "accuracy", "early_stop"]
+         "batch_assign", "author_vocab", "vector_coverage", "pool_last", "cross_entropy", "accuracy", "early_stop", "early_stop_stream",
+         "head_scores", "head_train", "gru_scores", "lstm_scores", "pool_attention", "author_features", "prepared_tokens", "read_keyed_json",
+         "embed_join", "sketch_summary"]
 
 
 @pytest.fixture(scope="module")

@@ -30,3 +30,19 @@ def test_cut_lineage_writes_under_the_checkpoint_folder(spark):
     assert sorted(r["x"] for r in out.collect()) == [0, 2, 4, 6, 8]
     folder = ensure_checkpoint_dir(spark)
     assert any(f.startswith(folder.rstrip("/")) or folder.split(":", 1)[-1] in f for f in out.inputFiles())
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark, tmp_path):
+    """The files of its computation go, the table stays, and the session's setting is as before."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from sectional.session import _CLEANUP, cut_lineage
+
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: sum(1 for d in manager.localDirs() for _, _, names in os.walk(d.getPath()) for n in names if n.startswith("shuffle"))
+    before = files()
+    out = cut_lineage(spark.range(20_000).groupBy((F.col("id") % 1000).alias("k")).agg(F.count("*").alias("n")).repartition(3, "n"), "cleanup")
+    assert files() <= before and out.count() == 1000
+    assert spark.conf.get(_CLEANUP, None) is None
