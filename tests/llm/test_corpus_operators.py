@@ -20,7 +20,7 @@ from .corpus import SCHEMA, documents, lower, nothing, rows, words
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
     res = con.execute(ORACLE[name])
     names = sorted(d[0] for d in res.description)
