@@ -46,3 +46,23 @@ def test_a_written_table_leaves_no_shuffle_files(spark, tmp_path):
     out = cut_lineage(spark.range(20_000).groupBy((F.col("id") % 1000).alias("k")).agg(F.count("*").alias("n")).repartition(3, "n"), "cleanup")
     assert files() <= before and out.count() == 1000
     assert spark.conf.get(_CLEANUP, None) is None
+
+
+def test_batches_of_sequences_are_small(spark):
+    """Rows that hold whole texts come to Python workers a bounded number at a time."""
+    from sectional.operators import vocab as V
+    from sectional.session import ARROW_ROWS, small_batches
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "10000")
+        vocab = spark.createDataFrame([("a", 3)], "token string, idx int")
+        V.numericalise(spark.createDataFrame([(1, ["a"])], "doc_id long, tokens array<string>"), ["doc_id"], "tokens", vocab)
+        assert spark.conf.get(name) == str(ARROW_ROWS)
+        for given, kept in (("0", str(ARROW_ROWS)), ("7", "7")):
+            spark.conf.set(name, given)
+            small_batches(spark)
+            assert spark.conf.get(name) == kept
+    finally:
+        spark.conf.set(name, before)
