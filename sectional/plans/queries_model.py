@@ -116,7 +116,7 @@ def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
 STREAM_PARTS = 6
 
 
-@register("early_stop_stream", sql=_EARLY_STOP_SQL)
+@register("early_stop_stream", sql=_EARLY_STOP_SQL.replace("b.best_metric\nFROM stops", "b.best_metric, 0::BIGINT AS n_late\nFROM stops"))
 def early_stop_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a folder that grows: files by time, but every eighth row comes a file later than its time says."""
     run_dir = os.path.join(ensure_checkpoint_dir(spark), f"early-stop-{uuid.uuid4().hex}")
@@ -130,8 +130,9 @@ def early_stop_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k in range(STREAM_PARTS + 1):
         landed.where(F.col("part") == k).drop("part").write.mode("append").parquet(source)
     files = landed.rdd.getNumPartitions()
-    return U.run_available(spark, source, ev.schema, os.path.join(run_dir, "changes"), os.path.join(run_dir, "ckpt"), run="user_id",
-                           max_files=files, delay=dt.timedelta(microseconds=3 * width), patience=PATIENCE).runs
+    found = U.run_available(spark, source, ev.schema, os.path.join(run_dir, "changes"), os.path.join(run_dir, "ckpt"), run="user_id",
+                            max_files=files, delay=dt.timedelta(microseconds=3 * width), patience=PATIENCE)
+    return U.with_late(found.runs, spark.read.schema(ev.schema).parquet(source))
 
 
 # ----------------------------------------------------------------------------------
