@@ -246,6 +246,30 @@ def test_common_prefixes_of_the_merge():
         assert common[k] == same
 
 
+def test_representatives_are_exchanged_without_a_table(spark, monkeypatch):
+    table = [(k, f"{'shared words of two texts ' * 3}{k} {'own ' * k}") for k in range(1, 9)]
+    named, write = [], repeats.stage
+    monkeypatch.setattr(repeats, "stage", lambda df, name: (named.append(name), write(df, name))[1])
+    for size in (1 << 20, 300):  # texts that share within a slice, and across slices
+        monkeypatch.setattr(repeats, "SLICE", size)
+        out = repeats.remove_repeats(spark.createDataFrame(table, "doc_id long, text string")).collect()
+        assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out) == brute_repeats(table)
+    assert "representatives" not in named and "fragments" in named
+
+
+def test_rotations_are_sorted_again_only_where_they_tie(monkeypatch):
+    rng = np.random.default_rng(2)
+    own = bytes(rng.integers(97, 123, 20_000).astype(np.uint8))
+    text = bwt.shard_text([own, own[:300], b"a" * 40])
+    plain, sizes = np.argsort, []
+    monkeypatch.setattr(np, "argsort", lambda a, *more, **named: (sizes.append(len(a)), plain(a, *more, **named))[1])
+    order = bwt.rotation_order(text)
+    twice = np.concatenate([text, text]).astype(">u2").tobytes()
+    n = len(text)
+    assert order.tolist() == sorted(range(n), key=lambda p: twice[2 * p:2 * (p + n)])
+    assert sum(sizes) < 2 * n
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     table = [r[:5] for r in rows(seed=3)] + [(900 + k, "%%% ### &&& " * 60, "en", "src1", 720) for k in range(3)]
     spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
