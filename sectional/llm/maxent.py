@@ -40,7 +40,9 @@ ROWS = 1 << 14
 COMPANY = 48
 GROUPS = 8
 BATCH = 4096
+SCORED = 1024  # tokens scored at one time: their rows stay in a core's cache
 BLOCKS = 64
+FEW = 8  # a row's tokens in a batch up to which it is summed together with others
 FLUSH = 300_000
 
 
@@ -209,81 +211,110 @@ class Model:
         one, two, three = t.before(1), t.before(2), t.before(3)
         k = self.klass
         pair = k[one] * CLASSES + k[two]
-        raw = np.stack([one, pair + (1 << 30), pair * CLASSES + k[three] + (2 << 30), two + (3 << 30), three + (4 << 30)], 1)
-        return self._row(raw.astype(np.uint64))
+        out = np.empty((5, len(one)), np.int64)
+        for f, raw in enumerate((one, pair + (1 << 30), pair * CLASSES + k[three] + (2 << 30), two + (3 << 30), three + (4 << 30))):
+            out[f] = self._row(raw)
+        return out.T
 
     @staticmethod
     def _row(raw: np.ndarray) -> np.ndarray:
         """A table row by multiplicative hashing."""
-        return ((raw * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 14)).astype(np.int64)
+        return ((raw.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 14)).view(np.int64)
 
     def inner_features(self, rows: np.ndarray, klass: np.ndarray) -> np.ndarray:
-        return self._row((rows * CLASSES + klass[:, None] + (1 << 32)).astype(np.uint64))
+        return self._row(rows * CLASSES + (klass + (1 << 32)))
 
     @staticmethod
-    def _softmax(logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _exp(logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The softmax before its division (in place), and what to divide by."""
         logit -= logit.max(axis=1, keepdims=True)
-        p = np.exp(logit)
-        total = p.sum(axis=1, keepdims=True)
-        p /= total
-        return p, total
-
-    def _sum_rows(self, table: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        out = table.take(rows[:, 0], axis=0)
-        for f in range(1, rows.shape[1]):
-            out += table.take(rows[:, f], axis=0)
+        np.exp(logit, out=logit)
+        return logit, logit.sum(axis=1, keepdims=True)
+
+    @staticmethod
+    def _sum_rows(table: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        out = table.take(rows[0], axis=0)
+        for own in rows[1:]:
+            out += table.take(own, axis=0)
         out += bias
         return out
 
     def log_p(self, t: Tokens) -> np.ndarray:
         """Natural log probability of each token (of its class, for words outside of the head)."""
         out = np.empty(len(t.ids))
-        rows = self.features(t)
-        for a in range(0, len(out), BATCH):
-            ids, r = t.ids[a:a + BATCH], rows[a:a + BATCH]
+        rows = self.features(t).T  # a feature's rows one after the other
+        for a in range(0, len(out), SCORED):
+            ids, r = t.ids[a:a + SCORED], rows[:, a:a + SCORED]
             k = self.klass[ids]
-            p, _ = self._softmax(self._sum_rows(self.w[0], r, self.bias))
-            value = np.log(np.maximum(p[np.arange(len(ids)), k], 1e-30, dtype=np.float64))
-            inside = np.flatnonzero(self.narrow[k])
+            p, total = self._exp(self._sum_rows(self.w[0], r, self.bias))
+            value = np.log(np.maximum(p[np.arange(len(ids)), k] / total[:, 0], 1e-30, dtype=np.float64))
+            narrow = self.narrow[k]
+            inside = np.flatnonzero(narrow)
             if len(inside):
                 ki = k[inside]
-                p, _ = self._softmax(self._sum_rows(self.w[1], self.inner_features(r[inside], ki), self.inner[ki]))
-                value[inside] += np.log(np.maximum(p[np.arange(len(inside)), self.place[ids[inside]]], 1e-30, dtype=np.float64))
-            plain = ~self.narrow[k]
+                p, total = self._exp(self._sum_rows(self.w[1], self.inner_features(r[:, inside], ki), self.inner[ki]))
+                value[inside] += np.log(np.maximum(p[np.arange(len(inside)), self.place[ids[inside]]] / total[:, 0], 1e-30, dtype=np.float64))
+            plain = ~narrow
             value[plain] += np.where(ids[plain] == t.out, 0.0, self.frequency[np.minimum(ids[plain], self.n + 1)])
-            out[a:a + BATCH] = value
+            out[a:a + SCORED] = value
         return out
 
     def _step(self, table: int, rows: np.ndarray, wrong: np.ndarray, seen: np.ndarray, rate: float) -> None:
-        flat = rows.T.ravel()
+        """AdaGrad on the rows of a batch: a row's gradient is the sum over the tokens that have it.
+
+        Rows with the same few tokens are summed together, token by token; only frequent rows are summed one by one. Each
+        sum has the order that ``np.add.reduceat`` has.
+        """
+        flat = rows.ravel()
         order = np.argsort(flat.astype(np.uint16), kind="stable")
         ranked = flat[order]
         at = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        grad = np.add.reduceat(wrong[order % len(wrong)], at, axis=0)
-        which = ranked[at]
+        order %= len(wrong)
+        times = np.diff(np.append(at, len(ranked)))
+        for n in range(1, FEW + 1):
+            first = at[times == n]
+            if len(first):
+                grad = wrong.take(order[first if n == 1 else first + 1], axis=0)
+                for k in range(2, n):
+                    grad += wrong.take(order[first + k], axis=0)
+                if n > 1:
+                    grad += wrong.take(order[first], axis=0)
+                self._move(table, ranked[first], grad, seen, rate)
+        often = times > FEW
+        if often.any():
+            first, own = at[often], times[often]
+            start = np.cumsum(own) - own
+            grad = np.add.reduceat(wrong.take(order[np.repeat(often, times)], axis=0), start, axis=0)
+            self._move(table, ranked[first], grad, seen, rate)
+
+    def _move(self, table: int, which: np.ndarray, grad: np.ndarray, seen: np.ndarray, rate: float) -> None:
         seen[which] += np.einsum("ij,ij->i", grad, grad) / grad.shape[1]
         grad *= (rate / np.sqrt(seen[which]))[:, None]
-        self.w[table][which] += grad
+        grad += self.w[table].take(which, axis=0)
+        self.w[table][which] = grad
 
     def learn(self, t: Tokens, seen: np.ndarray, rate: float) -> None:
         """One pass over a slice in batches of gradient steps."""
-        rows = self.features(t)
+        rows = self.features(t).T  # a feature's rows one after the other
         for a in range(0, len(t.ids), BATCH):
-            ids, r = t.ids[a:a + BATCH], rows[a:a + BATCH]
+            ids, r = t.ids[a:a + BATCH], rows[:, a:a + BATCH]
             k = self.klass[ids]
-            p, _ = self._softmax(self._sum_rows(self.w[0], r, self.bias))
-            np.negative(p, out=p)
-            p[np.arange(len(ids)), k] += 1
+            p = self._wrong(self._sum_rows(self.w[0], r, self.bias), k)
             inside = np.flatnonzero(self.narrow[k])
             if len(inside):
                 ki = k[inside]
-                ri = self.inner_features(r[inside], ki)
-                q, _ = self._softmax(self._sum_rows(self.w[1], ri, self.inner[ki]))
-                np.negative(q, out=q)
-                q[np.arange(len(inside)), self.place[ids[inside]]] += 1
+                ri = self.inner_features(r[:, inside], ki)
+                q = self._wrong(self._sum_rows(self.w[1], ri, self.inner[ki]), self.place[ids[inside]])
                 self._step(1, ri, q, seen[1], rate)
             self._step(0, r, p, seen[0], rate)
 
+    def _wrong(self, logit: np.ndarray, true: np.ndarray) -> np.ndarray:
+        """What the probabilities lack: the gradient of the log probability."""
+        p, total = self._exp(logit)
+        p /= -total
+        p[np.arange(len(true)), true] += 1
+        return p
+
 
 def train(docs: DataFrame, model: Model, head, rounds: int, rate: float) -> None:
     """Distributed gradient updates; every training text takes part in one round.

@@ -61,6 +61,36 @@ def test_language_model_has_all_its_features():
     assert np.bincount(wide.klass[:64]).max() == 64 and wide.narrow[wide.klass[0]]  # a class of 64 words has features
 
 
+def test_a_step_sums_the_tokens_of_each_row(monkeypatch):
+    rng = np.random.default_rng(5)
+    model = maxent.Model(np.full(20, 150), 1, 1, np.zeros(20, int))
+    rows = np.concatenate([np.arange(900), rng.integers(900, 1100, 500), np.full(60, 1200)]).reshape(2, -1)
+    wrong = rng.normal(0, 1, (rows.shape[1], maxent.CLASSES)).astype(np.float32)
+    flat = rows.ravel()
+    order = np.argsort(flat, kind="stable")
+    which, at = np.unique(flat[order], return_index=True)
+    grad = np.add.reduceat(wrong[order % len(wrong)], at, axis=0)
+    want, moved = np.full(maxent.ROWS, 1.0, np.float32), np.zeros_like(model.w[0])
+    want[which] += np.einsum("ij,ij->i", grad, grad) / grad.shape[1]
+    moved[which] += grad * (0.3 / np.sqrt(want[which]))[:, None]
+    one_by_one = []
+
+    class Add:
+        def reduceat(self, x, *a, **k):
+            one_by_one.append(len(x))
+            return add.reduceat(x, *a, **k)
+
+        def __getattr__(self, name):
+            return getattr(add, name)
+
+    add = np.add
+    monkeypatch.setattr(maxent.np, "add", Add())
+    seen = np.full(maxent.ROWS, 1.0, np.float32)
+    model._step(0, rows, wrong, seen, 0.3)
+    assert (seen == want).all() and (model.w[0] == moved).all()
+    assert sum(one_by_one) < 200  # only the rows of many tokens; all 1,460 before
+
+
 def test_learning_raises_the_likelihood():
     import pyarrow as pa
 
