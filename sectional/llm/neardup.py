@@ -9,7 +9,8 @@
    ``MIN_DEPTH``. Confirmed links make components, so that a group of thousands of near copies takes linear work.
 4. Then regions: classes with a common prefix. A region starts at MIN_DEPTH; while it holds more than ``REGION`` classes
    it is cut by one more minimum. Within a region, pairs of different components whose signatures agree enough are
-   candidates. What is still too large at full depth is compared block by block, none left out.
+   candidates, each in the first tree whose region holds both. What is still too large at full depth is compared block by
+   block, none left out.
 5. Candidates are confirmed on the full sets, and all links together give the components.
 
 Two texts of similarity 0.8 share all DEPTH minima of some tree with a probability of over 0.9999, so a pair meets as
@@ -44,6 +45,9 @@ _FACTORS = np.random.default_rng(9).integers(1, 1 << 63, MINIMA, dtype=np.uint64
 #: Bits of a minimum in a path.
 BITS = 10
 _SHIFTS = np.uint64(BITS) * np.arange(DEPTH - 1, -1, -1, dtype=np.uint64)
+_CUT = BITS * (DEPTH - np.arange(DEPTH + 1))  # bits of a path below its first minima, by their number
+#: Bits of the filter that keeps texts without a wanted id out of a shuffle: at most 2 ** 19 rows of 64 bits are broadcast.
+SIEVE_BITS = 25
 _PAIR, _ALONE = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -185,9 +189,21 @@ def by_signature(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long").distinct()
 
 
+def sieved(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The ``rows`` whose node may be in ``nodes``: a bitmap of the nodes' hashes goes to all tasks, of a size that is bounded
+    however many they are; rows that it lets through by chance are few and no others are lost."""
+    place = lambda: F.pmod(F.xxhash64("node"), F.lit(1 << SIEVE_BITS))
+    bit = lambda: F.expr("shiftleft(1L, cast(sieve_place & 63 as int))")
+    bits = nodes.select("node").distinct().select(place().alias("sieve_place")).groupBy(F.shiftright("sieve_place", 6).alias("sieve_word")).agg(F.bit_or(bit()).alias("sieve_bits"))
+    placed = rows.withColumn("sieve_place", place()).withColumn("sieve_word", F.shiftright("sieve_place", 6))
+    return placed.join(F.broadcast(bits), "sieve_word").where(F.col("sieve_bits").bitwiseAND(bit()) != 0).select(*rows.columns)
+
+
 def sets_of(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, n: int) -> DataFrame:
     """node, set (its sorted shingle hashes) for the ids in ``nodes``; other documents aren't read into sets."""
-    wanted = docs.select(F.col(f"`{doc_id}`").cast("long").alias("node"), F.col(f"`{text}`").alias("text")).join(nodes.select("node").distinct(), "node", "left_semi")
+    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("node"), F.col(f"`{text}`").alias("text"))
+    # not a semi-join, which would be put below the sieve
+    wanted = sieved(texts, nodes).join(nodes.select("node").distinct(), "node")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_slices(batches):
@@ -224,7 +240,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, n: int, p
 
 
 def regions_of(trees: DataFrame, joined: DataFrame) -> DataFrame:
-    """Regions of adaptive depth with more than one component, dealt out in groups: tree, prefix, kind, i, j, node, component.
+    """Regions of adaptive depth with more than one component, dealt out in groups: tree, prefix, depth, kind, i, j, main, node,
+    component.
 
     A region's largest component is cut into blocks of about REGION rows, and so are the rows of all its others. Each block
     of the others meets each block of the largest (kind 0) and each block of the others (kind 1): every pair of different
@@ -239,7 +256,7 @@ def regions_of(trees: DataFrame, joined: DataFrame) -> DataFrame:
             .where("parts > 1").select("tree", "prefix", "members", "most")
         mixed = stage(rows.join(regions, ["tree", "prefix"]), f"regions-{depth}")
         ready = mixed if depth == DEPTH else mixed.where(F.col("members") <= REGION)
-        done.append(ready.select("tree", "prefix", "members", "most", "node", "component"))
+        done.append(ready.select("tree", "prefix", F.lit(depth).alias("depth"), "members", "most", "node", "component"))
         rows = mixed.where(F.col("members") > REGION).select("tree", "path", "node", "component")
     found = done[0]
     for more in done[1:]:
@@ -253,15 +270,24 @@ def regions_of(trees: DataFrame, joined: DataFrame) -> DataFrame:
     groups = F.when(F.col("main"), F.transform(every("small"), lambda j: group(0, F.col("own"), j))).otherwise(
         F.concat(F.transform(every("large"), lambda i: group(0, i, F.col("own"))),
                  F.transform(every("small"), lambda j: group(1, F.least(F.col("own"), j), F.greatest(F.col("own"), j)))))
-    return found.withColumn("g", F.explode(groups)).select("tree", "prefix", "g.kind", "g.i", "g.j", "main", "node", "component")
+    return found.withColumn("g", F.explode(groups)).select("tree", "prefix", "depth", "g.kind", "g.i", "g.j", "main", "node", "component")
 
 
 NONE = np.iinfo(np.int64).min
 GROUP = ("tree", "prefix", "kind", "i", "j")
 
 
-def candidates(comp: np.ndarray, main: np.ndarray, size: np.ndarray, minima: np.ndarray, first: bool, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Of a group's rows, sorted by size: a row's number, and those of the later rows of other components that may be similar."""
+def met_before(tree: int, paths: np.ndarray, depths: np.ndarray, own: int, others: np.ndarray) -> np.ndarray:
+    """Whether the region of an earlier tree holds a row and each of others."""
+    depth = depths[others, :tree]
+    apart = (paths[others, :tree] ^ paths[own, :tree]) >> _CUT[depth]
+    return ((depth > 0) & (depth == depths[own, :tree]) & (apart == 0)).any(axis=1)
+
+
+def candidates(comp: np.ndarray, main: np.ndarray, size: np.ndarray, minima: np.ndarray, first: bool, tree: int, paths: np.ndarray, depths: np.ndarray,
+               percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a group's rows, sorted by size: a row's number, and those of the later rows of other components that may be similar
+    and that it meets here first."""
     n = len(comp)
     ends = np.searchsorted(size, size * 100 // percent, side="right")  # sets beyond are too large to be similar
     for k in range(n - 1):
@@ -269,6 +295,8 @@ def candidates(comp: np.ndarray, main: np.ndarray, size: np.ndarray, minima: np.
         at = at[(comp[at] != comp[k]) & ((main[at] != main[k]) | (not first))]
         if len(at):
             at = at[(minima[at] == minima[k]).sum(axis=1, dtype=np.int16) >= AGREE]
+            if len(at) and tree:
+                at = at[~met_before(tree, paths, depths, k, at)]
             if len(at):
                 yield k, at
 
@@ -278,12 +306,16 @@ def each_group(bucket: pd.DataFrame) -> Iterator[tuple[np.ndarray, tuple]]:
     code = bucket.groupby(list(GROUP), sort=False).ngroup().to_numpy()
     order = np.lexsort((bucket["n"].to_numpy(), code))
     comp, main, size, kind = (bucket[c].to_numpy()[order] for c in ("component", "main", "n", "kind"))
-    minima = digits_of(np.stack(bucket["paths"].to_numpy()) if len(bucket) else np.zeros((0, TREES), np.int64))[order]
-    code = code[order]
+    paths = (np.stack(bucket["paths"].to_numpy()) if len(bucket) else np.zeros((0, TREES), np.int64))[order]
+    minima = digits_of(paths)
+    depths = np.zeros((len(bucket), TREES), np.int64)
+    for own, held in zip(depths, bucket["depths"].to_numpy()[order]):
+        own[np.asarray(held, np.int64) // (DEPTH + 1)] = np.asarray(held, np.int64) % (DEPTH + 1)
+    code, tree = code[order], bucket["tree"].to_numpy()[order]
     start = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
     for a, b in zip(start, np.append(start[1:], len(code))):
         if b - a > 1:
-            yield order[a:b], (comp[a:b], main[a:b], size[a:b], minima[a:b], kind[a] == 0)
+            yield order[a:b], (comp[a:b], main[a:b], size[a:b], minima[a:b], kind[a] == 0, int(tree[a]), paths[a:b], depths[a:b])
 
 
 def in_buckets(rows: DataFrame, per_bucket: int) -> DataFrame:
@@ -298,8 +330,10 @@ def region_links(trees: DataFrame, reps: DataFrame, joined: DataFrame, docs: Dat
     The groups are read twice: first with signatures only, which leaves the rows that have a candidate; then those meet
     again with their full sets. So what is written grows with the rows, however many pairs are near the bound.
     """
-    short = reps.select("node", "n", "paths")
     met = stage(regions_of(trees, joined), "regions")
+    # the depth of a class's region in each tree
+    held = met.groupBy("node").agg(F.collect_set((F.col("tree") * (DEPTH + 1) + F.col("depth")).cast("int")).alias("depths"))
+    short = stage(reps.select("node", "n", "paths").join(held, "node"), "region-classes")
     columns = [*GROUP, "main", "node", "component"]
     kinds = "tree byte, prefix long, kind int, i int, j int, main boolean, node long, component long"
 
@@ -311,7 +345,7 @@ def region_links(trees: DataFrame, reps: DataFrame, joined: DataFrame, docs: Dat
                 hit[rows[at]] = True
         return bucket.loc[hit, columns]
 
-    left = in_buckets(met, 20_000).join(short, "node").groupBy("bucket").applyInPandas(keep, kinds)
+    left = in_buckets(met.select(columns), 20_000).join(short, "node").groupBy("bucket").applyInPandas(keep, kinds)
     left = stage(left, "region-rows")
     sets = stage(sets_of(docs, left, text, doc_id, n), "region-sets")
 

@@ -246,6 +246,33 @@ def test_common_prefixes_of_the_merge():
         assert common[k] == same
 
 
+def test_sets_are_made_of_sieved_texts(spark):
+    rows = spark.range(3000).withColumnRenamed("id", "node").selectExpr("node", "'text' as text")
+    wanted = rows.where("node % 100 = 7 and node < 2500").select("node")
+    left = {r["node"] for r in neardup.sieved(rows, wanted.unionByName(wanted)).collect()}
+    assert left >= set(range(7, 2500, 100)) and len(left) < 40
+    assert neardup.sieved(rows, wanted.where("false")).count() == 0
+
+
+def test_a_pair_meets_in_one_region(spark, monkeypatch):
+    # 40 pairs of a similarity of about 0.72: candidates in most trees, no links
+    table = []
+    for k in range(40):
+        for half in (0, 1):
+            table.append((2 * k + half + 1, " ".join([f"w{k}x{j}" for j in range(180)] + [f"o{k}y{half}z{j}" for j in range(35)])))
+    table.append((101, table[0][1] + " more"))
+    kept, write = {}, neardup.stage
+
+    def stage(df, name):
+        kept[name] = write(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(neardup, "stage", stage)
+    out = neardup.near_duplicates(spark.createDataFrame(table, "doc_id long, text string"), n=1).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == {i: 1 if i == 101 else i for i, _ in table}
+    assert 40 < kept["region-rows"].count() <= 2 * 42
+
+
 def test_representatives_are_exchanged_without_a_table(spark, monkeypatch):
     table = [(k, f"{'shared words of two texts ' * 3}{k} {'own ' * k}") for k in range(1, 9)]
     named, write = [], repeats.stage
