@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_table, mapped, split_words, stage, text_slices
+from .common import lower_table, mapped, row_of, split_words, stage, text_slices
 
 HEAD = 200_000
 HEAD_COUNT = 4  # rarer words stay outside of the head: how often they are new tells how likely unknown words are
@@ -59,19 +59,31 @@ def training(docs: DataFrame) -> DataFrame:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word, c over all texts; tasks send sums of up to FLUSH words at a time."""
+    """word, c over all texts; tasks send sums of FLUSH words or more at a time.
+
+    Slices' counts are summed once they have twice FLUSH rows, not slice by slice, and by the words' codes.
+    """
+
+    def summed(held: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
+        if len(held) == 1:
+            return held[0]
+        coded = pa.concat_arrays([words for words, _ in held]).dictionary_encode()
+        c = np.bincount(coded.indices.to_numpy(zero_copy_only=False), np.concatenate([c for _, c in held]), len(coded.dictionary))
+        return coded.dictionary, c.astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held = []
         for _, texts in text_slices(batches):
             seen = words_of(texts)[0].value_counts()
-            part = pa.table({"word": seen.field("values").cast(pa.large_string()), "c": seen.field("counts")})
-            held = part if held is None else pa.concat_tables([held, part]).group_by("word").aggregate([("c", "sum")]).rename_columns(["word", "c"])
-            if held.num_rows > FLUSH:
-                yield from held.cast(pa.schema([("word", pa.string()), ("c", pa.int64())])).combine_chunks().to_batches()
-                held = None
-        if held is not None:
-            yield from held.cast(pa.schema([("word", pa.string()), ("c", pa.int64())])).combine_chunks().to_batches()
+            held.append((seen.field("values").cast(pa.large_string()), seen.field("counts").to_numpy()))
+            if sum(len(c) for _, c in held) > 2 * FLUSH:
+                held = [summed(held)]
+                if len(held[0][1]) > FLUSH:
+                    words, c = held.pop()
+                    yield pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(c, pa.int64())], names=["word", "c"])
+        if held:
+            words, c = summed(held)
+            yield pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(c, pa.int64())], names=["word", "c"])
 
     return docs.select("text").mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -171,6 +183,15 @@ def group_words(vectors: np.ndarray, counts: np.ndarray, groups: int) -> np.ndar
     return own
 
 
+def counted_by_row(words: pa.Array, offsets: np.ndarray) -> pa.Array:
+    """Each row's distinct words with their number, as lists of (word, n)."""
+    coded = words.dictionary_encode()
+    kinds = max(1, len(coded.dictionary))
+    key, n = np.unique(row_of(offsets) * kinds + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    ends = np.searchsorted(key, np.arange(len(offsets)) * kinds).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([coded.dictionary.take(pa.array(key % kinds)).cast(pa.string()), pa.array(n, pa.int64())], names=["word", "n"]))
+
+
 class Model:
     """The head's classes and the two weight tables. Class 0 is the end token, class 1 all words outside of the head."""
 
@@ -269,7 +290,7 @@ class Model:
         order = np.argsort(flat.astype(np.uint16), kind="stable")
         ranked = flat[order]
         at = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        order %= len(wrong)
+        order = np.tile(np.arange(len(wrong)), len(rows)).take(order)
         times = np.diff(np.append(at, len(ranked)))
         for n in range(1, FEW + 1):
             first = at[times == n]
@@ -399,20 +420,19 @@ def score(docs: DataFrame, head_words: int = HEAD, rounds: int = 3, rate: float
             known = inside if ends else inside & (t.ids != t.end)
             cut = [np.add.reduceat(x, t.off[:-1]) if len(t.off) > 1 else x[:0] for x in (lp, base, known.astype(np.int64))]
             missing = ~inside[t.at]
-            left = np.concatenate([[0], np.cumsum(missing)])[t.word_off].astype(np.int32)
-            others = pa.ListArray.from_arrays(pa.array(left), t.words.filter(pa.array(missing)).cast(pa.string()))
+            others = counted_by_row(t.words.filter(pa.array(missing)), np.concatenate([[0], np.cumsum(missing)])[t.word_off])
             yield pa.RecordBatch.from_arrays([rows.column("row"), rows.column("doc_id"), pa.array(is_held_out(rows.column("doc_id"))), pa.array(np.diff(t.off)),
                                               pa.array(cut[0]), pa.array(cut[1]), pa.array(cut[2]), others],
                                              names=["row", "doc_id", "held_out", "n_tokens", "score", "base", "known", "others"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = stage(docs.withColumn("row", F.monotonically_increasing_id())
-                   .mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, score double, base double, known long, others array<string>"), "scored")
+                   .mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, score double, base double, known long, others array<struct<word:string,n:long>>"), "scored")
     # words outside of the head: none has a large share of all words, as the head holds those
     c = F.coalesce("c", F.lit(0))
     unknown = max(1e-12, discount * out_kinds / outside) if outside else 1.0
     p = F.when(c > 0, (c - discount) / float(max(outside, 1))).otherwise(unknown)
-    met = scored.select("row", F.explode("others").alias("word")).groupBy("row", "word").agg(F.count("*").alias("n")) \
+    met = scored.select("row", F.inline("others")) \
         .join(rest, "word", "left") \
         .groupBy("row").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * F.log10(c + 1)).alias("out_base"),
                             F.sum(F.col("n") * F.log10(p)).alias("out_score"))

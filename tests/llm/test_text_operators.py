@@ -4,11 +4,14 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sectional.llm import cascade, html_text, licenses, maxent, packing
+from sectional.llm.common import text_slices
 from sectional.llm.queries import added_tokens, ranks_path
 
 from .corpus import documents, lower, nothing, rows, words
@@ -91,6 +94,41 @@ def test_a_step_sums_the_tokens_of_each_row(monkeypatch):
     assert sum(one_by_one) < 200  # only the rows of many tokens; all 1,460 before
 
 
+def test_word_counts_are_summed_now_and_then(spark, monkeypatch):
+    monkeypatch.setattr(maxent, "FLUSH", 40)
+    monkeypatch.setattr(maxent, "text_slices", lambda batches: text_slices(batches, max_bytes=60))
+    texts = [" ".join(f"w{(i * j) % (31 + i)}" for j in range(12)) for i in range(200)] + [None, "", "A a"]
+    sent, sums, concat = {}, [], pa.concat_arrays
+
+    class Docs:  # takes the task's function, which runs here
+        groupBy = agg = lambda self, *a: self
+        select = lambda self, *a: self
+
+        def mapInArrow(self, function, schema):
+            sent["run"] = function
+            return self
+
+    monkeypatch.setattr(maxent, "pa", SimpleNamespace(**{**vars(pa), "concat_arrays": lambda held: sums.append(len(held)) or concat(held)}))
+    maxent.word_counts(Docs())
+    got = list(sent["run"](iter(pa.RecordBatch.from_pydict({"text": pa.array(texts[a:a + 10], pa.string())}) for a in range(0, len(texts), 10))))
+    want, found = Counter(w for t in texts for w in (t or "").lower().split()), Counter()
+    for b in got:
+        found.update(dict(zip(b.column("word").to_pylist(), b.column("c").to_pylist())))
+    assert found == want and all(b.num_rows > 40 for b in got[:-1])
+    assert 0 < len(sums) < len(texts) / 4  # before, each slice was summed with those before it
+
+
+def test_other_words_are_counted_by_row(spark):
+    rows = [["b", "a", "b"], [], ["b", "c" * 70, "b", "b"], []]
+    out = maxent.counted_by_row(pa.array([w for r in rows for w in r], pa.large_string()), np.cumsum([0, *map(len, rows)]))
+    assert [{x["word"]: x["n"] for x in r} for r in out.to_pylist()] == [Counter(r) for r in rows]
+    assert maxent.counted_by_row(pa.array([], pa.large_string()), np.array([0, 0])).to_pylist() == [[]]
+    # only a row's own words are put together; no shuffle by row and word
+    scored = maxent.score(documents(spark), head_words=40, rounds=1)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and "Aggregate [row" in plan and not re.search(r"Aggregate \[row#\d+L?, word#", plan)
+
+
 def test_learning_raises_the_likelihood():
     import pyarrow as pa
 
