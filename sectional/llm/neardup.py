@@ -239,6 +239,33 @@ def confirm(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, n: int, p
     return both.mapInArrow(check, "a long, b long").distinct()
 
 
+def regions_at(sizes: DataFrame) -> DataFrame:
+    """The prefixes with more than one component: tree, prefix, members and the largest component, from its rows' number in each."""
+    return sizes.groupBy("tree", "prefix").agg(F.sum("n").alias("members"), F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts")) \
+        .where("parts > 1").select("tree", "prefix", "members", "most")
+
+
+def deeper_regions(rows: DataFrame) -> DataFrame:
+    """The regions below MIN_DEPTH of rows in larger ones: tree, depth, prefix, members, most.
+
+    They follow from counts alone, so no row is joined to a region that is cut further.
+    """
+    sizes = stage(rows.groupBy("tree", F.col("path").alias("prefix"), "component").agg(F.count("*").alias("n")), "region-sizes")
+    found, cut = [], None
+    for depth in range(MIN_DEPTH + 1, DEPTH + 1):
+        own = sizes.groupBy("tree", prefix("prefix", depth).alias("prefix"), "component").agg(F.sum("n").alias("n"))
+        regions = regions_at(own)
+        if cut is not None:  # what is in a region that is small enough already is none of its own
+            regions = regions.withColumn("above", F.shiftright("prefix", BITS)).join(cut, ["tree", "above"], "left_semi").drop("above")
+        regions = stage(regions, f"regions-{depth}")
+        cut = regions.where(F.col("members") > REGION).select("tree", F.col("prefix").alias("above"))
+        found.append((regions if depth == DEPTH else regions.where(F.col("members") <= REGION)).withColumn("depth", F.lit(depth)))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def regions_of(trees: DataFrame, joined: DataFrame) -> DataFrame:
     """Regions of adaptive depth with more than one component, dealt out in groups: tree, prefix, depth, kind, i, j, main, node,
     component.
@@ -247,20 +274,16 @@ def regions_of(trees: DataFrame, joined: DataFrame) -> DataFrame:
     of the others meets each block of the largest (kind 0) and each block of the others (kind 1): every pair of different
     components meets, rows of the largest don't meet each other.
     """
-    rows = trees.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    done = []
-    for depth in range(MIN_DEPTH, DEPTH + 1):
-        rows = rows.withColumn("prefix", prefix("path", depth))
-        sizes = rows.groupBy("tree", "prefix", "component").agg(F.count("*").alias("n"))
-        regions = sizes.groupBy("tree", "prefix").agg(F.sum("n").alias("members"), F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts")) \
-            .where("parts > 1").select("tree", "prefix", "members", "most")
-        mixed = stage(rows.join(regions, ["tree", "prefix"]), f"regions-{depth}")
-        ready = mixed if depth == DEPTH else mixed.where(F.col("members") <= REGION)
-        done.append(ready.select("tree", "prefix", F.lit(depth).alias("depth"), "members", "most", "node", "component"))
-        rows = mixed.where(F.col("members") > REGION).select("tree", "path", "node", "component")
-    found = done[0]
-    for more in done[1:]:
-        found = found.unionByName(more)
+    rows = stage(trees.join(joined, "node", "left").select("tree", "path", "node", F.coalesce("component", "node").alias("component")), "forest")
+    first = regions_at(rows.groupBy("tree", prefix("path", MIN_DEPTH).alias("prefix"), "component").agg(F.count("*").alias("n")))
+    met = stage(rows.withColumn("prefix", prefix("path", MIN_DEPTH)).join(first, ["tree", "prefix"]), "regions-met")
+    columns = ["tree", "prefix", "depth", "members", "most", "node", "component"]
+    ready = met.where(F.col("members") <= REGION).withColumn("depth", F.lit(MIN_DEPTH)).select(columns)
+    # a row of a larger region looks all deeper prefixes up at one time, of which one is its region's
+    crowded = met.where(F.col("members") > REGION)
+    deeper = crowded.select("tree", "path", "node", "component", F.explode(F.sequence(F.lit(MIN_DEPTH + 1), F.lit(DEPTH))).alias("depth")) \
+        .withColumn("prefix", F.expr(f"shiftright(path, {BITS} * ({DEPTH} - depth))"))
+    found = ready.unionByName(deeper.join(deeper_regions(crowded), ["tree", "depth", "prefix"]).select(columns))
     large, small = F.ceil(F.col("most.n") / REGION).cast("int"), F.ceil((F.col("members") - F.col("most.n")) / REGION).cast("int")
     found = found.withColumn("large", large).withColumn("small", small).withColumn("main", F.col("component") == F.col("most.component"))
     own = F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("large")).otherwise(F.col("small"))).cast("int")

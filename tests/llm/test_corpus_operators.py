@@ -1,6 +1,7 @@
 """Fixity audit, neighbours, mixing, near duplicates, repeated passages and the pipeline against brute force."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import duckdb
@@ -273,6 +274,40 @@ def test_a_pair_meets_in_one_region(spark, monkeypatch):
     assert 40 < kept["region-rows"].count() <= 2 * 42
 
 
+def test_a_row_meets_its_region_once(spark, monkeypatch):
+    # large regions are cut by counts: no row is written again for each depth
+    rng = random.Random(3)
+    monkeypatch.setattr(neardup, "REGION", 4)
+    path = lambda digits: sum(d << neardup.BITS * (neardup.DEPTH - 1 - k) for k, d in enumerate(digits))
+    trees = {(t, n): [rng.choice([5, 5, 5, 5, 9, 1023]) for _ in range(neardup.DEPTH)] for t in range(3) for n in range(90)}
+    joined = {n: n - n % 7 for n in range(70)}
+    want, groups = set(), {}
+    for (t, n), digits in trees.items():
+        for depth in range(neardup.MIN_DEPTH, neardup.DEPTH + 1):
+            groups.setdefault((t, tuple(digits[:depth])), []).append(n)
+    for (t, n), digits in trees.items():
+        for depth in range(neardup.MIN_DEPTH, neardup.DEPTH + 1):
+            own = groups[t, tuple(digits[:depth])]
+            if len(own) <= neardup.REGION or depth == neardup.DEPTH:
+                parts = Counter(joined.get(x, x) for x in own)
+                if len(parts) > 1:
+                    want.add((t, n, depth, joined.get(n, n), joined.get(n, n) == max(parts, key=lambda c: (parts[c], c))))
+                break
+    assert len({w[2] for w in want}) == neardup.DEPTH - neardup.MIN_DEPTH + 1
+    written, write = [], neardup.stage
+
+    def stage(df, name):
+        out = write(df, name)
+        written.append(out.count() if "node" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(neardup, "stage", stage)
+    rows = spark.createDataFrame([(t, path(digits), n) for (t, n), digits in trees.items()], "tree byte, path long, node long")
+    out = neardup.regions_of(rows, spark.createDataFrame(list(joined.items()), "node long, component long"))
+    assert {(r["tree"], r["node"], r["depth"], r["component"], r["main"]) for r in out.collect()} == want
+    assert sum(written) <= 2 * len(trees)
+
+
 def test_representatives_are_exchanged_without_a_table(spark, monkeypatch):
     table = [(k, f"{'shared words of two texts ' * 3}{k} {'own ' * k}") for k in range(1, 9)]
     named, write = [], repeats.stage
