@@ -42,8 +42,10 @@ GROUPS = 8
 BATCH = 4096
 SCORED = 1024  # tokens scored at one time: their rows stay in a core's cache
 BLOCKS = 64
-FEW = 8  # a row's tokens in a batch up to which it is summed together with others
+FEW = 8  # a row's tokens in a batch up to which it is summed together with others, token by token
+SOME = 129  # the same in eight sums at a time
 FLUSH = 300_000
+LOOKED_UP = 16 << 20  # bytes of texts whose words are looked up in the head together
 
 
 def is_held_out(ids: pa.Array) -> np.ndarray:
@@ -104,13 +106,44 @@ class Tokens:
     """A slice of texts as head ids: ``ids`` with one end token a text; OUT (not in the head) = len(head) + 1, BEGIN one more."""
 
     def __init__(self, texts: pa.Array, head: pa.Array):
-        self.words, off = words_of(texts)
-        found = pc.index_in(self.words, value_set=head)
+        words, off = words_of(texts)
+        self._fill(words, off, self._places([words], head), head)
+
+    @classmethod
+    def slices(cls, batches: Iterator[pa.RecordBatch], head: pa.Array) -> Iterator[tuple[pa.RecordBatch, Tokens]]:
+        """The batches' slices with their tokens. Each lookup hashes the whole head, so that several slices share one."""
+        held, size = [], 0
+        for rows, texts in text_slices(batches):
+            held.append((rows, *words_of(texts)))
+            size += texts.nbytes
+            if size >= LOOKED_UP:
+                yield from cls._together(held, head)
+                held, size = [], 0
+        if held:
+            yield from cls._together(held, head)
+
+    @classmethod
+    def _together(cls, held: list[tuple[pa.RecordBatch, pa.Array, np.ndarray]], head: pa.Array) -> Iterator[tuple[pa.RecordBatch, Tokens]]:
+        places, a = cls._places([words for _, words, _ in held], head), 0
+        for rows, words, off in held:
+            t = cls.__new__(cls)
+            t._fill(words, off, places[a:a + len(words)], head)
+            a += len(words)
+            yield rows, t
+
+    @staticmethod
+    def _places(words: list[pa.Array], head: pa.Array) -> np.ndarray:
+        """The words' places in the head, OUT for words outside of it."""
+        found = pc.index_in(pa.chunked_array(words, pa.large_string()), value_set=head)
+        return pc.fill_null(found, len(head) + 1).to_numpy()
+
+    def _fill(self, words: pa.Array, off: np.ndarray, places: np.ndarray, head: pa.Array) -> None:
+        self.words = words
         self.end, self.out, self.begin = len(head), len(head) + 1, len(head) + 2
-        n, rows = len(self.words), len(texts)
+        n, rows = len(words), len(off) - 1
         at = np.arange(n) + np.repeat(np.arange(rows), np.diff(off))
         self.ids = np.full(n + rows, self.end, np.int64)
-        self.ids[at] = pc.fill_null(found, self.out).to_numpy(zero_copy_only=False)
+        self.ids[at] = places
         self.at = at
         self.off = off + np.arange(rows + 1)
         self.word_off = off
@@ -119,8 +152,8 @@ class Tokens:
         """The id k places before each token, BEGIN where the text begins later."""
         out = np.full(len(self.ids), self.begin, np.int64)
         out[k:] = self.ids[:-k] if k else self.ids
-        first = np.repeat(self.off[:-1], np.diff(self.off))
-        out[np.arange(len(self.ids)) - first < k] = self.begin
+        for j in range(k):  # each text's first k tokens; a text has one at least
+            out[np.minimum(self.off[:-1] + j, self.off[1:] - 1)] = self.begin
         return out
 
 
@@ -131,16 +164,14 @@ def company(docs: DataFrame, head) -> np.ndarray:
     per = -(-size // BLOCKS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((size, wide), np.float32)
+        total = np.zeros((size, wide), np.int32)
         flat = total.reshape(-1)
-        for _, texts in text_slices(batches):
-            t = Tokens(texts, head.value)
+        for _, t in Tokens.slices(batches, head.value):
             for k in range(1, 5):
                 before = t.before(k)
                 for left, right in ((before, t.ids), (t.ids, before)):
-                    hit = right < wide
-                    key, n = np.unique(left[hit] * wide + right[hit], return_counts=True)
-                    flat[key] += n
+                    hit = np.flatnonzero(right < wide)
+                    np.add.at(flat, left.take(hit) * wide + right.take(hit), np.ones(len(hit), np.int32))
         for b in range(BLOCKS):
             part = total[b * per:(b + 1) * per]
             if part.any():
@@ -248,7 +279,8 @@ class Model:
     @staticmethod
     def _exp(logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The softmax before its division (in place), and what to divide by."""
-        logit -= logit.max(axis=1, keepdims=True)
+        first = np.arange(0, logit.size, logit.shape[1])
+        logit -= logit.ravel().take(first + logit.argmax(axis=1))[:, None]  # faster than max over short rows
         np.exp(logit, out=logit)
         return logit, logit.sum(axis=1, keepdims=True)
 
@@ -262,29 +294,37 @@ class Model:
 
     def log_p(self, t: Tokens) -> np.ndarray:
         """Natural log probability of each token (of its class, for words outside of the head)."""
-        out = np.empty(len(t.ids))
         rows = self.features(t).T  # a feature's rows one after the other
-        for a in range(0, len(out), SCORED):
-            ids, r = t.ids[a:a + SCORED], rows[:, a:a + SCORED]
-            k = self.klass[ids]
-            p, total = self._exp(self._sum_rows(self.w[0], r, self.bias))
-            value = np.log(np.maximum(p[np.arange(len(ids)), k] / total[:, 0], 1e-30, dtype=np.float64))
-            narrow = self.narrow[k]
-            inside = np.flatnonzero(narrow)
-            if len(inside):
-                ki = k[inside]
-                p, total = self._exp(self._sum_rows(self.w[1], self.inner_features(r[:, inside], ki), self.inner[ki]))
-                value[inside] += np.log(np.maximum(p[np.arange(len(inside)), self.place[ids[inside]]] / total[:, 0], 1e-30, dtype=np.float64))
-            plain = ~narrow
-            value[plain] += np.where(ids[plain] == t.out, 0.0, self.frequency[np.minimum(ids[plain], self.n + 1)])
-            out[a:a + SCORED] = value
+        k = self.klass.take(t.ids)
+        out = self._log_share(self.w[0], rows, None, k)
+        narrow = self.narrow.take(k)
+        inside = np.flatnonzero(narrow)
+        if len(inside):
+            ki = k.take(inside)
+            out[inside] += self._log_share(self.w[1], rows.take(inside, axis=1), ki, self.place.take(t.ids.take(inside)))
+        plain = np.flatnonzero(~narrow)
+        ids = t.ids.take(plain)
+        out[plain] += np.where(ids == t.out, 0.0, self.frequency.take(np.minimum(ids, self.n + 1)))
         return out
 
+    def _log_share(self, table: np.ndarray, rows: np.ndarray, klass: np.ndarray | None, true: np.ndarray) -> np.ndarray:
+        """Log of the softmax at ``true``: over the classes, or over the words of each token's class."""
+        share = np.empty(len(true), np.float32)
+        for a in range(0, len(true), SCORED):
+            r, bias = rows[:, a:a + SCORED], self.bias
+            if klass is not None:
+                own = klass[a:a + SCORED]
+                r, bias = self.inner_features(r, own), self.inner.take(own, axis=0)
+            p, total = self._exp(self._sum_rows(table, r, bias))
+            at = np.arange(0, p.size, p.shape[1]) + true[a:a + SCORED]
+            share[a:a + SCORED] = p.ravel().take(at) / total[:, 0]
+        return np.log(np.maximum(share, 1e-30, dtype=np.float64))
+
     def _step(self, table: int, rows: np.ndarray, wrong: np.ndarray, seen: np.ndarray, rate: float) -> None:
         """AdaGrad on the rows of a batch: a row's gradient is the sum over the tokens that have it.
 
-        Rows with the same few tokens are summed together, token by token; only frequent rows are summed one by one. Each
-        sum has the order that ``np.add.reduceat`` has.
+        Rows with the same few tokens are summed together, token by token, those with more by eights; only the most frequent
+        rows are summed one by one. Each sum has the order that ``np.add.reduceat`` has.
         """
         flat = rows.ravel()
         order = np.argsort(flat.astype(np.uint16), kind="stable")
@@ -301,16 +341,45 @@ class Model:
                 if n > 1:
                     grad += wrong.take(order[first], axis=0)
                 self._move(table, ranked[first], grad, seen, rate)
-        often = times > FEW
+        some = np.flatnonzero((times > FEW) & (times <= SOME))
+        if len(some):
+            first = at[some]
+            grad = self._in_lanes(wrong, order, first + 1, times[some] - 1)
+            grad += wrong.take(order[first], axis=0)
+            self._move(table, ranked[first], grad, seen, rate)
+        often = times > SOME
         if often.any():
             first, own = at[often], times[often]
             start = np.cumsum(own) - own
             grad = np.add.reduceat(wrong.take(order[np.repeat(often, times)], axis=0), start, axis=0)
             self._move(table, ranked[first], grad, seen, rate)
 
+    @staticmethod
+    def _in_lanes(wrong: np.ndarray, order: np.ndarray, first: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """For each row the sum of its 8 to 128 tokens, whose numbers stand in ``order`` from ``first`` on: eight sums, each of
+        every eighth token, for all rows at once; then these, then the tokens left over."""
+        by = np.argsort(-(times // 8), kind="stable")  # rows that still have eights come first
+        first, eights, left = first[by], times[by] // 8, times[by] % 8
+        at = first[:, None] + np.arange(8)
+        lanes = wrong.take(order[at], axis=0)
+        for k in range(1, int(eights[0])):
+            n = int(np.searchsorted(-eights, -k))
+            lanes[:n] += wrong.take(order[at[:n] + 8 * k], axis=0)
+        lanes = lanes[:, 0::2] + lanes[:, 1::2]
+        lanes = lanes[:, 0::2] + lanes[:, 1::2]
+        out = lanes[:, 0] + lanes[:, 1]
+        for k in range(int(left.max())):
+            more = np.flatnonzero(left > k)
+            out[more] += wrong.take(order[first[more] + 8 * eights[more] + k], axis=0)
+        back = np.empty_like(out)
+        back[by] = out
+        return back
+
     def _move(self, table: int, which: np.ndarray, grad: np.ndarray, seen: np.ndarray, rate: float) -> None:
-        seen[which] += np.einsum("ij,ij->i", grad, grad) / grad.shape[1]
-        grad *= (rate / np.sqrt(seen[which]))[:, None]
+        now = seen.take(which)
+        now += np.einsum("ij,ij->i", grad, grad) / grad.shape[1]
+        seen[which] = now
+        grad *= (rate / np.sqrt(now))[:, None]
         grad += self.w[table].take(which, axis=0)
         self.w[table][which] = grad
 
@@ -320,21 +389,23 @@ class Model:
         for a in range(0, len(t.ids), BATCH):
             ids, r = t.ids[a:a + BATCH], rows[:, a:a + BATCH]
             k = self.klass[ids]
-            p = self._wrong(self._sum_rows(self.w[0], r, self.bias), k)
+            p = self._wrong(self.w[0], r, None, k)
             inside = np.flatnonzero(self.narrow[k])
             if len(inside):
                 ki = k[inside]
-                ri = self.inner_features(r[:, inside], ki)
-                q = self._wrong(self._sum_rows(self.w[1], ri, self.inner[ki]), self.place[ids[inside]])
+                ri = self.inner_features(r.take(inside, axis=1), ki)
+                q = self._wrong(self.w[1], ri, ki, self.place[ids[inside]])
                 self._step(1, ri, q, seen[1], rate)
             self._step(0, r, p, seen[0], rate)
 
-    def _wrong(self, logit: np.ndarray, true: np.ndarray) -> np.ndarray:
+    def _wrong(self, table: np.ndarray, rows: np.ndarray, klass: np.ndarray | None, true: np.ndarray) -> np.ndarray:
         """What the probabilities lack: the gradient of the log probability."""
-        p, total = self._exp(logit)
-        p /= -total
-        p[np.arange(len(true)), true] += 1
-        return p
+        out = np.empty((len(true), table.shape[1]), np.float32)
+        for a in range(0, len(true), SCORED):
+            p, total = self._exp(self._sum_rows(table, rows[:, a:a + SCORED], self.bias if klass is None else self.inner.take(klass[a:a + SCORED], axis=0)))
+            np.divide(p, -total, out=out[a:a + SCORED])
+        out.ravel()[np.arange(0, out.size, out.shape[1]) + true] += 1
+        return out
 
 
 def train(docs: DataFrame, model: Model, head, rounds: int, rate: float) -> None:
@@ -354,12 +425,11 @@ def train(docs: DataFrame, model: Model, head, rounds: int, rate: float) -> None
             import copy
 
             own, tokens = None, 0
-            for _, texts in text_slices(batches):
+            for _, t in Tokens.slices(batches, head.value):
                 if own is None:
                     own = copy.copy(now.value)
                     own.w = [w.copy() for w in now.value.w]
                     seen = np.full((2, ROWS), 1.0, np.float32)
-                t = Tokens(texts, head.value)
                 tokens += len(t.ids)
                 own.learn(t, seen, rate)
             for table in range(2 if own is not None else 0):
@@ -412,8 +482,7 @@ def score(docs: DataFrame, head_words: int = HEAD, rounds: int = 3, rate: float
     log_c = np.log10(np.concatenate([counts, [ends]]) + 1.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in text_slices(batches):
-            t = Tokens(texts, head.value)
+        for rows, t in Tokens.slices(batches, head.value):
             lp = final.value.log_p(t) / np.log(10)
             inside = t.ids != t.out
             base = np.where(inside, log_c[np.minimum(t.ids, t.end)], 0.0)

@@ -129,6 +129,69 @@ def test_other_words_are_counted_by_row(spark):
     assert "Generate" in plan and "Aggregate [row" in plan and not re.search(r"Aggregate \[row#\d+L?, word#", plan)
 
 
+def test_rows_of_some_tokens_are_summed_by_eights(monkeypatch):
+    rng = np.random.default_rng(6)
+    model = maxent.Model(np.full(20, 150), 1, 1, np.zeros(20, int))
+    rows = rng.permutation(np.repeat(np.arange(150), np.arange(150) + 1)[:11320]).reshape(5, -1)  # rows of 1 to 150 tokens
+    wrong = rng.normal(0, 1, (rows.shape[1], maxent.CLASSES)).astype(np.float32)
+    flat = rows.ravel()
+    order = np.argsort(flat, kind="stable")
+    which, at = np.unique(flat[order], return_index=True)
+    grad = np.add.reduceat(wrong[order % len(wrong)], at, axis=0)
+    want, moved = np.full(maxent.ROWS, 1.0, np.float32), np.zeros_like(model.w[0])
+    want[which] += np.einsum("ij,ij->i", grad, grad) / grad.shape[1]
+    moved[which] += grad * (0.3 / np.sqrt(want[which]))[:, None]
+    add, one_by_one = np.add, []
+    reduceat = lambda x, *a, **k: one_by_one.append(len(x)) or add.reduceat(x, *a, **k)
+    monkeypatch.setattr(maxent, "np", SimpleNamespace(**{**vars(np), "add": SimpleNamespace(reduceat=reduceat)}))
+    seen = np.full(maxent.ROWS, 1.0, np.float32)
+    model._step(0, rows, wrong, seen, 0.3)
+    assert (seen == want).all() and (model.w[0] == moved).all()
+    assert 0 < sum(one_by_one) < 3000  # rows of over 129 tokens; all of over 8 before, 11,284
+
+
+def test_slices_share_a_lookup(monkeypatch):
+    texts = [" ".join(f"w{(i * j) % (31 + i)}" for j in range(12)) for i in range(200)] + [None, "", "A a", " ", "w1"]
+    head = pa.array([f"w{k}" for k in range(60)] + ["a"], pa.large_string())
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts[a:a + 10], pa.string())}) for a in range(0, len(texts), 10)]
+    monkeypatch.setattr(maxent, "text_slices", lambda batches: text_slices(batches, max_bytes=60))
+    lookups, pc = [], maxent.pc
+    monkeypatch.setattr(maxent, "pc", SimpleNamespace(**{**vars(pc), "index_in": lambda *a, **k: lookups.append(1) or pc.index_in(*a, **k)}))
+    sent = {}
+
+    class Docs:  # takes the task's function, which runs here
+        groupBy = applyInPandas = select = lambda self, *a: self
+        toLocalIterator = lambda self: []
+
+        def mapInArrow(self, function, schema):
+            sent["run"] = function
+            return self
+
+    maxent.company(Docs(), SimpleNamespace(value=head))
+    wide, size = maxent.COMPANY, len(head) + 3
+    got = np.zeros((maxent.BLOCKS, -(-size // maxent.BLOCKS) * wide))
+    for b in sent["run"](iter(batches)):
+        for block, at, n in zip(*(b.column(c).to_pylist() for c in ("block", "at", "n"))):
+            got[block, np.frombuffer(at, "<u4")] += np.frombuffer(n, "<f4")
+    place, want = {w: k for k, w in enumerate(head.to_pylist())}, np.zeros((size, wide))
+    for t in texts:
+        ids = [size - 1] * 4 + [place.get(w, len(head) + 1) for w in lower(t).split()] + [len(head)]
+        for i in range(4, len(ids)):
+            for k in range(1, 5):
+                for a, b in ((ids[i - k], ids[i]), (ids[i], ids[i - k])):
+                    if b < wide:
+                        want[a, b] += 1
+    assert (got.reshape(-1, wide)[:size] == want).all()
+    assert len(lookups) == 1  # before, the head was hashed again for each slice
+    monkeypatch.setattr(maxent, "LOOKED_UP", 200)
+    slices = list(maxent.Tokens.slices(iter(batches), head))
+    assert 1 < len(lookups) - 1 < len(slices)
+    for rows, t in slices:
+        alone = maxent.Tokens(pa.array([x or "" for x in rows.column("text").to_pylist()], pa.large_string()), head)
+        assert t.words.equals(alone.words) and (t.ids == alone.ids).all() and (t.off == alone.off).all()
+        assert (t.at == alone.at).all() and (t.word_off == alone.word_off).all()
+
+
 def test_learning_raises_the_likelihood():
     import pyarrow as pa
 
