@@ -42,8 +42,7 @@ GROUPS = 8
 BATCH = 4096
 SCORED = 1024  # tokens scored at one time: their rows stay in a core's cache
 BLOCKS = 64
-FEW = 8  # a row's tokens in a batch up to which it is summed together with others, token by token
-SOME = 129  # the same in eight sums at a time
+FEW = 8  # a row's tokens in a batch up to which it is summed together with others
 FLUSH = 300_000
 LOOKED_UP = 16 << 20  # bytes of texts whose words are looked up in the head together
 
@@ -323,8 +322,8 @@ class Model:
     def _step(self, table: int, rows: np.ndarray, wrong: np.ndarray, seen: np.ndarray, rate: float) -> None:
         """AdaGrad on the rows of a batch: a row's gradient is the sum over the tokens that have it.
 
-        Rows with the same few tokens are summed together, token by token, those with more by eights; only the most frequent
-        rows are summed one by one. Each sum has the order that ``np.add.reduceat`` has.
+        Rows with the same few tokens are summed together, token by token; only frequent rows are summed one by one. Each
+        sum has the order that ``np.add.reduceat`` has.
         """
         flat = rows.ravel()
         order = np.argsort(flat.astype(np.uint16), kind="stable")
@@ -341,45 +340,16 @@ class Model:
                 if n > 1:
                     grad += wrong.take(order[first], axis=0)
                 self._move(table, ranked[first], grad, seen, rate)
-        some = np.flatnonzero((times > FEW) & (times <= SOME))
-        if len(some):
-            first = at[some]
-            grad = self._in_lanes(wrong, order, first + 1, times[some] - 1)
-            grad += wrong.take(order[first], axis=0)
-            self._move(table, ranked[first], grad, seen, rate)
-        often = times > SOME
+        often = times > FEW
         if often.any():
             first, own = at[often], times[often]
             start = np.cumsum(own) - own
             grad = np.add.reduceat(wrong.take(order[np.repeat(often, times)], axis=0), start, axis=0)
             self._move(table, ranked[first], grad, seen, rate)
 
-    @staticmethod
-    def _in_lanes(wrong: np.ndarray, order: np.ndarray, first: np.ndarray, times: np.ndarray) -> np.ndarray:
-        """For each row the sum of its 8 to 128 tokens, whose numbers stand in ``order`` from ``first`` on: eight sums, each of
-        every eighth token, for all rows at once; then these, then the tokens left over."""
-        by = np.argsort(-(times // 8), kind="stable")  # rows that still have eights come first
-        first, eights, left = first[by], times[by] // 8, times[by] % 8
-        at = first[:, None] + np.arange(8)
-        lanes = wrong.take(order[at], axis=0)
-        for k in range(1, int(eights[0])):
-            n = int(np.searchsorted(-eights, -k))
-            lanes[:n] += wrong.take(order[at[:n] + 8 * k], axis=0)
-        lanes = lanes[:, 0::2] + lanes[:, 1::2]
-        lanes = lanes[:, 0::2] + lanes[:, 1::2]
-        out = lanes[:, 0] + lanes[:, 1]
-        for k in range(int(left.max())):
-            more = np.flatnonzero(left > k)
-            out[more] += wrong.take(order[first[more] + 8 * eights[more] + k], axis=0)
-        back = np.empty_like(out)
-        back[by] = out
-        return back
-
     def _move(self, table: int, which: np.ndarray, grad: np.ndarray, seen: np.ndarray, rate: float) -> None:
-        now = seen.take(which)
-        now += np.einsum("ij,ij->i", grad, grad) / grad.shape[1]
-        seen[which] = now
-        grad *= (rate / np.sqrt(now))[:, None]
+        seen[which] += np.einsum("ij,ij->i", grad, grad) / grad.shape[1]
+        grad *= (rate / np.sqrt(seen[which]))[:, None]
         grad += self.w[table].take(which, axis=0)
         self.w[table][which] = grad
 
@@ -389,23 +359,21 @@ class Model:
         for a in range(0, len(t.ids), BATCH):
             ids, r = t.ids[a:a + BATCH], rows[:, a:a + BATCH]
             k = self.klass[ids]
-            p = self._wrong(self.w[0], r, None, k)
+            p = self._wrong(self._sum_rows(self.w[0], r, self.bias), k)
             inside = np.flatnonzero(self.narrow[k])
             if len(inside):
                 ki = k[inside]
-                ri = self.inner_features(r.take(inside, axis=1), ki)
-                q = self._wrong(self.w[1], ri, ki, self.place[ids[inside]])
+                ri = self.inner_features(r[:, inside], ki)
+                q = self._wrong(self._sum_rows(self.w[1], ri, self.inner.take(ki, axis=0)), self.place[ids[inside]])
                 self._step(1, ri, q, seen[1], rate)
             self._step(0, r, p, seen[0], rate)
 
-    def _wrong(self, table: np.ndarray, rows: np.ndarray, klass: np.ndarray | None, true: np.ndarray) -> np.ndarray:
+    def _wrong(self, logit: np.ndarray, true: np.ndarray) -> np.ndarray:
         """What the probabilities lack: the gradient of the log probability."""
-        out = np.empty((len(true), table.shape[1]), np.float32)
-        for a in range(0, len(true), SCORED):
-            p, total = self._exp(self._sum_rows(table, rows[:, a:a + SCORED], self.bias if klass is None else self.inner.take(klass[a:a + SCORED], axis=0)))
-            np.divide(p, -total, out=out[a:a + SCORED])
-        out.ravel()[np.arange(0, out.size, out.shape[1]) + true] += 1
-        return out
+        p, total = self._exp(logit)
+        p /= -total
+        p[np.arange(len(true)), true] += 1
+        return p
 
 
 def train(docs: DataFrame, model: Model, head, rounds: int, rate: float) -> None:
