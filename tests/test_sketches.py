@@ -1,5 +1,6 @@
 """Stored sketches merge to answers within their bounds (A2, A9, K2); mean pooling by a join equals the broadcast form."""
 
+import os
 import random
 from collections import Counter
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from sectional.operators import pooling as PL
 from sectional.operators import sketches as SK
 from sectional.operators import vocab as V
+from sectional.session import cut_lineage, discard
 
 
 def test_merged_sketches_stay_within_their_bounds(spark, tmp_path):
@@ -52,6 +54,44 @@ def test_join_equals_the_broadcast_form(spark, hot):
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
 
 
+def test_a_vector_travels_once_per_slice(spark, monkeypatch):
+    """Rows that share their tokens list them once; slices, parts and lists of any size give the same means."""
+    rows = [(i % 150, [f"w{(i + 7 * k) % 40}" for k in range(30)] * 300) for i in range(200)] + [(None, ["w1", "w2"]), (None, ["w3", None]), (500, None)]
+    df = spark.createDataFrame(rows, "doc_id long, tokens array<string>").coalesce(1)
+    vocab = V.build_vocab(df.where("doc_id is not null"), ["tokens"], None)
+    vectors = spark.createDataFrame([(i, [float(i), -1.0, i * 0.5]) for i in range(0, 40, 3)], "idx int, vec array<double>")
+    written = {}
+
+    def kept(table, name, *how):
+        written[name] = cut_lineage(table, name, *how)
+        return written[name]
+
+    def means(hot):
+        return {r["doc_id"]: r["pooled"] for r in PL.mean_by_join(df, ["doc_id"], "tokens", vocab, vectors, 3, hot=hot).collect()}
+
+    want = means(4096)  # all vectors in the tasks
+    monkeypatch.setattr(PL, "cut_lineage", kept)
+    got = means(0)
+    assert written["token-parts"].where("token is not null").count() <= 42
+    none = spark.createDataFrame([(1, []), (2, None)], "doc_id long, tokens array<string>")
+    assert sorted(map(tuple, PL.mean_by_join(none, ["doc_id"], "tokens", vocab, vectors, 3).collect())) == [(1, [0.0] * 3), (2, [0.0] * 3)]
+    for name, value in (("SLICE_ROWS", 10), ("SLICE_TOKENS", 7), ("PART_ROWS", 3)):
+        monkeypatch.setattr(PL, name, value, raising=False)
+        small = means(0)
+        assert got.keys() == small.keys() == want.keys() and all(np.allclose(got[k], want[k]) and np.allclose(small[k], want[k]) for k in want)
+
+
+def test_a_discarded_table_goes_alone(spark, tmp_path):
+    one, other = (cut_lineage(spark.range(5), name) for name in ("going", "staying"))
+    files = one.inputFiles()
+    assert files
+    discard(one)
+    assert not any(os.path.exists(f.removeprefix("file:")) for f in files) and other.count() == 5
+    spark.range(3).write.parquet(str(tmp_path / "own"))  # not one of those tables
+    discard(spark.read.parquet(str(tmp_path / "own")))
+    assert spark.read.parquet(str(tmp_path / "own")).count() == 3
+
+
 def test_long_tokens_have_their_index(spark):
     """A token of any length is looked up; one that only shares its beginning isn't."""
     long = "y" * 1000
