@@ -230,6 +230,27 @@ def test_merged_transforms_equal_sorted_suffixes():
         assert heads == sorted(heads)
 
 
+@pytest.mark.parametrize("depth", [1, 2, 3, 4, 9, 12])
+@pytest.mark.parametrize("letters", [b"ab", bytes(range(256))])
+def test_the_merge_deals_by_two_symbols(monkeypatch, depth, letters):
+    """Half the rounds, the same order and common prefixes."""
+    rng = random.Random(depth)
+    base = bytes(rng.choice(letters) for _ in range(40)) + letters
+    shards = [[base[i:i + rng.randrange(1, 30)] for i in rng.choices(range(40), k=3)] for _ in range(4)] + [[base]]
+    texts = [bwt.shard_text(s) for s in shards]
+    transforms = [bwt.transform(t)[0] for t in texts]
+    rounds, sort = [0], np.argsort
+    with monkeypatch.context() as m:
+        m.setattr(np, "argsort", lambda *a, **k: (rounds.__setitem__(0, rounds[0] + 1), sort(*a, **k))[1])
+        shard, common = bwt.merge(transforms, depth)
+    single = min(depth, 2) if len(letters) < 256 else depth
+    assert rounds[0] == len(shards) + single + (depth - single + 1) // 2
+    want = sorted((tuple(np.roll(t, -i)[:depth].tolist()), k) for k, t in enumerate(map(lambda t: np.tile(t, depth), texts)) for i in range(len(t) // depth))
+    assert [k for _, k in want] == shard.tolist()
+    same = [next((j for j, (x, y) in enumerate(zip(a, b)) if x != y), depth) for (a, _), (b, _) in zip(want, want[1:])]
+    assert common.tolist() == [0, *same]
+
+
 def test_common_prefixes_of_the_merge():
     strings = [b"banana", b"bandana", b"anagram", b"nab"]
     parts = [bwt.transform(bwt.shard_text([s])) for s in strings]
